@@ -1,0 +1,374 @@
+"""Page surroundings: which lines of a crawled text belong to the page, not to the article.
+
+Line level, pure Python, no Spark: :func:`surrounding_lines` takes one text and
+gives the numbers of its surrounding lines. The Spark operator is in
+``boilerplate.py``; ``truncation.py`` and ``residue.py`` use the same labels.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from html.parser import HTMLParser
+
+# Short controls and notices that pages print around an article.
+CONTROL_LINES = """
+skip to main content
+skip to content
+jump to comments
+back to top
+site map
+sitemap
+cookie settings
+cookie preferences
+advertise with us
+advertisement
+sponsored
+download our app
+follow us on every channel
+follow us
+subscribe to our weekly letter
+enter your email address
+unsubscribe at any time
+get the weekly letter
+one careful essay, every friday, no noise.
+sign up
+sign in
+log in
+log out
+register
+subscribe
+newsletter
+do not sell my information
+report a problem with this page
+made with care in a small office above the bakery
+privacy policy
+terms of use
+terms of service
+before you continue, choose how we may use your data.
+we use cookies to make this site work and to learn what you read.
+this website stores small files on your device. by carrying on you agree.
+nous utilisons des cookies pour mesurer l'audience.
+utilizamos cookies propias y de terceros.
+wir verwenden cookies, um unser angebot zu verbessern.
+usamos cookies para melhorar a sua experiência.
+i agree
+let me choose
+accept
+accept all
+reject
+reject all
+decline
+more options
+manage choices
+tout accepter
+tout refuser
+rechazar
+aceptar
+aceitar
+recusar
+alle akzeptieren
+alle ablehnen
+einstellungen
+ok, got it
+got it
+continue
+read more
+read the full story
+more >
+share
+save
+report
+reply
+share this article
+copy link
+save for later
+print
+why do i see this?
+join the conversation
+log in to vote
+give award
+view all comments
+community rules
+sort by: best
+show more
+load more
+some privacy add-ons may cause trouble on this site.
+javascript is turned off; some features may not work.
+""".strip().split("\n")
+
+# Headings of sidebars; the title-like lines after one are its teasers.
+SIDEBAR_HEADINGS = """
+related stories
+related articles
+most read
+most popular
+popular this week
+trending now
+editor's choice
+you may also like
+from our partners
+latest comments
+in this section
+recommended for you
+read next
+""".strip().split("\n")
+
+# Words of navigation bars.
+MENU_WORDS = """
+home
+about
+archive
+news
+topics
+guides
+reviews
+forum
+help
+contact
+search
+menu
+shop
+jobs
+videos
+podcast
+weekly letter
+events near you
+sign in
+log out
+impressum
+datenschutz
+kontakt
+privacy
+terms of use
+imprint
+accessibility
+share
+save
+print
+cookie settings
+accept
+decline
+read our policy
+""".strip().split("\n")
+
+# Forms of one line with a changing part.
+CONTROL_FORMS = [
+    r"©\s?\d{4}\b.*",
+    r"copyright (?:©\s?)?\d{4}\b.*",
+    r"all rights reserved\.?",
+    r"powered by \S+(?: \S+)?",
+    r"registered office: .*",
+    r"customer care: .*",
+    r"more from [\w.-]+",
+    r"-?\d[\d,.]*k? (?:points?|comments?|upvotes?|replies|likes|shares|views)",
+    r"[\d,.]+k? members(?: online)?",
+    r"created \d{4}",
+    r"(?:(?:published|updated|posted) )?\d+ (?:seconds?|minutes?|hours?|days?|weeks?|months?|years?) ago",
+    r"u/[\w-]+",
+    r"r/[\w-]+",
+    r"1\. be kind to each other",
+    r"listen to this article \(\d+ min\)",
+    r"reading time: \d+ min",
+    r"\d+ min read",
+    r"rate this page: [★☆ ]+",
+    r"your privacy matters to us\. we and our [\d,.]+ partners .*",
+]
+
+_CONTROLS = frozenset(CONTROL_LINES)
+_HEADINGS = frozenset(SIDEBAR_HEADINGS)
+_MENU = frozenset(MENU_WORDS)
+_FORMS = re.compile("|".join(f"(?:{f})" for f in CONTROL_FORMS), re.I)
+_SEP = re.compile(r"\s+[|·>»]\s+|\s{2,}")
+_MARK = re.compile(r"[|·>»]")
+_LIST_ITEM = re.compile(r"(?:[-*•]|\d+[.)])\s+\S")
+_WORD = re.compile(r"[^\W\d_](?:[^\W_]|[-'’])*|\d+")
+_END = re.compile(r"""[.!?…]["”’»)\]]*\s*(?:\W{0,3})$""")
+_CONTENT_MARK = re.compile(r"(?:POST:|COMMENTS:|---COMMENT---)")
+#: What a cut leaves after the text; taken off before a line is judged.
+CUT_MARK = re.compile(r"\s*(?:\.{2,}|…)?\s*[\[<(]\s*(?:content |text |message )?(?:truncated|clipped|cut(?: off)?|shortened|snip(?:ped)?)\s*[\]>)]\s*$|\s*(?:\.{3,}|…)\s*$", re.I)
+
+PROSE, CONTROL, MENU, HEADING, TITLE, ITEM, MARK, SHORT = range(8)
+
+
+class _LineEvents(HTMLParser):
+    """Streams parser events into text characters and tags per line."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.text: dict[int, int] = {}
+        self.tags: dict[int, int] = {}
+
+    def handle_starttag(self, tag, attrs):
+        n = self.getpos()[0]
+        self.tags[n] = self.tags.get(n, 0) + 1
+
+    def handle_endtag(self, tag):
+        n = self.getpos()[0]
+        self.tags[n] = self.tags.get(n, 0) + 1
+
+    def handle_data(self, data):
+        n = self.getpos()[0]
+        for i, part in enumerate(data.split("\n")):
+            if part:
+                self.text[n + i] = self.text.get(n + i, 0) + len(part)
+
+
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
+
+
+def tag_counts(text: str, n_lines: int) -> tuple[list[int], list[int]]:
+    """Text characters and tags of each line, from the streaming parser.
+
+    A text without anything that looks like a tag is not parsed: every line is
+    text then, which is what the parser would report.
+    """
+    lines = text.split("\n")
+    if not _TAG.search(text):
+        return [len(x) for x in lines], [0] * n_lines
+    p = _LineEvents()
+    try:
+        p.feed(text)
+        p.close()
+    except (AssertionError, ValueError):
+        return [len(x) for x in lines], [0] * n_lines
+    return [p.text.get(i + 1, 0) for i in range(n_lines)], [p.tags.get(i + 1, 0) for i in range(n_lines)]
+
+
+def is_menu(line: str) -> bool:
+    """A bar of at least two menu words or a breadcrumb, or one menu word alone."""
+    low = line.strip().casefold()
+    if low in _MENU:
+        return True
+    parts = [p.strip() for p in _SEP.split(low) if p.strip()]
+    if len(parts) < 2 or any(len(p) > 40 for p in parts):
+        return False
+    known = sum(p in _MENU for p in parts)
+    if known == len(parts):
+        return True
+    if re.search(r"\s[>»]\s", low):
+        return known >= 1 and len(parts) <= 6
+    return known * 2 >= len(parts) and len(parts) >= 3
+
+
+def kind(line: str) -> int:
+    """The form of one line alone, without its neighbours."""
+    s = line.strip()
+    low = s.casefold()
+    if _CONTENT_MARK.match(s):
+        return MARK
+    if low in _HEADINGS or re.fullmatch(r"more from [\w.-]+", low):
+        return HEADING
+    if low in _CONTROLS or _FORMS.fullmatch(s):
+        return CONTROL
+    if is_menu(s):
+        return MENU
+    if _LIST_ITEM.match(s):
+        return ITEM
+    words = _WORD.findall(s)
+    if _END.search(s) and len(words) >= 4:
+        return PROSE
+    if len(words) >= 3 and len(s) <= 140:
+        return TITLE
+    return PROSE if len(words) > 14 else SHORT
+
+
+_PREFIXES = sorted(_CONTROLS | _HEADINGS | {"your privacy matters to us. we and our", "registered office:", "customer care: mon-fri 9-17", "powered by", "terms of use | privacy | imprint | accessibility", "impressum · datenschutz · kontakt", "listen to this article", "reading time:", "1. be kind to each other", "all rights reserved"})
+
+
+def cut_control(line: str) -> bool:
+    """The last line of a cut text: the start of a control, a form or a menu."""
+    s = CUT_MARK.sub("", line).strip()
+    low = s.casefold()
+    if len(low) >= 4 and any(p.startswith(low) for p in _PREFIXES):
+        return True
+    if re.match(r"(?:©\s?\d{0,4}|copyright \d{1,4}|copyright)(?:\s[\w.-]*)*$", low) and len(low) < 60:
+        return True
+    if re.match(r"(?:your privacy matters to us|registered office:|customer care:|powered by l)", low):
+        return True
+    parts = [p.strip() for p in _SEP.split(low) if p.strip()]
+    return len(parts) >= 2 and bool(_MARK.search(low) or "  " in s) and all(p in _MENU for p in parts[:-1]) and any(m.startswith(parts[-1]) for m in _MENU)
+
+
+def density(lines: list[str], kinds: list[int], chars: list[int], tags: list[int]) -> list[float]:
+    """Log text-to-tag ratio of each line; separators and the single entries of a menu count as tags."""
+    out = []
+    for s, k, n, t in zip(lines, kinds, chars, tags):
+        marks = t + (len(_SEP.split(s.strip())) if k == MENU else 0) + (1 if k in (CONTROL, HEADING) else 0)
+        out.append(math.log1p(n / (1 + 3 * marks)))
+    return out
+
+
+def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
+    """Gaussian smoothing with weights renewed at the borders."""
+    r = max(1, round(3 * sigma))
+    w = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-r, r + 1)]
+    n = len(values)
+    out = []
+    for i in range(n):
+        a, b = max(0, i - r), min(n, i + r + 1)
+        ww = w[a - i + r : b - i + r]
+        out.append(sum(x * y for x, y in zip(values[a:b], ww)) / sum(ww))
+    return out
+
+
+def threshold(values: list[float]) -> float:
+    """Boundary between two clusters of smoothed densities (1-D two-means)."""
+    lo, hi = min(values), max(values)
+    if hi - lo < 1e-9:
+        return lo
+    for _ in range(12):
+        cut = (lo + hi) / 2
+        a = [v for v in values if v <= cut] or [lo]
+        b = [v for v in values if v > cut] or [hi]
+        lo2, hi2 = sum(a) / len(a), sum(b) / len(b)
+        if abs(lo2 - lo) + abs(hi2 - hi) < 1e-6:
+            break
+        lo, hi = lo2, hi2
+    return (lo + hi) / 2
+
+
+def surrounding_lines(text: str, title: str | None = None, sigma: float = 1.0) -> list[int]:
+    """Numbers (from 1) of the lines that are page surroundings.
+
+    Null or empty text has none. Empty lines are never listed.
+    """
+    if not text:
+        return []
+    raw = text.split("\n")
+    idx = [i for i, s in enumerate(raw) if s.strip()]
+    if not idx:
+        return []
+    chars, tags = tag_counts(text, len(raw))
+    lines = [raw[i].strip() for i in idx]
+    kinds = [kind(s) for s in lines]
+    head = title.strip().casefold() if title else None
+    for j, s in enumerate(lines):
+        if head and s.casefold() == head and kinds[j] in (TITLE, SHORT):
+            kinds[j] = PROSE
+            break
+    ratio = density(lines, kinds, [chars[i] for i in idx], [tags[i] for i in idx])
+    flat = smooth(ratio, sigma)
+    cut = threshold(flat)
+    n = len(lines)
+    label = [k in (CONTROL, MENU, HEADING) for k in kinds]
+    # teasers: title-like lines after a sidebar heading
+    j = 0
+    while j < n:
+        if kinds[j] == HEADING:
+            j += 1
+            while j < n and (kinds[j] == TITLE or (kinds[j] == SHORT and len(_WORD.findall(lines[j])) >= 3)):
+                label[j] = True
+                j += 1
+        else:
+            j += 1
+    # lines with tags and little text of their own, in the sparse cluster
+    for j in range(n):
+        if not label[j] and tags[idx[j]] >= 2 and flat[j] <= cut and kinds[j] in (TITLE, SHORT):
+            label[j] = True
+    # the last line of a cut text counts as what it was
+    if n and not label[-1] and kinds[-1] in (SHORT, TITLE, PROSE, ITEM):
+        s = CUT_MARK.sub("", lines[-1])
+        if cut_control(lines[-1]) or (s != lines[-1] and s and kind(s) in (CONTROL, MENU, HEADING)):
+            label[-1] = n > 1 or not _END.search(lines[-1])
+    return [idx[j] + 1 for j in range(n) if label[j]]
