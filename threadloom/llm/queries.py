@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import batchdedup, spans
+from threadloom.llm import batchdedup, neighbours, spans
 from threadloom.session import table
 
 QUERIES: dict = {}
@@ -21,6 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "source_embeddings"))
+
+
+@query("p4_nearest")
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "source_embeddings"), k=5).select("model", "node_id", "rank", "neighbour_id", F.round("sim", 4).alias("sim"))
+
+
 @query("p7_found")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return batchdedup.batch_duplicates(table(spark, d, "llm_batched"))
