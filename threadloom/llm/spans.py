@@ -5,14 +5,15 @@ length). At 50 only windows chosen by their content are looked at: of every
 stretch of 200 characters the 50-character window with the least hash, so two
 copies of a stretch choose the same window. Windows repeated in another record
 are extended to 100 characters to their left or right, repeated ones of those
-to all 200-character windows around them. The last level first compares the
-whole run of such windows as one string, and only runs that differ are taken
-apart into single windows. Touching and overlapping windows are joined, which
-gives spans of every greater length.
+to the runs of 200-character windows around them: first each run as one string
+(up to 350 characters), then, where runs differ, what an eighth of the run has
+in common, at last the single windows that are left. Touching and overlapping
+windows are joined, which gives spans of every greater length.
 
 Every level groups hashes with partial aggregates (least and greatest record),
 so a passage in a third of all records stays a few rows per task; nothing is
-paired. Equal hashes of the last level have 128 bits.
+paired. Rows of the last levels are equal in two hashes of 64 bits, the gram's
+and the window's.
 
 Edge cases: null, empty and shorter texts share nothing; repeated text inside
 one record alone is not shared; rows delivered again (same id) count once;
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.session import cut
+from threadloom.session import cut, release
 
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -175,11 +176,12 @@ def _runs(length: int, gram: int):
                         pa.array(ids[part][d]),
                         pa.array((a - s).astype(np.int32)),
                         pa.array((z - a + 1).astype(np.int32)),
+                        pa.array((g - a).astype(np.int32)),
                         pa.array(hl.view(np.int64), mask=~has_l),
                         pa.array(hr.view(np.int64), mask=~has_r),
                         pa.array(ctx, pa.string()),
                     ],
-                    names=["h", "doc_id", "first", "n", "hl", "hr", "ctx"],
+                    names=["h", "doc_id", "first", "n", "off", "hl", "hr", "ctx"],
                 )
 
     return run
@@ -190,6 +192,20 @@ def _repeated(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
 
 
+#: bits of the filter that keeps texts without a repeated gram out of the shuffle (1 MB, whatever the input)
+_BITS = 1 << 23
+
+
+def _with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs joined with marks; a bit map of fixed size drops most other texts before the shuffle."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
+    maps = marks.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10)
+    kept = docs.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(maps), "bucket")
+    kept = kept.withColumn("byte", byte.cast("int")).where(F.expr("shiftright(byte, cast(bitmap_bit_position(bit) % 8 as int)) & 1 = 1"))
+    return kept.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", "marks")
+
+
 def shared_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, span_start, span_end) of stretches that occur in another record; they may overlap."""
     gram = length // 4
@@ -197,28 +213,37 @@ def shared_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     # level 1: grams chosen by content, repeated in another record
     grams = cut(docs.mapInArrow(_anchors(length, gram), "h long, doc_id long, pos int"))
     alive = grams.join(_repeated(grams, "h").select("h"), "h", "left_semi")
-    marks = alive.groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
+    marks = cut(alive.groupBy("doc_id").agg(F.collect_set("pos").alias("marks")))
+    release(grams)
     # level 2: twice the length, to the left or to the right
-    text = docs.join(marks, "doc_id").select("doc_id", "text", "marks")
-    runs = cut(text.mapInArrow(_runs(length, gram), "h long, doc_id long, first int, n int, hl long, hr long, ctx string"))
-    sides = runs.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hl").alias("k")), F.struct(F.lit(1).alias("side"), F.col("hr").alias("k")))).alias("s")).select("doc_id", "s.side", "s.k").where("k is not null")
-    double = _repeated(sides, "side", "k").select("side", "k")
-    left = runs.join(double.where("side = 0").select(F.col("k").alias("hl")), "hl", "left_semi")
-    right = runs.join(double.where("side = 0").select(F.col("k").alias("hl")), "hl", "left_anti").join(double.where("side = 1").select(F.col("k").alias("hr")), "hr", "left_semi")
-    cols = ["h", "doc_id", "first", "n", "ctx"]
-    far = left.select(*cols).unionByName(right.select(*cols)).withColumns({"k1": F.xxhash64("ctx"), "k2": F.xxhash64(F.lit(7), "ctx")})
-    # level 3: the whole run at once
-    same = far.groupBy("h", "k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("first").alias("_f"))
-    far = far.join(same.select("h", "k1", "k2", "lo", "hi"), ["h", "k1", "k2"])
+    runs = _with_marks(docs, marks).mapInArrow(_runs(length, gram), "h long, doc_id long, first int, n int, off int, hl long, hr long, ctx string")
+    runs = cut(runs.withColumns({"rid": F.monotonically_increasing_id(), "k": F.xxhash64("ctx")}))
+    sides = runs.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hl").alias("w")), F.struct(F.lit(1).alias("side"), F.col("hr").alias("w")))).alias("s")).select("doc_id", "s.side", "s.w").where("w is not null")
+    double = cut(_repeated(sides, "side", "w").select("side", "w"))
+    slim = runs.select("rid", "h", "k", "doc_id", "first", "n", "hl", "hr")
+    slim = slim.join(double.where("side = 0").select(F.col("w").alias("hl"), F.lit(True).alias("l")), "hl", "left")
+    slim = slim.join(double.where("side = 1").select(F.col("w").alias("hr"), F.lit(True).alias("r")), "hr", "left").where("l or r")
+    slim = slim.select("rid", "h", "k", "doc_id", "first", "n")
+    # level 4: all stretches of a run at once
+    same = slim.groupBy("h", "k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    far = cut(slim.join(same, ["h", "k"]))
     whole = far.where("lo < hi").select("doc_id", F.col("first").alias("span_start"), (F.col("first") + F.col("n") - 1 + length).alias("span_end"))
-    # level 3, taken apart: runs that differ, beside two records of each run that is whole
+    # the runs that differ, beside two records of each whole run with their gram
     open_h = far.where("lo = hi").select("h").distinct()
-    rest = far.where("lo = hi or doc_id = lo or doc_id = hi").join(open_h, "h", "left_semi")
-    single = rest.select("h", "doc_id", "first", (F.col("lo") == F.col("hi")).alias("open"), F.posexplode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.substring("ctx", i, F.lit(length)))).alias("i", "win"))
-    single = single.select("h", "doc_id", (F.col("first") + F.col("i")).alias("at"), "open", F.xxhash64("win").alias("k1"), F.xxhash64(F.lit(7), "win").alias("k2"))
-    again = _repeated(single, "h", "k1", "k2").select("h", "k1", "k2")
-    apart = single.where("open").join(again, ["h", "k1", "k2"], "left_semi").select("doc_id", F.col("at").alias("span_start"), (F.col("at") + length).alias("span_end"))
-    return whole.unionByName(apart)
+    rest = far.where("lo = hi or doc_id = lo or doc_id = hi").join(open_h, "h", "left_semi").select("rid", (F.col("lo") == F.col("hi")).alias("open"))
+    rest = cut(runs.select("rid", "h", "doc_id", "first", "n", "off", "ctx").join(rest, "rid"))
+    # level 3: what all stretches of an eighth of the run have in common
+    step = max(1, -(-(length - gram + 1) // 8))
+    part = rest.select("rid", "h", "doc_id", "first", "n", "off", "open", "ctx", F.explode(F.expr(f"sequence((off - n + 1) div {step}, off div {step})")).alias("part"))
+    # stretches with offsets part * step .. part * step + step - 1 before the gram share this text
+    part = part.withColumn("core", F.xxhash64("part", F.expr(f"substring(ctx, off - part * {step} + 1, {length} - {step} + 1)")))
+    part = part.join(_repeated(part, "h", "core").select("h", "core"), ["h", "core"], "left_semi")
+    lo, hi = F.greatest(F.col("off") - (F.col("part") + 1) * step + 1, F.lit(0)), F.least(F.col("off") - F.col("part") * step, F.col("n") - 1)
+    single = part.select("h", "doc_id", "open", "first", "ctx", F.explode(F.sequence(lo, hi)).alias("i"))
+    single = single.select("h", "doc_id", (F.col("first") + F.col("i")).alias("at"), "open", F.xxhash64(F.expr(f"substring(ctx, i + 1, {length})")).alias("k"))
+    single = cut(single)
+    apart = single.where("open").join(_repeated(single, "h", "k").select("h", "k"), ["h", "k"], "left_semi")
+    return whole.unionByName(apart.select("doc_id", F.col("at").alias("span_start"), (F.col("at") + length).alias("span_end")))
 
 
 def merged(spans: DataFrame) -> DataFrame:
