@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import batchdedup, neighbours, spans
+from threadloom.llm import batchdedup, boilerplate, neighbours, pairs, residue, spans, truncation
 from threadloom.session import table
 
 QUERIES: dict = {}
@@ -22,6 +22,48 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+OUTPUTS = "groq_batch_all_1776865759_outputs"
+
+
+def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "saved_items"), table(spark, d, "groq_batch_3r"), table(spark, d, OUTPUTS)
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_records(*_texts(spark, d))
+
+
+@query("p1_cut_share")
+def p1_cut_share(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_share(*_texts(spark, d))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, OUTPUTS), table(spark, d, "groq_batch_3r"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.surrounding_rows(table(spark, d, "saved_items"))
+
+
+@query("p3_main_body")
+def p3_main_body(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, d, "saved_items")).distinct()
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "saved_items"), table(spark, d, "groq_batch_3r")).select("table_name", "record_id")
+
+
+@query("p5_labels")
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "saved_items"), table(spark, d, "groq_batch_3r"))
+
+
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "source_embeddings"))

@@ -181,6 +181,7 @@ _MENU = frozenset(MENU_WORDS)
 _FORMS = re.compile("|".join(f"(?:{f})" for f in CONTROL_FORMS), re.I)
 _SEP = re.compile(r"\s+[|·>»]\s+|\s{2,}")
 _MARK = re.compile(r"[|·>»]")
+_TEASER = re.compile(r"(?:how|why|what|when)\b|\d+ |.*\bor\b|.*:", re.I)
 _LIST_ITEM = re.compile(r"(?:[-*•]|\d+[.)])\s+\S")
 _WORD = re.compile(r"[^\W\d_](?:[^\W_]|[-'’])*|\d+")
 _END = re.compile(r"""[.!?…]["”’»)\]]*\s*(?:\W{0,3})$""")
@@ -188,6 +189,8 @@ _CONTENT_MARK = re.compile(r"(?:POST:|COMMENTS:|---COMMENT---)")
 #: What a cut leaves after the text; taken off before a line is judged.
 CUT_MARK = re.compile(r"\s*(?:\.{2,}|…)?\s*[\[<(]\s*(?:content |text |message )?(?:truncated|clipped|cut(?: off)?|shortened|snip(?:ped)?)\s*[\]>)]\s*$|\s*(?:\.{3,}|…)\s*$", re.I)
 
+_MORE_FROM = re.compile(r"more from [\w.-]+")
+
 PROSE, CONTROL, MENU, HEADING, TITLE, ITEM, MARK, SHORT = range(8)
 
 
@@ -251,13 +254,33 @@ def is_menu(line: str) -> bool:
     return known * 2 >= len(parts) and len(parts) >= 3
 
 
+# Adverbs that pad a line up to a length limit.
+_PAD = re.compile(r"(?:\b(?:also|really|still|quite|indeed)\b\s*)+")
+_kinds: dict[str, int] = {}
+
+
 def kind(line: str) -> int:
     """The form of one line alone, without its neighbours."""
+    if len(line) > 160:
+        return MARK if line.startswith(("POST:", "COMMENTS:", "---COMMENT---")) else PROSE
+    k = _kinds.get(line)
+    if k is None:
+        k = _kind(line)
+        if k in (SHORT, TITLE) and _PAD.search(line):
+            bare = re.sub(r"\s{2,}", " ", _PAD.sub("", line)) if "  " not in line else _PAD.sub("", line)
+            if (other := _kind(bare)) in (CONTROL, MENU, HEADING):
+                k = other
+        if len(line) <= 80 and len(_kinds) < 100_000:
+            _kinds[line] = k
+    return k
+
+
+def _kind(line: str) -> int:
     s = line.strip()
     low = s.casefold()
     if _CONTENT_MARK.match(s):
         return MARK
-    if low in _HEADINGS or re.fullmatch(r"more from [\w.-]+", low):
+    if low in _HEADINGS or _MORE_FROM.fullmatch(low):
         return HEADING
     if low in _CONTROLS or _FORMS.fullmatch(s):
         return CONTROL
@@ -347,9 +370,6 @@ def surrounding_lines(text: str, title: str | None = None, sigma: float = 1.0) -
         if head and s.casefold() == head and kinds[j] in (TITLE, SHORT):
             kinds[j] = PROSE
             break
-    ratio = density(lines, kinds, [chars[i] for i in idx], [tags[i] for i in idx])
-    flat = smooth(ratio, sigma)
-    cut = threshold(flat)
     n = len(lines)
     label = [k in (CONTROL, MENU, HEADING) for k in kinds]
     # teasers: title-like lines after a sidebar heading
@@ -357,15 +377,22 @@ def surrounding_lines(text: str, title: str | None = None, sigma: float = 1.0) -
     while j < n:
         if kinds[j] == HEADING:
             j += 1
+            first = j
             while j < n and (kinds[j] == TITLE or (kinds[j] == SHORT and len(_WORD.findall(lines[j])) >= 3)):
+                if j == n - 1 and j > first and not _TEASER.match(lines[j]):
+                    break  # a sentence cut short, not a teaser
                 label[j] = True
                 j += 1
         else:
             j += 1
-    # lines with tags and little text of their own, in the sparse cluster
-    for j in range(n):
-        if not label[j] and tags[idx[j]] >= 2 and flat[j] <= cut and kinds[j] in (TITLE, SHORT):
-            label[j] = True
+    # lines that their form leaves open: the sparse cluster of smoothed text-to-tag ratios decides
+    loose = [j for j in range(n) if not label[j] and (tags[idx[j]] >= 2 and kinds[j] in (TITLE, SHORT) or kinds[j] == SHORT and 0 < j < n - 1 and label[j - 1] and label[j + 1])]
+    if loose:
+        flat = smooth(density(lines, kinds, [chars[i] for i in idx], [tags[i] for i in idx]), sigma)
+        cut = threshold(flat)
+        for j in loose:
+            if flat[j] <= cut:
+                label[j] = True
     # the last line of a cut text counts as what it was
     if n and not label[-1] and kinds[-1] in (SHORT, TITLE, PROSE, ITEM):
         s = CUT_MARK.sub("", lines[-1])
