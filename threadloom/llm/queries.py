@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import batchdedup, boilerplate, neighbours, pairs, residue, spans, truncation
+from threadloom.llm import batchdedup, boilerplate, mixing, neighbours, packing, pairs, residue, spans, truncation
 from threadloom.session import table
 
 QUERIES: dict = {}
@@ -87,3 +87,25 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_shared_share")
 def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
+
+
+@query("p8_packing")
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+@query("p8_fill")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    caps = table(spark, d, "pack_capacities")
+    return packing.fill_report(packing.packed(table(spark, d, "documents"), caps), caps)
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixed(table(spark, d, "documents"), targets)[0], targets)
