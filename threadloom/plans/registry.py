@@ -16,3 +16,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register the core's queries."""
+    from threadloom.plans import nested_queries  # noqa: F401
