@@ -20,6 +20,13 @@ MAP_SCHEMA = (
     "quality_flags struct<content_thin:boolean,access_blocked_or_paywalled:boolean,extraction_suspect:boolean>"
 )
 
+_ITEM = {
+    "domains": "array<struct<name:string,confidence:string,type:string>>",
+    "themes": "array<struct<name:string,tier:string,confidence:string,type:string>>",
+    "concepts": "array<struct<name:string,type:string,confidence:string>>",
+    "micro_insights": "array<struct<text:string,type:string,confidence:string>>",
+}
+
 
 def assistant_text(content: Column, raw_json: Column) -> Column:
     """The answer's own column if not blank, else the first choice of the raw response."""
@@ -52,8 +59,8 @@ def root_of(m: Column) -> Column:
 def filled(m: Column) -> Column:
     """The map with defaults for whatever is missing."""
     flags = m["quality_flags"]
-    lists = [F.coalesce(m[k], F.from_json(F.lit("[]"), t)).alias(k) for k, t in (("domains", "array<struct<name:string,confidence:string,type:string>>"), ("themes", "array<struct<name:string,tier:string,confidence:string,type:string>>"), ("concepts", "array<struct<name:string,type:string,confidence:string>>"))]
-    micro = F.coalesce(m["micro_insights"], m["microinsights"], F.from_json(F.lit("[]"), "array<struct<text:string,type:string,confidence:string>>")).alias("micro_insights")
+    lists = [F.coalesce(m[k], F.array().cast(_ITEM[k])).alias(k) for k in ("domains", "themes", "concepts")]
+    micro = F.coalesce(m["micro_insights"], m["microinsights"], F.array().cast(_ITEM["micro_insights"])).alias("micro_insights")
     f = F.struct(*(F.coalesce(flags[k], F.lit(False)).alias(k) for k in ("content_thin", "access_blocked_or_paywalled", "extraction_suspect"))).alias("quality_flags")
     return F.struct(root_of(m).alias("root"), *lists, micro, f)
 
@@ -71,7 +78,7 @@ def concepts(m: Column, name_cut: int = 100) -> Column:
             F.lit(tier).alias("tier"),
             confidence(x["confidence"]).alias("confidence"),
         )
-        some = F.filter(F.coalesce(src, F.from_json(F.lit("[]"), "array<struct<text:string,type:string,confidence:string>>" if text else ("array<struct<name:string,tier:string,confidence:string,type:string>>" if key == "themes" else "array<struct<name:string,confidence:string,type:string>>" if key == "domains" else "array<struct<name:string,type:string,confidence:string>>"))), lambda x: x.isNotNull())
+        some = F.filter(F.coalesce(src, F.array().cast(_ITEM[key])), lambda x: x.isNotNull())
         return F.transform(some, item)
 
     return F.filter(F.concat(*(level(*x) for x in LEVELS)), lambda c: concept_id(c["type"], c["name"]).isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.url import strip_blanks, title as title_from_url
@@ -26,39 +26,39 @@ def allowed(n: Column, low: int = 1_200, high: int = 18_000) -> Column:
     return clamp(F.floor(fraction(n) * n).cast("int"), low, high)
 
 
-def sample(text: Column, most: Column) -> Column:
+def with_sample(df: DataFrame, text: str, most: str, alias: str = "sent") -> DataFrame:
     """Head, five windows of the middle and tail; the whole text where it fits.
 
-    Windows are stripped, blank ones left out, joined by an empty line; they may overlap.
+    Windows are stripped, blank ones left out, joined by an empty line; they may
+    overlap. Steps are columns of their own, so each is computed once.
     """
-    s = strip_blanks(text)
-    n = F.length(s)
-    head, tail = F.floor(most * 0.20).cast("int"), F.floor(most * 0.10).cast("int")
-    each = F.greatest(F.lit(200), F.floor((most - head - tail) / 5).cast("int"))
-    span = F.greatest(F.lit(1), F.greatest(head, n - tail) - head)
-    middle = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.substring(s, F.greatest(F.lit(0), head + F.floor((i + 0.5) * (span / 5)).cast("int") - F.floor(each / 2).cast("int")) + 1, each))
-    parts = F.concat(F.array(F.substring(s, F.lit(1), head)), middle, F.array(F.when(tail > 0, F.right(s, tail)).otherwise("")))
-    joined = F.array_join(F.filter(F.transform(parts, strip_blanks), lambda p: p != ""), "\n\n")
-    return F.when(n <= most, s).otherwise(joined)
-
-
-def prompt_payload(text: Column, low: int = 1_200, high: int = 18_000) -> Column:
-    """struct(mode, chars, p, allowed_chars, sent): title_only for a blank text."""
-    s = strip_blanks(F.coalesce(text, F.lit("")))
-    n = F.length(s)
-    most = allowed(n, low, high)
-    full = F.struct(F.lit("full").alias("mode"), n.alias("chars"), fraction(n).alias("p"), most.alias("allowed_chars"), sample(s, most).alias("sent"))
-    none = F.struct(F.lit("title_only").alias("mode"), F.lit(0).alias("chars"), F.lit(None).cast("double").alias("p"), F.lit(0).alias("allowed_chars"), F.lit("").alias("sent"))
-    return F.when(s == "", none).otherwise(full)
-
-
-def user_content(url: Column, title: Column, text: Column, twice: bool = True, high: int = 18_000) -> Column:
-    """The user message of a link; the title and content head comes twice unless told otherwise."""
-    name = F.coalesce(F.nullif(strip_blanks(title), F.lit("")), title_from_url(url))
-    p = prompt_payload(text, high=high)
-    body = F.when(p["mode"] == "title_only", TITLE_ONLY).when(p["sent"] == "", NO_TEXT).otherwise(p["sent"])
-    head = F.concat(F.lit("TITLE: "), name, F.lit("\nCONTENT:\n"))
-    return F.concat(F.lit("URL: "), url, F.lit("\n"), head, *([head] if twice else []), body)
+    d = df.withColumn("_s", strip_blanks(F.col(text)))
+    d = d.withColumns({"_n": F.length("_s"), "_head": F.floor(F.col(most) * 0.20).cast("int"), "_tail": F.floor(F.col(most) * 0.10).cast("int")})
+    d = d.withColumns({
+        "_each": F.greatest(F.lit(200), F.floor((F.col(most) - F.col("_head") - F.col("_tail")) / 5).cast("int")),
+        "_span": F.greatest(F.lit(1), F.greatest(F.col("_head"), F.col("_n") - F.col("_tail")) - F.col("_head")),
+    })
+    start = "greatest(0, _head + cast(floor((i + 0.5D) * (_span / 5D)) as int) - cast(floor(_each / 2) as int)) + 1"
+    d = d.withColumn("_parts", F.expr(f"concat(array(substring(_s, 1, _head)), transform(sequence(0, 4), i -> substring(_s, {start}, _each)), array(if(_tail > 0, right(_s, _tail), '')))"))
+    joined = F.array_join(F.filter(F.transform("_parts", strip_blanks), lambda p: p != ""), "\n\n")
+    return d.withColumn(alias, F.when(F.col("_n") <= F.col(most), F.col("_s")).otherwise(joined)).drop("_s", "_n", "_head", "_tail", "_each", "_span", "_parts")
+
+
+def with_payload(df: DataFrame, text: str, low: int = 1_200, high: int = 18_000) -> DataFrame:
+    """Adds mode, chars, p, allowed_chars, sent: title_only for a blank text."""
+    d = df.withColumn("_t", strip_blanks(F.coalesce(F.col(text), F.lit("")))).withColumn("chars", F.length("_t"))
+    full = F.col("chars") > 0
+    d = d.withColumns({"mode": F.when(full, "full").otherwise("title_only"), "p": F.when(full, fraction(F.col("chars"))), "allowed_chars": F.when(full, allowed(F.col("chars"), low, high)).otherwise(0)})
+    return with_sample(d, "_t", "allowed_chars").drop("_t")
+
+
+def with_user_content(df: DataFrame, url: str, title: str, text: str, twice: bool = True, high: int = 18_000) -> DataFrame:
+    """Adds content, the user message of a link; its title and content head comes twice unless told otherwise."""
+    d = with_payload(df, text, high=high)
+    name = F.coalesce(F.nullif(strip_blanks(F.col(title)), F.lit("")), title_from_url(F.col(url)))
+    d = d.withColumn("_head", F.concat(F.lit("TITLE: "), name, F.lit("\nCONTENT:\n")))
+    body = F.when(F.col("mode") == "title_only", TITLE_ONLY).when(F.col("sent") == "", NO_TEXT).otherwise(F.col("sent"))
+    return d.withColumn("content", F.concat(F.lit("URL: "), F.col(url), F.lit("\n"), F.col("_head"), *([F.col("_head")] if twice else []), body)).drop("_head")
 
 
 def cost_usd(chars: Column) -> Column:

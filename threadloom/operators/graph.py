@@ -99,16 +99,18 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     return nodes.join(label, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def infer_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """(source_id, child_id, parent_id): the parent with the largest token overlap in the same source.
+def infer_parents(children: DataFrame, parents: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, child_id, parent_id): the parent with the largest token overlap under the same keys.
 
-    Ties and no overlap at all go to the first parent. children: source_id,
-    child_id, name; parents: source_id, parent_id, name, pos.
+    Ties and no overlap at all go to the first parent. children: keys, child_id,
+    name; parents: keys, parent_id, name, pos. A source's lists are capped, so
+    the join under one source stays small.
     """
-    c = children.select("source_id", "child_id", tokens(F.col("name")).alias("ct"))
-    p = parents.select("source_id", "parent_id", "pos", tokens(F.col("name")).alias("pt"))
-    j = c.join(p, "source_id").withColumn("score", F.size(F.array_intersect("ct", "pt")) / F.greatest(F.size(F.array_union("ct", "pt")), F.lit(1)))
-    return j.groupBy("source_id", "child_id").agg(F.max_by("parent_id", F.struct("score", -F.col("pos"))).alias("parent_id"))
+    keys = keys or ["source_id"]
+    c = children.select(*keys, "child_id", tokens(F.col("name")).alias("ct"))
+    p = parents.select(*keys, "parent_id", "pos", tokens(F.col("name")).alias("pt"))
+    j = c.join(p, keys).withColumn("score", F.size(F.array_intersect("ct", "pt")) / F.greatest(F.size(F.array_union("ct", "pt")), F.lit(1)))
+    return j.groupBy(*keys, "child_id").agg(F.max_by("parent_id", F.struct("score", -F.col("pos"))).alias("parent_id"))
 
 
 def cross_relations(edges: DataFrame, membership: DataFrame, tiers: DataFrame, min_strength: float) -> DataFrame:

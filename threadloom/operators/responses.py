@@ -84,7 +84,9 @@ def normalise(outputs: DataFrame) -> DataFrame:
     """
     ok = outputs.where((F.trim(F.coalesce("canonical_url", F.lit(""))) != "") & F.col("http_status").isNotNull() & (F.col("http_status") < 400) & F.col("parsed").isNotNull())
     text = cogmap.assistant_text(F.col("assistant_content"), F.col("raw_json"))
-    d = ok.withColumn("_text", text).withColumn("_state", cogmap.parse_state(F.col("_text"))).withColumn("_map", cogmap.parse(F.col("_text")))
+    # explode of one element keeps the parsed map from being parsed again for every use
+    d = ok.withColumn("_text", text).withColumn("_p", F.explode(F.array(F.struct(cogmap.parse_state(F.col("_text")).alias("state"), cogmap.parse(F.col("_text")).alias("map")))))
+    d = d.withColumn("_state", F.col("_p.state")).withColumn("_map", F.col("_p.map"))
     name = F.coalesce(F.nullif(strip_blanks(F.col("_map.root.label")), F.lit("")), url.title(F.col("canonical_url")))
     none = F.array().cast("array<struct<type:string,name:string,tier:int,confidence:double>>")
     return d.select("id", ids.source_id(F.col("canonical_url")).alias("source_id"), "canonical_url", name.alias("name"), F.when(F.col("_state") == "ok", cogmap.concepts(F.col("_map"))).otherwise(none).alias("concepts"), F.when(F.col("_state") != "ok", F.col("_state")).alias("normalize_warning"))

@@ -24,7 +24,7 @@ def source_class(c: Column) -> Column:
     return F.when(c.isin("reddit", "linkedin", "x"), c).otherwise("generic")
 
 
-def running(df: DataFrame, value: str, order: list[Column], key: str = "_rank_bucket", buckets: int = 256, alias: str = "running") -> DataFrame:
+def running(df: DataFrame, value: str, order: list[Column], key: str = "_rank_bucket", buckets: int = 64, alias: str = "running") -> DataFrame:
     """Running sum over a total order without one task for all rows.
 
     The first order column is cut into ranges by approximate quantiles; sums of
@@ -35,8 +35,7 @@ def running(df: DataFrame, value: str, order: list[Column], key: str = "_rank_bu
     edges = sorted(set(edges))
     b = F.lit(0)
     if edges:
-        arr = F.array(*(F.lit(e) for e in edges))
-        b = F.size(F.filter(arr, lambda e: e < lead.cast("double")))
+        b = F.size(F.filter(F.lit(edges), lambda e: e < lead.cast("double")))
     d = df.withColumn(key, F.coalesce(b, F.lit(-1)))
     sums = d.groupBy(key).agg(F.sum(value).alias("_s"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
