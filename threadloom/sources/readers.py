@@ -56,7 +56,7 @@ def payload_file(spark: SparkSession, path: str) -> DataFrame:
 def csv_urls(spark: SparkSession, path: str) -> DataFrame:
     """(url) per row: the known header columns in header order, else the first cell that is an address."""
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    names = [c for c in df.columns if c in URL_KEYS]
+    names = [c for c in df.columns if c.strip() in URL_KEYS or c.strip().lower() in URL_KEYS]
     cells = [F.nullif(strip_blanks(F.col(f"`{c}`")), F.lit("")) for c in df.columns]
     some = [F.nullif(strip_blanks(F.col(f"`{c}`")), F.lit("")) for c in names]
     first = F.try_element_at(F.filter(F.array(*cells), lambda c: c.rlike("^https?://")), F.lit(1))
