@@ -112,7 +112,7 @@ def end_evidence(text: str | None, title: str | None = None) -> tuple[int, str |
     n = len(_WORDS.findall(fragment))
     whole_line = fragment == line
     if whole_line and _CLOSING.fullmatch(line):
-        return ASK_WHOLE, tok, key
+        return ASK_WHOLE, None if line[0] == "#" else tok, key  # tags are no words of sentences
     if whole_line and n <= 2:
         return ASK_LIMIT, tok, key
     if whole_line and k == TITLE and _teaser(s):
