@@ -185,6 +185,8 @@ _TEASER = re.compile(r"(?:how|why|what|when)\b|\d+ |.*\bor\b|.*:", re.I)
 _LIST_ITEM = re.compile(r"(?:[-*•]|\d+[.)])\s+\S")
 _WORD = re.compile(r"[^\W\d_](?:[^\W_]|[-'’])*|\d+")
 _END = re.compile(r"""[.!?…]["”’»)\]]*\s*(?:\W{0,3})$""")
+#: a sentence's end, also before a smiley, "/s" or an aside in brackets
+_TAIL = re.compile(r"(?:\s*(?:/s|[:;]-?[)(DP]|<3|\([^()]*\)))+$")
 _CONTENT_MARK = re.compile(r"(?:POST:|COMMENTS:|---COMMENT---)")
 #: What a cut leaves after the text; taken off before a line is judged.
 CUT_MARK = re.compile(r"\s*(?:\.{2,}|…)?\s*[\[<(]\s*(?:content |text |message )?(?:truncated|clipped|cut(?: off)?|shortened|snip(?:ped)?)\s*[\]>)]\s*$|\s*(?:\.{3,}|…)\s*$", re.I)
@@ -289,7 +291,7 @@ def _kind(line: str) -> int:
     if _LIST_ITEM.match(s):
         return ITEM
     words = _WORD.findall(s)
-    if _END.search(s) and len(words) >= 4:
+    if len(words) >= 4 and (_END.search(s) or _END.search(_TAIL.sub("", s))):
         return PROSE
     if len(words) >= 3 and len(s) <= 140:
         return TITLE

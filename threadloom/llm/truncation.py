@@ -89,6 +89,8 @@ def end_evidence(text: str | None, title: str | None = None) -> tuple[int, str |
         last = _SEP.split(line.casefold())[-1].strip()
         if last in _MENU:
             return WHOLE, None, None
+        if line[-1] in "|·>»":
+            return CUT, None, None
         return (CUT if any(m.startswith(last) for m in _MENU) else ASK_WHOLE), tok, key
     if k in (CONTROL, HEADING):
         return ASK_WHOLE, tok, key
