@@ -115,6 +115,27 @@ def test_batches_against_brute_force(spark):
     assert batchdedup.batch_duplicates(df.limit(0)).count() == 0
 
 
+def test_store_takes_batch_after_batch(spark, tmp_path):
+    r = random.Random(8)
+    store = batchdedup.SegmentStore(spark, str(tmp_path / "segments"), shards=3)
+    seen, n = set(), 0
+    for b in range(4):
+        data = []
+        for _ in range(60):
+            n += 1
+            data.append((n, r.choice([None, f"s{r.randint(0, 80)}"]), f"https://www.a.example/{r.randint(0, 90)}?utm_x={n}", f"b{b}"))
+        want = set()
+        for i, s, u, _ in data:
+            keys = ({("i", s)} if s else set()) | {("u", batchdedup.page_key(u))}
+            if keys & seen:
+                want.add(i)
+            seen |= keys
+        df = spark.createDataFrame(data, "row_id long, saved_item_id string, canonical_url string, batch_file string")
+        assert {x["row_id"] for x in store.accept(df).collect()} == want
+    live = store._live([0, 1, 2]).groupBy("shard").count().collect()
+    assert all(x["count"] <= 4 for x in live)
+
+
 def test_segments_merge_and_cover():
     index = batchdedup.SegmentIndex()
     for b in range(50):

@@ -182,7 +182,9 @@ def answer_cut(text: str | None) -> bool:
 
 # ---- one pass over the texts ----------------------------------------------
 
-_SCHEMA = "what int, table_name string, record_id string, source string, verdict int, token string, closing string, n long"
+_SCHEMA = "what int, table_name string, record_id string, source string, verdict int, token string, closing string, n long, ends long"
+#: a word that ends less than one in so many of its sentences' parts does not end a phrase
+INNER = 1_000
 
 
 class _Words:
@@ -196,18 +198,22 @@ class _Words:
 
     def drain(self):
         out: Counter = Counter()
+        ends: Counter = Counter()
         for raw, n in self.c.items():
-            for w in _WORDS.findall(raw.casefold()):
+            ws = _WORDS.findall(raw.casefold())
+            for w in ws:
                 if len(w) <= 40:
                     out[w] += n
+            if ws and _DONE.search(raw):
+                ends[ws[-1]] += n
         self.c.clear()
-        return _batch([(1, None, None, None, None, w, None, n) for w, n in out.items()])
+        return _batch([(1, None, None, None, None, w, None, n, ends[w]) for w, n in out.items()])
 
 
 def _batch(rows):
-    cols = list(zip(*rows)) if rows else [[]] * 8
-    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["what", "table_name", "record_id", "source", "verdict", "token", "closing", "n"])
+    cols = list(zip(*rows)) if rows else [[]] * 9
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["what", "table_name", "record_id", "source", "verdict", "token", "closing", "n", "ends"])
 
 
 def _pass(name: str, judge):
@@ -222,7 +228,7 @@ def _pass(name: str, judge):
                 verdict, tok, key, n, texts = judge(*rest)
                 for t in texts:
                     words.add(t)
-                rows.append((0, name, i, source, verdict, tok, key, n))
+                rows.append((0, name, i, source, verdict, tok, key, n, None))
             yield _batch(rows)
             if len(words.c) > 200_000:
                 yield words.drain()
@@ -279,10 +285,14 @@ def evidence(items: DataFrame, prompts: DataFrame, outputs: DataFrame) -> DataFr
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """(node, is_word, goes_on): one row per prefix of a word of the corpus that occurs at least twice."""
-    known = words.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
-    nodes = known.select(F.explode(F.expr("transform(sequence(1, length(word)), i -> struct(substring(word, 1, i) as node, i = length(word) as is_word))")).alias("x")).select("x.*")
-    return nodes.groupBy("node").agg(F.max("is_word").alias("is_word"), F.max(~F.col("is_word")).alias("goes_on"))
+    """(node, is_word, goes_on, inner): one row per prefix of a word of the corpus that occurs at least twice.
+
+    inner: a frequent word that (almost) never ends a sentence, such as an article.
+    """
+    known = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where("n >= 2")
+    known = known.select("word", ((F.col("n") >= 50) & (F.col("ends") * INNER < F.col("n"))).alias("inner"))
+    nodes = known.select(F.explode(F.expr("transform(sequence(1, length(word)), i -> struct(substring(word, 1, i) as node, i = length(word) as is_word, i = length(word) and inner as inner))")).alias("x")).select("x.*")
+    return nodes.groupBy("node").agg(F.max("is_word").alias("is_word"), F.max(~F.col("is_word")).alias("goes_on"), F.max("inner").alias("inner"))
 
 
 def judged(items: DataFrame, prompts: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -291,9 +301,9 @@ def judged(items: DataFrame, prompts: DataFrame, outputs: DataFrame) -> DataFram
     ends = seen.where("what = 0").groupBy("table_name", "record_id").agg(*(F.max(c).alias(c) for c in ("source", "verdict", "token", "closing", "n")))
     ends = cut(ends)
     asked = ends.where(f"verdict in ({ASK_WHOLE}, {ASK_CUT}, {ASK_LIMIT})")
-    nodes = trie(seen.where("what = 1").select(F.col("token").alias("word"), "n"))
+    nodes = trie(seen.where("what = 1").select(F.col("token").alias("word"), "n", "ends"))
     tokens = asked.select(F.col("token").alias("node")).where("node is not null").distinct()
-    cut_tokens = tokens.join(nodes, "node").where("goes_on and not is_word").select(F.col("node").alias("token"), F.lit(True).alias("cut_token"))
+    cut_tokens = tokens.join(nodes, "node").where("(goes_on and not is_word) or inner").select(F.col("node").alias("token"), (~F.col("is_word")).alias("cut_token"), "inner")
     total = F.lit(ends.count() / FREQUENT)
     usual = ends.where("closing is not null").groupBy("closing").agg(F.count("*").alias("c")).where(F.col("c") >= F.greatest(F.lit(3), total)).select("closing")
     usual = cut(usual)  # at most FREQUENT rows
@@ -311,7 +321,7 @@ def judged(items: DataFrame, prompts: DataFrame, outputs: DataFrame) -> DataFram
         F.when(yes("is_usual"), False)
         .when(yes("cut_token") | yes("begun"), True)
         .when(v == ASK_CUT, True)
-        .when(v == ASK_LIMIT, yes("at_limit"))
+        .when(v == ASK_LIMIT, yes("at_limit") | yes("inner"))
         .otherwise(False)
     )
     settled = ends.where(f"verdict in ({WHOLE}, {CUT})").select("table_name", "record_id", "source", (F.col("verdict") == CUT).alias("is_cut"))
