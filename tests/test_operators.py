@@ -84,6 +84,20 @@ def test_jaccard(spark):
     assert rows(graph.jaccard(m)) == [(1, 2, 0.5)]
 
 
+@pytest.mark.parametrize("least", [0.1, 0.3, 0.5, 0.8, 1.0])
+def test_jaccard_against_brute_force(spark, least):
+    r = random.Random(11)
+    sets = {i: frozenset(r.choices("abcdefghijkl", k=r.randint(1, 9)) + (["hub"] if r.random() < 0.8 else [])) for i in range(60)}
+    rep = {}
+    for i in sorted(sets):
+        rep.setdefault(sets[i], i)
+    want = {(rep[s], i) for i, s in sets.items() if rep[s] != i}
+    reps = sorted(rep.values())
+    want |= {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least - 1e-12}
+    df = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "set_id int, item string")
+    assert {(x["a"], x["b"]) for x in graph.jaccard(df, least).collect()} == want
+
+
 def test_components(spark):
     r = random.Random(3)
     n = 120

@@ -59,20 +59,34 @@ def cosine_edges(batch: DataFrame, targets: DataFrame, k: int = 8, min_sim: floa
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "b", F.round("sim", 6).alias("strength"), "rank")
 
 
-def jaccard(members: DataFrame, most_sets: int | None = None) -> DataFrame:
-    """(a, b, jaccard) of sets with a common member; members: (set_id, item).
-
-    A sparse self join on the item: pairs without a common member do not arise.
-    ``most_sets`` leaves out items of more sets than that (hubs), for use where
-    their pairs are not wanted.
+def jaccard(members: DataFrame, least: float = 0.30) -> DataFrame:
+    """(a, b, jaccard) of sets (set_id, item) that are alike to at least ``least`` > 0.
+
+    Prefix filtering, exact: items are ordered from rare to frequent, and two
+    sets can only be that much alike if they share one of their first
+    n - ceil(least * n) + 1 items; only those are joined, so frequent items
+    bring no sets together. Equal sets are one set until the end: a pair is
+    given between the least ids of two classes, and each member with its class's
+    least id.
     """
-    m = members.select("set_id", "item").distinct()
-    sizes = m.groupBy("set_id").agg(F.count("*").alias("n"))
-    if most_sets is not None:
-        m = m.join(m.groupBy("item").agg(F.count("*").alias("c")).where(F.col("c") <= most_sets).select("item"), "item", "left_semi")
-    both = m.alias("x").join(m.alias("y"), (F.col("x.item") == F.col("y.item")) & (F.col("x.set_id") < F.col("y.set_id"))).groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("c"))
-    j = both.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    return j.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
+    m = members.select("set_id", "item").where("set_id is not null and item is not null").distinct()
+    freq = m.groupBy("item").agg(F.count("*").alias("f"))
+    sets = m.join(freq, "item").groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "item"))), lambda x: x["item"]).alias("items"))
+    sets = cut(sets.withColumn("k", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), "\x1f"), 256)))
+    classes = sets.groupBy("k").agg(F.min("set_id").alias("rep"), F.count("*").alias("n"))
+    reps = sets.join(classes.where("n >= 1").select(F.col("rep").alias("set_id")), "set_id", "left_semi")
+    n = F.size("items")
+    head = F.slice("items", F.lit(1), F.greatest(F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1))
+    pre = reps.select("set_id", n.alias("n"), F.explode(head).alias("item"))
+    x, y = pre.alias("x"), pre.alias("y")
+    near = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.n") * least <= F.col("y.n") + 1e-9) & (F.col("y.n") * least <= F.col("x.n") + 1e-9))
+    near = near.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    full = reps.select("set_id", "items")
+    v = near.join(full.select(F.col("set_id").alias("a"), F.col("items").alias("ia")), "a").join(full.select(F.col("set_id").alias("b"), F.col("items").alias("ib")), "b")
+    both = F.size(F.array_intersect("ia", "ib"))
+    pairs = v.select("a", "b", (both / (F.size("ia") + F.size("ib") - both)).alias("jaccard")).where(F.col("jaccard") >= least - 1e-12)
+    copies = sets.join(classes.where("n > 1").select("k", "rep"), "k").where("set_id <> rep").select(F.col("rep").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(copies)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -83,6 +97,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut(e)
+    mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -90,11 +105,12 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = cut(small)
-        same = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
-        e = small
-        if same:
+        e = cut(small)
+        # nothing changed if the edges are as many and sum up to the same hash
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
             break
+        mark = now
     label = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(label, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 

@@ -123,32 +123,42 @@ def embedding_l2(spark: SparkSession, d: str) -> DataFrame:
 _SIM = "s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id{extra}), r AS (SELECT a, b, round(sim, 6) AS strength, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS rank FROM s WHERE sim >= {least})"
 
 
-@query("cosine_topk", f"WITH {_SIM.format(extra=' AND a.vec_id % 5 = 0', least=0.25)} SELECT a, b, strength, rank FROM r WHERE rank <= 8")
+@query("cosine_topk", f"WITH {_SIM.format(extra=' AND a.vec_id % 100 = 0', least=0.25)} SELECT a, b, strength, rank FROM r WHERE rank <= 8")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graph.cosine_edges(e.where("id % 5 = 0"), e, 8, 0.25)
+    return graph.cosine_edges(e.where("id % 100 = 0"), e, 8, 0.25)
 
 
-@query("similarity_components", f"WITH RECURSIVE {_SIM.format(extra='', least=0.35)}, w(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.b, w.c FROM w JOIN r ON r.a = w.id) SELECT id, min(c) AS component FROM w GROUP BY 1")
+_CLASSES = "s AS (SELECT set_id, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY 1), cl AS (SELECT items, min(set_id) AS rep FROM s GROUP BY 1), rep AS (SELECT rep AS set_id, items FROM cl), u AS (SELECT set_id, unnest(items) AS item FROM rep), p AS (SELECT x.set_id AS a, y.set_id AS b, count(*) AS c FROM u x JOIN u y ON x.item = y.item AND x.set_id < y.set_id GROUP BY 1, 2), j AS (SELECT a, b, c / (len(ra.items) + len(rb.items) - c) AS jaccard FROM p JOIN rep ra ON ra.set_id = a JOIN rep rb ON rb.set_id = b UNION ALL SELECT rep, set_id, 1.0 FROM s JOIN cl USING (items) WHERE set_id <> rep)"
+_SETS = f"{_MENTIONS}, ms AS (SELECT DISTINCT id AS set_id, concept_id AS item FROM c WHERE concept_id IS NOT NULL)"
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    n = _normalised(spark, d).select(F.col("id").alias("set_id"), F.explode("concepts").alias("c"))
+    return n.select("set_id", ids.concept_id(F.col("c.type"), F.col("c.name")).alias("item")).distinct()
+
+
+@query("similarity_components", f"WITH RECURSIVE {_SETS}, {_CLASSES.replace('FROM m ', 'FROM ms ')}, e AS (SELECT a, b FROM j WHERE jaccard >= 0.1 UNION SELECT b, a FROM j WHERE jaccard >= 0.1), w(id, c) AS (SELECT DISTINCT set_id, set_id FROM ms UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.id) SELECT id, min(c) AS component FROM w GROUP BY 1")
 def similarity_components(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graph.components(e.select("id"), graph.cosine_edges(e, e, 1_000_000, 0.35).select("a", "b"))
+    """Sources clustered by the concepts they share."""
+    m = _sets(spark, d)
+    return graph.components(m.select(F.col("set_id").alias("id")).distinct(), graph.jaccard(m, 0.1).select("a", "b"))
 
 
-@query("related_names", f"WITH {_SIM.format(extra='', least=0.3)} SELECT a, 'node ' || b AS name, strength, rank FROM r WHERE rank <= 10")
+@query("related_names", f"WITH {_SIM.format(extra=' AND a.vec_id % 100 = 0', least=0.3)} SELECT a, 'node ' || b AS name, strength, rank FROM r WHERE rank <= 10")
 def related_names(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     names = e.select(F.col("id").alias("b"), F.concat(F.lit("node "), F.col("id").cast("string")).alias("name"))
-    return graph.cosine_edges(e, e, 10, 0.3).join(names, "b").select("a", "name", "strength", "rank")
+    return graph.cosine_edges(e.where("id % 100 = 0"), e, 10, 0.3).join(names, "b").select("a", "name", "strength", "rank")
 
 
 _MEMBERS = "m AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS item FROM lineitem)"
 
 
-@query("jaccard_pairs", f"WITH {_MEMBERS}, n AS (SELECT set_id, count(*) AS n FROM m GROUP BY 1), p AS (SELECT x.set_id AS a, y.set_id AS b, count(*) AS c FROM m x JOIN m y ON x.item = y.item AND x.set_id < y.set_id GROUP BY 1, 2) SELECT a, b, round(c / (na.n + nb.n - c), 9) AS jaccard FROM p JOIN n na ON na.set_id = a JOIN n nb ON nb.set_id = b")
+@query("jaccard_pairs", f"WITH {_MEMBERS}, {_CLASSES} SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.15 - 1e-12")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("item"))
-    return graph.jaccard(m).withColumn("jaccard", F.round("jaccard", 9))
+    return graph.jaccard(m, 0.15).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("membership_lists", f"WITH {_MEMBERS} SELECT item AS id, sha1(array_to_string(list_sort(list(set_id)), ',')) AS sources FROM m GROUP BY 1")
@@ -175,22 +185,22 @@ def token_overlap_parent(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "cross_source_relations",
-    f"WITH {_SIM.format(extra='', least=0.3)}, e AS (SELECT a, b, strength FROM r WHERE rank <= 8), x AS (SELECT a % 7 AS a_source, a, b % 7 AS b_source, b, a % 2 + 1 AS tier, strength FROM e WHERE a % 2 = b % 2 AND a % 7 <> b % 7)"
+    f"WITH {_SIM.format(extra=' AND a.vec_id % 100 = 0', least=0.2)}, e AS (SELECT a, b, strength FROM r WHERE rank <= 30), x AS (SELECT a % 7 AS a_source, a, b % 7 AS b_source, b, a % 2 + 1 AS tier, strength FROM e WHERE a % 2 = b % 2 AND a % 7 <> b % 7)"
     " SELECT least(a, b) AS lo, greatest(a, b) AS hi, tier, max(strength) AS strength FROM x GROUP BY 1, 2, 3",
 )
 def cross_source_relations(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    edges = graph.cosine_edges(e, e, 8, 0.3).withColumn("pos", F.col("rank"))
+    edges = graph.cosine_edges(e.where("id % 100 = 0"), e, 30, 0.2).withColumn("pos", F.col("rank"))
     m = e.select((F.col("id") % 7).alias("source_id"), "id")
     t = e.select("id", (F.col("id") % 2 + 1).cast("int").alias("tier"))
-    r = graph.cross_relations(edges, m, t, 0.3)
+    r = graph.cross_relations(edges, m, t, 0.2)
     return r.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("tier").cast("long").alias("tier"), "strength")
 
 
-@query("concept_ring", f"WITH {_SIM.format(extra='', least=0.25)}, e AS (SELECT a, b, strength, rank - 1 AS slot FROM r WHERE rank <= 12), n AS (SELECT *, count(*) OVER (PARTITION BY a) AS n FROM e) SELECT a, b, slot, CAST(trunc(1200 + 360 * cos(-pi() / 2 + 2 * pi() * slot / n)) AS INTEGER) AS x, CAST(trunc(1200 + 360 * sin(-pi() / 2 + 2 * pi() * slot / n)) AS INTEGER) AS y FROM n")
+@query("concept_ring", f"WITH {_SIM.format(extra=' AND a.vec_id % 100 = 0', least=0.25)}, e AS (SELECT a, b, strength, rank - 1 AS slot FROM r WHERE rank <= 12), n AS (SELECT *, count(*) OVER (PARTITION BY a) AS n FROM e) SELECT a, b, slot, CAST(trunc(1200 + 360 * cos(-pi() / 2 + 2 * pi() * slot / n)) AS INTEGER) AS x, CAST(trunc(1200 + 360 * sin(-pi() / 2 + 2 * pi() * slot / n)) AS INTEGER) AS y FROM n")
 def concept_ring(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return layout.ring(graph.cosine_edges(e, e, 12, 0.25)).select("a", "b", F.col("slot").cast("long").alias("slot"), "x", "y")
+    return layout.ring(graph.cosine_edges(e.where("id % 100 = 0"), e, 12, 0.25)).select("a", "b", F.col("slot").cast("long").alias("slot"), "x", "y")
 
 
 _SITES = {"x": text.X_LINES, "linkedin": text.LINKEDIN_LINES, "reddit": text.REDDIT_LINES}
