@@ -24,23 +24,25 @@ def source_class(c: Column) -> Column:
     return F.when(c.isin("reddit", "linkedin", "x"), c).otherwise("generic")
 
 
-def running(df: DataFrame, value: str, order: list[Column], key: str = "_rank_bucket", buckets: int = 64, alias: str = "running") -> DataFrame:
-    """Running sum over a total order without one task for all rows.
+def running(df: DataFrame, values: dict[str, str] | str, order: list[Column], alias: str = "running", buckets: int = 64) -> DataFrame:
+    """Running sums over a total order without one task for all rows.
 
     The first order column is cut into ranges by approximate quantiles; sums of
-    whole ranges (at most ``buckets`` rows) are added to the sum inside the range.
+    whole ranges (at most ``buckets`` rows) are added to the sums inside the
+    range. values: new column by summed column, or one column for ``alias``.
     """
-    lead = order[0]
-    edges = df.select(lead.cast("double").alias("v")).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("e")).first()["e"] or []
+    values = {values: alias} if isinstance(values, str) else values
+    lead = order[0].cast("double")
+    edges = df.select(lead.alias("v")).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
-    b = F.lit(0)
-    if edges:
-        b = F.size(F.filter(F.lit(edges), lambda e: e < lead.cast("double")))
-    d = df.withColumn(key, F.coalesce(b, F.lit(-1)))
-    sums = d.groupBy(key).agg(F.sum(value).alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.join(F.broadcast(before), key).withColumn(alias, F.col("_before") + F.sum(value).over(w)).drop("_before", key)
+    b = F.size(F.filter(F.lit(edges), lambda e: e < lead)) if edges else F.lit(0)
+    d = df.withColumn("_range", F.coalesce(b, F.lit(-1)))
+    sums = d.groupBy("_range").agg(*(F.sum(v).alias(f"_s_{a}") for v, a in values.items()))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", *(F.coalesce(F.sum(f"_s_{a}").over(before), F.lit(0)).alias(f"_b_{a}") for a in values.values()))
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(F.broadcast(sums), "_range")
+    return out.withColumns({a: F.col(f"_b_{a}") + F.sum(v).over(w) for v, a in values.items()}).drop("_range", *(f"_b_{a}" for a in values.values()))
 
 
 def budget_prefix(df: DataFrame, cost: str, order: list[Column], budget: float, first_free: bool = True, most: int | None = None) -> DataFrame:
@@ -49,8 +51,7 @@ def budget_prefix(df: DataFrame, cost: str, order: list[Column], budget: float,
     first_free admits the first row whatever it costs; ``most`` also caps the rows.
     Costs are not negative, so the prefix is a filter on the running sum.
     """
-    d = running(df.withColumn("_one", F.lit(1)), cost, order, alias="running_cost")
-    d = running(d, "_one", order, alias="rank").drop("_one")
+    d = running(df.withColumn("_one", F.lit(1)), {cost: "running_cost", "_one": "rank"}, order).drop("_one")
     ok = F.col("running_cost") <= budget
     if first_free:
         ok = ok | (F.col("rank") == 1)

@@ -265,3 +265,28 @@ def markdown_notes(spark: SparkSession, d: str) -> DataFrame:
     m = responses.mentions(n).select(F.col("source_id").alias("id"), F.col("concept_id").alias("stem"), "name", F.col("concept_type").alias("kind"), "tier", "confidence").dropDuplicates(["id", "stem"])
     rel = spark.createDataFrame([], "id string, stem string, name string, strength double")
     return sinks.source_notes(src, m, rel)
+
+
+def _concepts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Concept nodes (first name, kind and tier win) with their frequency, and all mentions."""
+    n = _normalised(spark, d).dropDuplicates(["id"])
+    m = cut(responses.mentions(n))
+    freq = graph.doc_freq(m).withColumnRenamed("concept_id", "id")
+    first = m.groupBy(F.col("concept_id").alias("id")).agg(F.min("tier").alias("tier"), F.min("name").alias("name"), F.min("concept_type").alias("kind"))
+    return first.join(freq, "id").withColumn("stem", F.concat(F.lit("concept - "), text.slug(F.col("name")), F.lit(" - "), text.tail8(F.col("id")))), m
+
+
+@query("concept_notes")
+def concept_notes(spark: SparkSession, d: str) -> DataFrame:
+    c, m = _concepts(spark, d)
+    src = m.select(F.col("concept_id").alias("id"), F.col("source_id").alias("stem"), F.col("source_id").alias("title"), F.crc32("source_id").alias("pos")).distinct()
+    none = spark.createDataFrame([], "id string, stem string, name string, strength double")
+    return sinks.concept_notes(c, src, none)
+
+
+@query("map_pages")
+def map_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The index pages: top concepts, one per type, sources."""
+    c, m = _concepts(spark, d)
+    s = m.select(F.col("source_id").alias("stem"), F.col("source_id").alias("title"), F.crc32("source_id").alias("pos")).distinct()
+    return sinks.top_page(c).unionByName(sinks.index_pages(c)).unionByName(sinks.sources_page(s))

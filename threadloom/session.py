@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
 import tempfile
@@ -56,16 +57,35 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _made:
+        atexit.register(_sweep, spark)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Deletes the tables that this process cut, when it ends."""
+    for path in _made:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended before
+            return
+
+
 def release(df: DataFrame) -> None:
     """Deletes a table made by :func:`cut` that no later step reads."""
     spark = df.sparkSession
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if os.path.basename(f).startswith("cut-"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, f)
 
 
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:

@@ -76,6 +76,39 @@ def index_pages(concepts: DataFrame, per_page: int = 500) -> DataFrame:
     return g.select(F.concat("kind", F.lit(" Index")).alias("page"), F.concat(front_matter({"kind": F.lit("map"), "map": F.lit("concept_type"), "concept_type": F.col("kind")}), F.lit("# "), F.col("kind"), F.lit(" index\n\n"), F.col("lines"), F.lit("\n")).alias("body"))
 
 
+def concept_notes(concepts: DataFrame, sources: DataFrame, similar: DataFrame, most_sources: int = 200) -> DataFrame:
+    """(id, body): concepts id, name, kind, tier, doc_freq; sources id, stem, title, pos; similar id, stem, name, strength.
+
+    The first sources of a concept by position are listed, so a concept of very
+    many sources stays a note; the rank filter is pushed before the shuffle.
+    """
+    w = Window.partitionBy("id").orderBy("pos", "stem")
+    s = sources.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_sources)
+    s = s.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("- "), wikilink(F.col("stem"), F.col("title"))).alias("line")))), lambda x: x["line"]), "\n").alias("found"))
+    r = similar.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("o"), F.concat(F.lit("- "), wikilink(F.col("stem"), F.col("name")), F.lit(" ("), F.format_string("%.3f", "strength"), F.lit(")")).alias("line")))), lambda x: x["line"]), "\n").alias("near"))
+    d = concepts.join(s, "id", "left").join(r, "id", "left")
+    body = F.concat(
+        front_matter({"kind": F.lit("concept"), "concept_node_id": F.col("id"), "concept_type": F.col("kind"), "tier": F.col("tier"), "doc_freq": F.coalesce("doc_freq", F.lit(0))}),
+        F.lit("# "), F.col("name"), F.lit("\n\n## My notes\n\n"), F.lit(NOTE_PROMPT), F.lit("\n\n## Sources\n\n"), F.coalesce("found", F.lit("(None)")), F.lit("\n\n## Similar concepts\n\n"), F.coalesce("near", F.lit("(None)")), F.lit("\n"),
+    )
+    return d.select("id", body.alias("body"))
+
+
+def top_page(concepts: DataFrame, most: int = 500) -> DataFrame:
+    """(page, body): the most frequent concepts; concepts: stem, name, kind, tier, doc_freq."""
+    top = concepts.orderBy(F.desc("doc_freq"), "tier", "name", "stem").limit(most)
+    line = F.concat(F.lit("- "), wikilink(F.col("stem"), F.col("name")), F.lit(" - "), F.col("kind"), F.lit(", tier "), F.col("tier").cast("string"), F.lit(", doc_freq "), F.col("doc_freq").cast("string"))
+    g = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("doc_freq")).alias("o"), "tier", "name", "stem", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return g.select(F.lit("Top Concepts").alias("page"), F.concat(front_matter({"kind": F.lit("map"), "map": F.lit("top_concepts")}), F.lit("# Top concepts (by frequency)\n\n"), F.coalesce(F.nullif("lines", F.lit("")), F.lit("(None)")), F.lit("\n")).alias("body"))
+
+
+def sources_page(sources: DataFrame, most: int = 5_000) -> DataFrame:
+    """(page, body): the first sources by node number; sources: pos, stem, title."""
+    first = sources.orderBy("pos", "stem").limit(most)
+    g = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem", F.concat(F.lit("- "), wikilink(F.col("stem"), F.col("title"))).alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return g.select(F.lit("Sources Index").alias("page"), F.concat(front_matter({"kind": F.lit("map"), "map": F.lit("sources")}), F.lit("# Sources index\n\n"), F.coalesce(F.nullif("lines", F.lit("")), F.lit("(None)")), F.lit("\n")).alias("body"))
+
+
 def keep_header(new: DataFrame, old: DataFrame) -> DataFrame:
     """New bodies below what users wrote above the mark; a note without the mark is kept whole. (id, body)."""
     o = old.select("id", F.col("body").alias("_old"))
