@@ -337,6 +337,20 @@ def test_cut_records(spark):
     assert truncation.cut_records(items.limit(0), prompts.limit(0), outs.limit(0)).count() == 0
 
 
+def test_copies_hide_no_cut(spark):
+    whole = {f"w{i}": prose(6, i) for i in range(40)}
+    one = prose(5) + " Several quiet ledgers carry the notebooks of win"  # "win" begins "winter"
+    word = prose(5, 7) + " Several ledgers carry quiet stories about"
+    copies = {f"c{i}": one for i in range(6)} | {f"d{i}": word for i in range(6)}
+    many = {f"m{i}": prose(4, 100 + i) + " We met in the gar" for i in range(4)}  # one half word, several texts
+    usual = {f"u{i}": prose(3, 200 + i) + "\n\nKept by our winter club" for i in range(4)}
+    known = {"k1": prose(2, 300) + " The club met. A club is quiet.", "k2": prose(2, 301) + " The garden met. A garden is quiet."}
+    items = spark.createDataFrame([(k, None, v, "web", "x", "y") for k, v in {**whole, **copies, **many, **usual, **known}.items()], ITEMS)
+    prompts = spark.createDataFrame([(k, None, None, [("user", f"URL: u\nTITLE: T\nCONTENT:\n{v}")], 1) for k, v in copies.items()], PROMPTS)
+    got = set(rows(truncation.cut_records(items, prompts, spark.createDataFrame([], OUT))))
+    assert got == {("saved_items", k) for k in {**copies, **many}} | {("groq_batch_3r", k) for k in copies}
+
+
 def test_long_text_ends():
     assert truncation.end_evidence(prose(30_000))[0] == truncation.WHOLE
     assert truncation.open_map('{"a": "x\\"}') and not truncation.open_map('{"a": [1, "]"]}')

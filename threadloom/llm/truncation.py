@@ -5,9 +5,12 @@ word counts of the corpus. The corpus vocabulary becomes a trie stored as a
 table: one row per node (prefix), with whether it is a word and whether words
 go on from it; last words of texts are left out, so cut words never enter it.
 Final tokens are joined with their node: an unknown proper prefix of known
-words is a cut. Frequent last sentences are kept the same way, so usual
-closings and page footers are whole and their proper prefixes are cut. Lengths
-at which many open texts stop are field limits and settle the rest.
+words is a cut, however often its sentence comes. Frequent last sentences
+are kept the same way, so usual closings and page footers are whole and their
+proper prefixes are cut. Lengths at which many open texts stop are field limits
+and settle the rest. Closings and lengths count over distinct texts (a hash of
+the whole text), so copies and prompts of one text are one witness; a text that
+stops at a field limit is no witness that its closing is usual.
 
 Nothing is broadcast but the frequent last sentences and limits, at most
 ``FREQUENT`` rows each by their definition (a share of at least 1/FREQUENT).
@@ -25,6 +28,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,7 +186,7 @@ def answer_cut(text: str | None) -> bool:
 
 # ---- one pass over the texts ----------------------------------------------
 
-_SCHEMA = "what int, table_name string, record_id string, source string, verdict int, token string, closing string, n long, ends long"
+_SCHEMA = "what int, table_name string, record_id string, source string, verdict int, token string, closing string, n long, ends long, whole long"
 #: a word that ends less than one in so many of its sentences' parts does not end a phrase
 INNER = 1_000
 
@@ -207,17 +211,17 @@ class _Words:
             if ws and _DONE.search(raw):
                 ends[ws[-1]] += n
         self.c.clear()
-        return _batch([(1, None, None, None, None, w, None, n, ends[w]) for w, n in out.items()])
+        return _batch([(1, None, None, None, None, w, None, n, ends[w], None) for w, n in out.items()])
 
 
 def _batch(rows):
-    cols = list(zip(*rows)) if rows else [[]] * 9
-    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["what", "table_name", "record_id", "source", "verdict", "token", "closing", "n", "ends"])
+    cols = list(zip(*rows)) if rows else [[]] * 10
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["what", "table_name", "record_id", "source", "verdict", "token", "closing", "n", "ends", "whole"])
 
 
 def _pass(name: str, judge):
-    """judge(row) -> (verdict, token, closing, length, texts for the vocabulary)."""
+    """judge(row) -> (verdict, token, closing, length, hash of the text, texts for the vocabulary)."""
 
     def run(batches):
         words = _Words()
@@ -225,10 +229,10 @@ def _pass(name: str, judge):
             cols = [c.to_pylist() for c in b.columns]
             rows = []
             for i, source, *rest in zip(*cols):
-                verdict, tok, key, n, texts = judge(*rest)
+                verdict, tok, key, n, whole, texts = judge(*rest)
                 for t in texts:
                     words.add(t)
-                rows.append((0, name, i, source, verdict, tok, key, n, None))
+                rows.append((0, name, i, source, verdict, tok, key, n, None, whole))
             yield _batch(rows)
             if len(words.c) > 200_000:
                 yield words.drain()
@@ -237,13 +241,18 @@ def _pass(name: str, judge):
     return run
 
 
+def _hash(text: str | None) -> int | None:
+    """The same for a saved text and for a prompt that holds it."""
+    return xxhash.xxh64_intdigest(s) - (1 << 63) if (s := (text or "").strip()) else None
+
+
 def _judge_item(text, title):
-    return *end_evidence(text, title), len(text or ""), [text] if text else []
+    return *end_evidence(text, title), len(text or ""), _hash(text), [text] if text else []
 
 
 def _judge_prompt(messages):
     """The worst of the messages; the vocabulary sees each once."""
-    best, texts = (WHOLE, None, None, 0), []
+    best, texts = (WHOLE, None, None, 0, None), []
     rank = {CUT: 4, ASK_CUT: 3, ASK_LIMIT: 2, ASK_WHOLE: 1, WHOLE: 0}
     for m in messages or []:
         content = (m or {}).get("content")
@@ -251,14 +260,14 @@ def _judge_prompt(messages):
             continue
         title, body = ("", content) if (m.get("role") == "system") else prompt_parts(content)
         texts.append(content)
-        got = (*end_evidence(body, title or None), len(body))
+        got = (*end_evidence(body, title or None), len(body), _hash(body))
         if rank[got[0]] > rank[best[0]]:
             best = got
     return *best, texts
 
 
 def _judge_answer(text):
-    return (CUT if answer_cut(text) else WHOLE), None, None, len(text or ""), [text] if text else []
+    return (CUT if answer_cut(text) else WHOLE), None, None, len(text or ""), _hash(text), [text] if text else []
 
 
 def answer_text(raw_column: str = "raw", content: str = "assistant_content"):
@@ -298,28 +307,32 @@ def trie(words: DataFrame) -> DataFrame:
 def judged(items: DataFrame, prompts: DataFrame, outputs: DataFrame) -> DataFrame:
     """(table_name, record_id, source, is_cut): one row per record."""
     seen = cut(evidence(items, prompts, outputs))
-    ends = seen.where("what = 0").groupBy("table_name", "record_id").agg(*(F.max(c).alias(c) for c in ("source", "verdict", "token", "closing", "n")))
+    ends = seen.where("what = 0").groupBy("table_name", "record_id").agg(*(F.max(c).alias(c) for c in ("source", "verdict", "token", "closing", "n", "whole")))
     ends = cut(ends)
     asked = ends.where(f"verdict in ({ASK_WHOLE}, {ASK_CUT}, {ASK_LIMIT})")
     nodes = trie(seen.where("what = 1").select(F.col("token").alias("word"), "n", "ends"))
     tokens = asked.select(F.col("token").alias("node")).where("node is not null").distinct()
     cut_tokens = tokens.join(nodes, "node").where("(goes_on and not is_word) or inner").select(F.col("node").alias("token"), (~F.col("is_word")).alias("cut_token"), "inner")
-    total = F.lit(ends.count() / FREQUENT)
-    usual = ends.where("closing is not null").groupBy("closing").agg(F.count("*").alias("c")).where(F.col("c") >= F.greatest(F.lit(3), total)).select("closing")
-    usual = cut(usual)  # at most FREQUENT rows
-    begins = usual.select(F.explode(F.expr("transform(sequence(4, length(closing) - 1), i -> substring(closing, 1, i))")).alias("closing")).where("length(closing) >= 4").distinct()
-    begins = begins.join(usual, "closing", "left_anti").select("closing", F.lit(True).alias("begun"))
+    texts = ends.where("n > 0").select("table_name", "n", "closing", "whole").distinct()  # copies are one text
+    total = F.lit(ends.select("whole").distinct().count() / FREQUENT)
     # field limits: lengths at which far more open texts stop than at the lengths beside
-    per = ends.where("n > 0").groupBy("table_name", "n").agg(F.count("*").alias("c"))
+    per = texts.groupBy("table_name", "n").agg(F.count_distinct("whole").alias("c"))
     w = Window.partitionBy("table_name").orderBy("n").rangeBetween(-4, 4)
     limits = per.withColumn("around", (F.sum("c").over(w) - F.col("c")) / 8).where(F.col("c") >= F.greatest(F.lit(5), total, 5 * F.col("around"))).select("table_name", "n", F.lit(True).alias("at_limit"))
+    limits = cut(limits)
+    free = texts.where("closing is not null").join(F.broadcast(limits), ["table_name", "n"], "left_anti")
+    usual = free.groupBy("closing").agg(F.count_distinct("whole").alias("c")).where(F.col("c") >= F.greatest(F.lit(3), total)).select("closing")
+    usual = cut(usual)  # at most FREQUENT rows
+    begins = usual.select(F.explode(F.expr("transform(sequence(4, length(closing) - 1), i -> substring(closing, 1, i))")).alias("closing")).where("length(closing) >= 4").distinct()
+    begins = begins.join(usual, "closing", "left_anti").select("closing", F.lit(True).alias("begun"))
     out = asked.join(cut_tokens, "token", "left")
     out = out.join(F.broadcast(usual.select("closing", F.lit(True).alias("is_usual"))), "closing", "left").join(begins, "closing", "left").join(F.broadcast(limits), ["table_name", "n"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     v = F.col("verdict")
     is_cut = (
-        F.when(yes("is_usual"), False)
-        .when(yes("cut_token") | yes("begun"), True)
+        F.when(yes("cut_token"), True)
+        .when(yes("is_usual"), False)
+        .when(yes("begun"), True)
         .when(v == ASK_CUT, True)
         .when(v == ASK_LIMIT, yes("at_limit") | yes("inner"))
         .otherwise(False)
