@@ -194,6 +194,23 @@ def test_large_lists_are_blocked(spark, monkeypatch):
     assert got == {(f"n{i:04d}", f"n{j:04d}") for i in range(len(v)) for j in np.argsort(-s[i])[:5]}
 
 
+@pytest.mark.parametrize("cap", [6_000, 100])
+def test_recall_in_a_dense_cluster(spark, monkeypatch, cap):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 25)
+    monkeypatch.setattr(neighbours, "LIST_CAP", cap)
+    r = np.random.default_rng(4)
+    noise = lambda n: 0.6 * r.normal(size=(n, 128)) / np.sqrt(128)
+    one = lambda n: (x := r.normal(size=(n, 128))) / np.linalg.norm(x, axis=1, keepdims=True)
+    v = np.concatenate([one(1) + noise(900), np.repeat(one(60), 30, axis=0) + noise(1_800)])  # a third in one cluster
+    df = spark.createDataFrame([(f"n{i:04d}", "m", 128, json.dumps([float(x) for x in a]), datetime(2031, 1, 1)) for i, a in enumerate(v)], "node_id string, model string, dim int, embedding_json string, updated_at timestamp")
+    got = {(r["node_id_a"], r["node_id_b"]) for r in neighbours.similar_pairs(df, 5).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {tuple(sorted((f"n{i:04d}", f"n{j:04d}"))) for i in range(900) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.7}
+    assert len(want) > 2_000 and len(got & want) >= 0.99 * len(want)
+
+
 def test_graph_search_finds_the_nearest():
     r = np.random.default_rng(3)
     c = r.normal(size=(600, 32)).astype(np.float32)

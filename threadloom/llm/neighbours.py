@@ -3,14 +3,18 @@
 Balanced posting lists. Centroids are fitted on a bounded sample (``SAMPLE``
 rows a model); their number follows the number of vectors, so lists keep their
 size, up to ``MAX_LISTS``. Every vector finds its nearest centroids in an
-in-memory graph of centroids (beam search) and is put into each list whose
-distance is within a ratio of the least: boundary vectors are in several lists,
-and the same pruning selects the lists a vector searches. Inside a list all
-vectors are compared by block products; the best of all lists are merged.
-
-A list over ``LIST_CAP`` rows is cut into blocks and every block is met by all
-of the list's rows, so no task holds an unbounded list. Equal vectors are one
-point with members: a group of copies costs one row per list.
+in-memory graph of centroids (beam search) and is stored in each list whose
+distance is within a ratio of the least, up to ``COPIES``: boundary vectors are
+in several lists. The ratio alone selects the lists a vector searches; where it
+goes on beyond the beam, as in a dense cluster, all centroids are scanned.
+
+Neighbouring lists are one region, so a vector travels once to a region and not
+to each of its lists; inside, all that is stored meets all that searches there
+by block products, and the best of all regions are merged. A region of many rows
+is cut into query parts and data blocks of 8 x ``LIST_CAP`` rows and every part
+meets every block, so no task holds an unbounded list. Where the ratio selects
+most lists, the work grows with the square of the vectors. Equal vectors are one
+point with members: a group of copies costs one row per region.
 
 Broadcast: the centroids only, at most MAX_LISTS x 128 floats (2 MB) a model.
 
@@ -196,42 +200,80 @@ class CentroidGraph:
 
 
 def lists_of(graph: CentroidGraph, q: np.ndarray, copies: int = COPIES, ratio: float = RATIO):
-    """(row, list) pairs: every list whose distance is within ``ratio`` of the least."""
-    ids, sim = graph.search(q, copies)
-    dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sim))
-    ok = (dist <= dist[:, :1] * ratio + 1e-6) & (sim > -9)
+    """(row, list, stored): every list whose distance is within ``ratio`` of the least; the nearest ``copies`` store the row."""
+    want = max(copies, 16)
+    ids, sim = graph.search(q, want)
+    near = lambda s: (s > -9) & (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * s)) <= np.sqrt(np.maximum(0.0, 2.0 - 2.0 * s.max(1, keepdims=True))) * ratio + 1e-6)
+    ok = near(sim)
+    wide = np.flatnonzero(ok[:, -1]) if want < len(graph.c) else np.zeros(0, np.int64)
+    ok[wide] = False
     r, j = np.nonzero(ok)
-    return r, ids[r, j]
+    parts = [(r, ids[r, j], j < copies)]
+    if len(wide):
+        s = q[wide] @ graph.c.T
+        first = np.zeros(s.shape, bool)
+        np.put_along_axis(first, np.argpartition(-s, copies - 1, axis=1)[:, :copies], True, 1)
+        r, j = np.nonzero(near(s))
+        parts.append((wide[r], j, first[r, j]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def regions_of(c: np.ndarray, rows: np.ndarray, cap: float) -> np.ndarray:
+    """The region of each list: halves along the widest direction until a region has at most ``cap`` rows."""
+    out = np.zeros(len(c), np.int32)
+    todo, n = [np.arange(len(c))], 0
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or rows[part].sum() <= cap:
+            out[part], n = n, n + 1
+            continue
+        x = c[part] - c[part].mean(0)
+        part = part[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+        at = int(np.clip(np.searchsorted(np.cumsum(rows[part]), rows[part].sum() / 2), 1, len(part) - 1))
+        todo += [part[:at], part[at:]]
+    return out
+
+
+def visits(graph: CentroidGraph, regions: np.ndarray, q: np.ndarray, copies: int, ratio: float):
+    """(row, region, stored): every region of which a row searches a list, once."""
+    r, lists, stored = lists_of(graph, q, copies, ratio)
+    n = int(regions.max()) + 1
+    keys, at = np.unique(r * n + regions[lists], return_inverse=True)
+    kept = np.zeros(len(keys), bool)
+    kept[at[stored]] = True
+    return keys // n, keys % n, kept
 
 
 # ---- the operator ----------------------------------------------------------
 
 
 def _assign(fitted, copies: int, ratio: float):
-    """Rows of the lists; those of a list with several blocks go to every pair of a query part and a data block."""
+    """Rows of the regions; those of a region in several parts go to every pair of a query part and a data block."""
 
     def run(batches):
         built = {}
         for pdf in batches:
             for model, g in pdf.groupby("model", sort=False):
-                c, blocks = fitted.value[model]
+                c, regions, parts, blocks = fitted.value[model]
                 if model not in built:
                     built[model] = CentroidGraph(c)
                 for i in range(0, len(g), 1024):
                     part = g.iloc[i : i + 1024]
-                    r, lists = lists_of(built[model], unpack(part["vec"]), copies, ratio)
-                    nid, vec, nb = part["nid"].to_numpy()[r], part["vec"].to_numpy()[r], blocks[lists]
-                    one = nb == 1
-                    out = [(lists[one], nid[one], vec[one], 0, 0, 2)]
-                    for x in np.flatnonzero(~one):
-                        n = int(nb[x])
-                        mine = (int(nid[x]) * 0x9E3779B97F4A7C15 >> 20) % n
-                        every = np.arange(n)
-                        for role, q, d in ((0, mine, every), (1, every, mine)):
-                            out.append((np.full(n, lists[x]), np.full(n, nid[x]), np.full(n, vec[x], object), q, d, role))
-                    for ls, ni, ve, q, d, role in out:
-                        if len(ls):
-                            yield pd.DataFrame({"model": model, "list": np.asarray(ls, np.int32), "qp": q, "db": d, "role": role, "nid": ni, "vec": ve})
+                    r, at, stored = visits(built[model], regions, unpack(part["vec"]), copies, ratio)
+                    nid, vec, nq, nb = part["nid"].to_numpy()[r], part["vec"].to_numpy()[r], parts[at], blocks[at]
+                    one = np.flatnonzero((nq == 1) & (nb == 1))
+                    more = np.flatnonzero((nq > 1) | (nb > 1))
+                    kept = more[stored[more]]
+                    mine = nid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+                    q, d = np.repeat(more, nb[more]), np.repeat(kept, nq[kept])
+                    every = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    for x, qp, db, role in (
+                        (one, 0, 0, np.where(stored[one], 2, 0)),
+                        (q, (mine[q] % nq[q].astype(np.uint64)).astype(np.int32), every(nb[more]), 0),
+                        (d, every(nq[kept]), (mine[d] % nb[d].astype(np.uint64)).astype(np.int32), 1),
+                    ):
+                        if len(x):
+                            yield pd.DataFrame({"model": model, "list": at[x].astype(np.int32), "qp": qp, "db": db, "role": role, "nid": nid[x], "vec": vec[x]})
 
     return run
 
@@ -239,16 +281,28 @@ def _assign(fitted, copies: int, ratio: float):
 def best_in_block(q_ids, q, d_ids, d, k: int, min_sim: float):
     """The best k rows of ``d`` for each row of ``q``, itself excepted."""
     a, b, s = [], [], []
-    for i in range(0, len(q), 1024):
-        m = q[i : i + 1024] @ d.T
-        m[q_ids[i : i + 1024, None] == d_ids[None, :]] = -9
+    step = min(1024, max(16, 8_000_000 // len(d)))
+    for i in range(0, len(q), step):
+        m = q[i : i + step] @ d.T
+        m[q_ids[i : i + step, None] == d_ids[None, :]] = -9
+        hit = m >= min_sim
+        if m.shape[1] > k and np.count_nonzero(hit) * 50 < m.size:
+            r, j = np.nonzero(hit)
+            v = m[r, j]
+            o = np.lexsort((-v, r))
+            r, j, v = r[o], j[o], v[o]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            a.append(q_ids[i : i + step][r[keep]])
+            b.append(d_ids[j[keep]])
+            s.append(v[keep])
+            continue
         if m.shape[1] > k:
             o = np.argpartition(-m, k - 1, axis=1)[:, :k]
             v = np.take_along_axis(m, o, 1)
         else:
             o, v = np.broadcast_to(np.arange(m.shape[1]), m.shape), m
         r, j = np.nonzero(v >= min_sim)
-        a.append(q_ids[i : i + 1024][r])
+        a.append(q_ids[i : i + step][r])
         b.append(d_ids[o[r, j]])
         s.append(v[r, j])
     return np.concatenate(a), np.concatenate(b), np.concatenate(s)
@@ -293,7 +347,14 @@ def nearest(df: DataFrame, k: int = 5, min_sim: float = -1.0, dim: int = DIM, co
         held = np.zeros(len(c))
         for i in range(0, len(x), 4096):
             held += np.bincount((x[i : i + 4096] @ c.T).argmax(1), minlength=len(c))
-        fitted[model] = c, np.maximum(1, np.ceil(held * (n / len(x)) * copies / LIST_CAP)).astype(np.int32)
+        more, cap = n / len(x), 8 * LIST_CAP
+        regions = regions_of(c, held * more, cap / 1.5)  # room for boundary vectors
+        graph, asked, kept = CentroidGraph(c), np.zeros(regions.max() + 1), np.zeros(regions.max() + 1)
+        for i in range(0, len(x), 1024):
+            _, at, stored = visits(graph, regions, x[i : i + 1024], copies, ratio)
+            asked += np.bincount(at, minlength=len(asked))
+            kept += np.bincount(at[stored], minlength=len(kept))
+        fitted[model] = c, regions, *(np.maximum(1, np.ceil(y * more / cap)).astype(np.int32) for y in (asked, kept))
     placed = points.mapInPandas(_assign(spark.sparkContext.broadcast(fitted), copies, ratio), "model string, list int, qp int, db int, role int, nid long, vec binary")
     pairs = placed.groupBy("model", "list", "qp", "db").applyInPandas(_search(k, min_sim), "a long, b long, sim float")
     best = _best(pairs, k)
@@ -301,10 +362,7 @@ def nearest(df: DataFrame, k: int = 5, min_sim: float = -1.0, dim: int = DIM, co
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each point over all its lists; a pair met in several lists counts once.
-
-    A point is in at most COPIES lists, so its candidates are bounded.
-    """
+    """The k best of each point over all its regions; a pair met in several regions counts once."""
     c = pairs.groupBy("a").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "b", "sim"))).alias("c"))
     empty = F.expr("cast(array() as array<struct<b:bigint,sim:float>>)")
     once = F.aggregate("c", empty, lambda acc, x: F.when((F.size(acc) >= k) | F.exists(acc, lambda y: y["b"] == x["b"]), acc).otherwise(F.array_append(acc, F.struct(x["b"].alias("b"), x["sim"].alias("sim")))))
