@@ -424,3 +424,7 @@ def test_languages():
     assert pairs.language("El huerto del taller es la cocina de la casa y el puente con la lista.") == "es"
     assert pairs.language("O moinho e a feira limpou sempre o caderno e a estante sobre o horário.") == "pt"
     assert pairs.language("La cuisine pour le carnet derrière le dossier pour le marché avec la liste.") == "fr"
+
+
+def test_language_of_a_long_text():
+    assert pairs.language(" ".join([TEXT] * 30) + " " + " ".join([GERMAN] * 900)) == "de"  # English for its first 20,000 characters

@@ -75,19 +75,20 @@ _MARKERS = {"ã": "pt", "õ": "pt", "ñ": "es", "¿": "es", "ó ": "es", "ß": "
 
 def language(text: str, least: int = 4) -> str | None:
     """The language of a text by its function words; None if it cannot be told."""
-    words = [w.casefold() for w in _WORD.findall(text[:20_000])] if len(text) > 20_000 else [w.casefold() for w in _WORD.findall(text)]
-    if len(words) < least:
-        return None
+    n = 0
     score = dict.fromkeys(LANGUAGE_WORDS, 0.0)
-    for w in words:
-        ls = _LANG.get(w)
+    for m in _WORD.finditer(text):
+        n += 1
+        ls = _LANG.get(m[0].casefold())
         if ls:
             for x in ls:
                 score[x] += 1.0 / len(ls)
+    if n < least:
+        return None
     for c, x in _MARKERS.items():
         score[x] += 0.5 * min(4, text.count(c))
     best, second = sorted(score.items(), key=lambda x: -x[1])[:2]
-    if best[1] < max(1.0, 0.08 * len(words)) or best[1] < 1.15 * second[1]:
+    if best[1] < max(1.0, 0.08 * n) or best[1] < 1.15 * second[1]:
         return None
     return best[0]
 
