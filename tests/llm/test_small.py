@@ -428,3 +428,15 @@ def test_languages():
 
 def test_language_of_a_long_text():
     assert pairs.language(" ".join([TEXT] * 30) + " " + " ".join([GERMAN] * 900)) == "de"  # English for its first 20,000 characters
+
+
+def test_refusals_in_other_words(spark):
+    text = "Our checks left this entry out and nothing of it may be shown at the moment, so please choose one more of your saved pages"
+    bare = lambda why: json.dumps({"root": {"label": "Entry", "why_saved": why}, "domains": []})
+    user = lambda i: [("user", f"URL: u\nTITLE: T\nCONTENT:\n{prose(4, i)}")]
+    prompts = spark.createDataFrame([(f"{k}{i}", None, None, user(i if k == "r" else 77), 1) for k in "rs" for i in range(5)] + [("o", None, None, user(9), 1)], PROMPTS)
+    alone = "A page about ledgers and how they came to be kept in the garden for the winter by nobody who planned it before spring"
+    outs = [(f"r{i}", None, None, bare(text + (" again." if i % 2 else ".")), None, None, None) for i in range(5)]
+    outs += [(f"s{i}", None, None, bare(alone), None, None, None) for i in range(5)]  # one saved text under five ids
+    outs += [("o", None, None, answer("I can't believe how well this routine worked, worth keeping.", 1), None, None, None)]
+    assert rows(pairs.defects(spark.createDataFrame(outs, OUT), prompts)) == [(f"r{i}", "refusal") for i in range(5)]

@@ -6,8 +6,9 @@ verbatim parts of the prompt (copied_question), another language than the saved
 text (other_language). Refusals come from templates: the openings of all
 answers are cut into five-word shingles, MinHash bands bring equal ones
 together, each member is verified against its bucket's exemplar (Jaccard of at
-least 0.8), and an opening that declines, or whose template recurs across
-unrelated prompts with a declining member, is a refusal.
+least 0.8), and all links make connected components. An answer that names
+nothing of its own is a refusal if its template recurs over prompts with
+different saved texts, or has a member that declines in so many words.
 
 A bucket is never paired out: members meet only its exemplar, and equal
 openings are one row before they are bucketed, so a template used by a third of
@@ -33,11 +34,14 @@ from pyspark.sql import functions as F
 from threadloom.llm.residue import prompt_parts, residue_label
 from threadloom.llm.surroundings import surrounding_lines
 from threadloom.llm.truncation import answer_cut, answer_text
+from threadloom.operators.graph import components
 from threadloom.session import cut
 
 SHINGLE, SIMILAR = 5, 0.8
-PERMUTATIONS, BANDS = 20, 5
+PERMUTATIONS, BANDS = 40, 10
 OPENING_WORDS = 24
+#: saved texts over which the opening of answers without own content recurs if it is a refusal
+RECURS = 3
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 
@@ -211,7 +215,7 @@ def judge(text: str | None, parsed: str | None, messages) -> tuple[str | None, s
         label = m["root"].get("label") if isinstance(m, dict) and isinstance(m.get("root"), dict) else None
         if isinstance(label, str) and label.strip().casefold() in _LABELS and (not prose or any(declines(x) for x in prose)):
             return "refusal", " ".join(prose)
-        if prose and declines(prose[0]) and len(prose) <= 2:
+        if prose and declines(prose[0]) and len(prose) <= 2 and _bare(m):
             return "refusal", prose[0]
         plain = " ".join(prose)
     else:
@@ -259,6 +263,19 @@ def _long_copy(prose: list[str], prompt: str) -> bool:
 # ---- Spark -----------------------------------------------------------------
 
 
+def _own(text: str | None) -> bool:
+    """Whether an answer's map names something of its own."""
+    m, has = find_map((text or "").strip())
+    return has and not _bare(m)
+
+
+def _about(messages) -> str | None:
+    """A hash of the saved text in a prompt."""
+    user = next(((x or {}).get("content") or "" for x in reversed(messages or []) if (x or {}).get("role") != "system"), "")
+    title, body = prompt_parts(user)
+    return xxhash.xxh64_hexdigest(body.strip() or title) if user else None
+
+
 def _judge_all(batches):
     for b in batches:
         cols = [c.to_pylist() for c in b.columns]
@@ -266,13 +283,11 @@ def _judge_all(batches):
         for i, text, parsed, messages in zip(*cols):
             defect, opening = judge(text, parsed, messages)
             head = None
-            if defect is None and opening:
-                head = " ".join(w.casefold() for w in _WORD.findall(opening[:400])[:OPENING_WORDS])
-            elif defect == "refusal" and opening:
+            if defect in (None, "refusal", "other_language") and opening:
                 head = " ".join(w.casefold() for w in _WORD.findall(opening[:400])[:OPENING_WORDS])
-            rows.append((i, defect, head))
-        cols = list(zip(*rows)) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["output_id", "defect", "opening"])
+            rows.append((i, defect, head or None, _about(messages), "own" if _own(text if (text or "").strip() else parsed) else None))
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["output_id", "defect", "opening", "about", "own"])
 
 
 _SEEDS = [xxhash.xxh64_intdigest(str(i)) | 1 for i in range(PERMUTATIONS)]
@@ -302,11 +317,15 @@ def _bands(batches):
 
 
 def templates(openings: DataFrame, least_prompts: int = 3) -> DataFrame:
-    """(opening, exemplar, prompts): openings like an exemplar that recur across unrelated prompts."""
-    once = openings.groupBy("opening").agg(F.count("*").alias("n"))
-    bands = once.select("opening").mapInArrow(_bands, "band long, opening string").join(once, "opening")
-    heads = bands.groupBy("band").agg(F.min("opening").alias("exemplar"), F.sum("n").alias("prompts")).where(F.col("prompts") >= least_prompts)
-    pairs = bands.select("band", "opening").join(heads, "band")
+    """(opening, exemplar, prompts): openings linked to an exemplar, and over how many prompts they recur.
+
+    Prompts with the same saved text (``about``, if there is that column) are one prompt.
+    """
+    about = "about" in openings.columns
+    once = openings.select("opening").distinct()
+    bands = cut(once.mapInArrow(_bands, "band long, opening string"))
+    heads = bands.groupBy("band").agg(F.min("opening").alias("exemplar"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = bands.join(heads, "band").where("opening <> exemplar").select("opening", "exemplar").distinct()
 
     def words(c):
         w = F.split(c, " ")
@@ -315,7 +334,12 @@ def templates(openings: DataFrame, least_prompts: int = 3) -> DataFrame:
     a, b = words(F.col("opening")), words(F.col("exemplar"))
     both = F.size(F.array_intersect(a, b))
     like = both / (F.size(a) + F.size(b) - both)
-    return pairs.where((F.col("opening") == F.col("exemplar")) | (like >= SIMILAR)).groupBy("opening").agg(F.min("exemplar").alias("exemplar"), F.max("prompts").alias("prompts"))
+    links = cut(pairs.where(like >= SIMILAR))
+    nodes = links.select(F.col("opening").alias("id")).union(links.select("exemplar")).distinct()
+    found = components(nodes, links.toDF("a", "b")).select(F.col("id").alias("opening"), F.col("component").alias("exemplar"))
+    named = openings.join(found, "opening", "left").withColumn("exemplar", F.coalesce("exemplar", "opening"))
+    n = named.groupBy("exemplar").agg((F.count_distinct("about") if about else F.count("*")).alias("prompts")).where(F.col("prompts") >= least_prompts)
+    return named.select("opening", "exemplar").distinct().join(n, "exemplar").select("opening", "exemplar", "prompts")
 
 
 def defects(outputs: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -323,11 +347,13 @@ def defects(outputs: DataFrame, prompts: DataFrame) -> DataFrame:
     o = outputs.where("id is not null").select("id", answer_text().alias("text"), "parsed")
     o = o.select("id", "text", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.to_json("parsed")).alias("parsed"))
     p = prompts.where("id is not null").select("id", "messages")
-    judged = cut(o.join(p, "id", "left").mapInArrow(_judge_all, "output_id string, defect string, opening string"))
-    one = judged.groupBy("output_id").agg(F.max("defect").alias("defect"), F.max("opening").alias("opening"))
-    t = templates(one.where("opening is not null").select("opening"))
-    # a template with a declining member marks its like members
-    declined = one.where("defect = 'refusal'").select("opening").join(t, "opening").select("exemplar").distinct()
-    marked = t.join(declined, "exemplar").select("opening").distinct().withColumn("t", F.lit(True))
-    found = one.join(marked, "opening", "left")
-    return found.select("output_id", F.coalesce("defect", F.when(F.col("t"), F.lit("refusal"))).alias("defect")).where("defect is not null")
+    judged = cut(o.join(p, "id", "left").mapInArrow(_judge_all, "output_id string, defect string, opening string, about string, own string"))
+    one = judged.groupBy("output_id").agg(*(F.max(c).alias(c) for c in ("defect", "opening", "about", "own")))
+    # answers with a map of their own decline nothing, whatever their template
+    bare = cut(one.where("opening is not null and own is null"))
+    t = cut(templates(bare.select("opening", "about"), 0))
+    declined = bare.where("defect = 'refusal'").select("opening").join(t, "opening").select("exemplar").distinct().withColumn("d", F.lit(True))
+    marked = t.join(declined, "exemplar", "left").where(f"d or prompts >= {RECURS}").select("opening").distinct()
+    refused = bare.join(marked, "opening").select("output_id").distinct().withColumn("t", F.lit(True))
+    found = one.join(refused, "output_id", "left")
+    return found.select("output_id", F.when(F.col("t"), "refusal").otherwise(F.col("defect")).alias("defect")).where("defect is not null")
