@@ -440,3 +440,20 @@ def test_refusals_in_other_words(spark):
     outs += [(f"s{i}", None, None, bare(alone), None, None, None) for i in range(5)]  # one saved text under five ids
     outs += [("o", None, None, answer("I can't believe how well this routine worked, worth keeping.", 1), None, None, None)]
     assert rows(pairs.defects(spark.createDataFrame(outs, OUT), prompts)) == [(f"r{i}", "refusal") for i in range(5)]
+
+
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        (LOREM, "filler"), ("Your text goes here. " * 30, "filler"), ("Access denied. " * 40, "error"), ("TBD " * 120, "filler"), ("404 Not Found\n" + "Home | About | Help | Contact | Archive | " * 12 + "Imprint", "error"),
+        (LOREM[:27] + " is how printers begin the text that they set in place of words which nobody has written. " + prose(6), None), (prose(8) + " Access denied. " + prose(8), None),
+    ],
+)
+def test_long_lines_of_residue(text, label):
+    assert residue.residue_label(text) == label

@@ -5,7 +5,7 @@ stand-ins where a value belongs: alone, after a label, in a salutation or after
 the end of a sentence, but not inside a full sentence that speaks of them. The
 exemplar detector holds labelled residue lines in an inverted index; every
 passage window (a line without the page's surroundings) retrieves the exemplars
-that share a rare word, and TF-IDF containment in both directions decides; a
+that share a word, and TF-IDF containment in both directions decides; a
 record is excluded if matched windows cover most of its words, or all but one
 stray sentence after them.
 
@@ -116,6 +116,10 @@ todo
 }
 # What generators of filler text put their words together from.
 FILLER_PIECES = "lor lo rem ip sum do sit a met con sec te tur ces qui mi bi fa la ti ex nus pra vel ul".split()
+# Words of the standard filler paragraph.
+FILLER_WORDS = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
 # Forms of unfilled template slots.
 SLOT_FORMS = [
     r"\{\{[^{}\n]{0,40}\}\}",
@@ -213,12 +217,12 @@ class ExemplarIndex:
     def match(self, window: str) -> str | None:
         """The label of the exemplar that contains the window and is contained in it."""
         ws = frozenset(words_of(window))
-        rare = sorted((w for w in ws if w in self.post), key=lambda w: (len(self.post[w]), w))
-        if not rare:
+        near = {i for w in ws for i in self.post.get(w, ())}
+        if not near:
             return None
         total = sum(self.idf.get(w, self.unknown) for w in ws)
         best, label = 0.0, None
-        for i in {i for w in rare[:4] for i in self.post[w]}:
+        for i in sorted(near):
             lab, ex = self.items[i]
             both = sum(self.idf[w] for w in ws & ex)
             free = self.unknown if "*" in ex else 0.0  # a name in the place of the star
@@ -238,9 +242,20 @@ _INDEX = ExemplarIndex(EXEMPLARS)
 
 
 def is_filler_prose(words: list[str]) -> bool:
-    """Words put together from filler pieces."""
+    """Words of the standard filler, or put together from filler pieces."""
     long = [w for w in (w.strip(".,;:!?") for w in words) if len(w) >= 4]
-    return len(long) >= 3 and sum(bool(_PIECES.fullmatch(w)) for w in long) >= 0.8 * len(long)
+    return len(long) >= 3 and sum(w in FILLER_WORDS or bool(_PIECES.fullmatch(w)) for w in long) >= 0.8 * len(long)
+
+
+def _all_match(parts) -> str | None:
+    """The label of the first part if every part is residue."""
+    first = None
+    for p in parts:
+        label = _INDEX.match(p)
+        if label is None:
+            return None
+        first = first or label
+    return first
 
 
 def residue_label(text: str | None, title: str | None = None, lines: list[int] | None = None) -> str | None:
@@ -253,10 +268,6 @@ def residue_label(text: str | None, title: str | None = None, lines: list[int] |
     if has_slot(text):
         return "slot"
     raw = text.split("\n")
-    # prose of some length cannot be covered by exemplars: look at the longest line first
-    longest = max(raw, key=len)
-    if (len(longest) > 400 or (len(longest) > 200 and len(longest) > 0.3 * len(text))) and not is_filler_prose(longest.casefold().split()):
-        return None
     out = set(surrounding_lines(text, title) if lines is None else lines)
     head = title.strip().casefold() if title else None
     covered = total = sentences = 0
@@ -271,16 +282,15 @@ def residue_label(text: str | None, title: str | None = None, lines: list[int] |
         if not ws:
             continue
         label = None
-        if len(ws) <= 30:
+        if len(set(ws)) <= 30:  # a phrase said over and over is as long as its words
             label = _INDEX.match(s)
-            if label is None and " | " in s:
-                label = next(filter(None, (_INDEX.match(p) for p in s.split(" | "))), None)
-            if label is None and _SENT.search(s):
-                parts = [_INDEX.match(p) for p in _SENT.split(s) if p]
-                label = parts[0] if parts and all(parts) else None
+        if label is None and len(ws) <= 30 and " | " in s:
+            label = next(filter(None, (_INDEX.match(p) for p in s.split(" | "))), None)
+        if label is None and _SENT.search(s):
+            label = _all_match(p for p in _SENT.split(s) if p)
         if label is None:
             text_words = [w for w in ws if w.isalpha()]
-            if text_words[:2] == ["lorem", "ipsum"] or is_filler_prose(text_words):
+            if (text_words[:2] == ["lorem", "ipsum"] and len(ws) <= 30) or is_filler_prose(text_words):
                 label = "filler"
         total += len(ws)
         if first:
