@@ -457,3 +457,11 @@ LOREM = (
 )
 def test_long_lines_of_residue(text, label):
     assert residue.residue_label(text) == label
+
+
+def test_long_surrounding_lines():
+    bar = " | ".join(["Home", "Archive", "Reviews", "Help"] * 9)
+    links = "".join(f'<a href="/n{i}"><b>Gardens of the quiet town in winter {i}</b></a> ' for i in range(8)) + "and that is all."
+    text = "\n".join([bar, prose(8), prose(7, 2), prose(9, 3), links])
+    assert len(bar) > 160 and surrounding_lines(text) == [1, 5]
+    assert surrounding_lines("\n".join([prose(8), prose(7, 2)])) == []

@@ -264,7 +264,10 @@ _kinds: dict[str, int] = {}
 def kind(line: str) -> int:
     """The form of one line alone, without its neighbours."""
     if len(line) > 160:
-        return MARK if line.startswith(("POST:", "COMMENTS:", "---COMMENT---")) else PROSE
+        if line.startswith(("POST:", "COMMENTS:", "---COMMENT---")):
+            return MARK
+        s = line.strip()
+        return CONTROL if s.casefold() in _CONTROLS or _FORMS.fullmatch(s) else MENU if is_menu(s) else PROSE
     k = _kinds.get(line)
     if k is None:
         k = _kind(line)
@@ -388,7 +391,7 @@ def surrounding_lines(text: str, title: str | None = None, sigma: float = 1.0) -
         else:
             j += 1
     # lines that their form leaves open: the sparse cluster of smoothed text-to-tag ratios decides
-    loose = [j for j in range(n) if not label[j] and (tags[idx[j]] >= 2 and kinds[j] in (TITLE, SHORT) or kinds[j] == SHORT and 0 < j < n - 1 and label[j - 1] and label[j + 1])]
+    loose = [j for j in range(n) if not label[j] and (tags[idx[j]] >= 2 and kinds[j] != MARK or kinds[j] == SHORT and 0 < j < n - 1 and label[j - 1] and label[j + 1])]
     if loose:
         flat = smooth(density(lines, kinds, [chars[i] for i in idx], [tags[i] for i in idx]), sigma)
         cut = threshold(flat)
