@@ -8,8 +8,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from threadloom.llm import batchdedup, boilerplate, mixing, neighbours, packing, pairs, residue, spans, tokens, truncation
-from threadloom.llm.surroundings import surrounding_lines
+from threadloom.llm import batchdedup, boilerplate, mixing, neighbours, packing, pairs, recurrence, residue, spans, tokens, truncation
 
 ITEMS = "id string, title string, extracted_text string, url_source string, record_id string, source string"
 PROMPTS = "id string, canonical_url string, source string, messages array<struct<role:string,content:string>>, verdict int"
@@ -284,66 +283,122 @@ def test_mixing(spark):
 
 # ---- p3, p5 ----------------------------------------------------------------------
 
-PAGE = "Skip to main content\nHome | Archive | Reviews | Help\n\nA plain headline about gardens\nThe first sentence of the article stands here and is long.\nRelated stories\nHow a neighbour did something else\n12 notes on another thing\nOld tools\nThe second sentence of the article stands here too.\n- a list item here\ncheers all\n© 2030 Site. All rights reserved.\nBack to top"
 
+def page(i, head="Zu den Inhalten springen", foot="Gedruckt mit Sorgfalt", body=None):
+    """A page whose furniture no list knows."""
+    lines = [head, "Start | Kurse | Karten", prose(2, 7 * i + 1), "Auch gerade beliebt", f"How a gardener number {chr(97 + i)} counted birds", f"Why the {prose(1, i)[:20].strip()} matters", prose(3, 7 * i + 2), foot, f"© {2000 + i} Verlag am See"]
+    return "\n".join(lines if body is None else [*lines[:2], body, *lines[-2:]])
 
-def test_lines():
-    assert surrounding_lines(PAGE, None) == [1, 2, 6, 7, 8, 13, 14]
-    assert surrounding_lines("", None) == [] and surrounding_lines(None) == [] and surrounding_lines("\n \n") == []
-    thread = "12 points\nPOST:Short text\nShare\nCOMMENTS:Something was said here today.\n---COMMENT---\nu/some_one\nEnd"
-    assert surrounding_lines(thread) == [1, 3, 6]
-    html = "<nav><a href='/'>One</a><a href='/x'>Two things</a></nav>\n<p>" + prose(4) + "</p>\n" + prose(3)
-    assert surrounding_lines(html) == [1]
-    assert surrounding_lines(PAGE + "\n" + prose(20_000), None) == [1, 2, 6, 7, 8, 13, 14]
+
+def corpus(spark, more=(), n=8):
+    data = [(f"c{i}", f"Page {chr(97 + i)}", page(i), "web", "x", "y") for i in range(n)]
+    return spark.createDataFrame(data + data[:2] + list(more), ITEMS)
 
 
 def test_bodies(spark):
-    data = [("1", None, PAGE, None, "x", "y"), ("1", None, PAGE, None, "x", "y"), ("2", "t", None, None, None, None), ("3", None, "", None, None, None), ("4", None, "Skip to main content\n404 Not Found", None, None, None), (None, None, PAGE, None, None, None)]
-    df = spark.createDataFrame(data, ITEMS)
-    assert [r["line_no"] for r in boilerplate.surrounding_rows(df).orderBy("line_no").collect()] == [1, 2, 6, 7, 8, 13, 14]
+    end = (prose(2, 91) + "\n\nbis bald")
+    more = [(f"s{i}", f"Signed {i}", prose(3, 400 + i) + "\n\nbis bald", None, None, None) for i in range(5)]
+    more += [("cut", "Cut", page(9)[: page(9).rindex("am See")].replace("\n©", "\n" + end + "\n©"), None, None, None), ("n", "t", None, None, None, None), ("e", None, "", None, None, None), ("b", None, " \n ", None, None, None), (None, "x", page(3), None, None, None)]
+    df = corpus(spark, more)
+    got = defaultdict(list)
+    for r in boilerplate.surrounding_rows(df).collect():
+        got[r["saved_item_id"]].append(r["line_no"])
+    want = [1, 2, 4, 5, 6, 8, 9]
+    assert {k: sorted(v) for k, v in got.items()} == {**{f"c{i}": want for i in range(8)}, "cut": [*want[:-1], 12]}
     body = {r["saved_item_id"]: r["body"] for r in boilerplate.main_bodies(df).collect()}
-    assert "Archive" not in body["1"] and "second sentence" in body["1"] and body["3"] == "" and "404" in body["4"]
-    assert boilerplate.surrounding_rows(df.limit(0)).count() == 0
+    assert body["c1"] == "\n".join(page(1).split("\n")[i] for i in (2, 6)) and body["e"] == "" and body["s1"].endswith("bis bald") and "n" not in body
+    assert boilerplate.surrounding_rows(df.limit(0)).count() == 0 and boilerplate.main_bodies(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_furniture(spark):
+    one = prose(3, 1) + "\n" + prose(2, 2) + "\nA short line here"
+    data = [(f"k{i}", "One title", one + f"\nLine {chr(97 + i)} of its own", None, None, None) for i in range(6)] + [(f"m{i}", None, prose(3, 50 + i), None, None, None) for i in range(4)]
+    df = spark.createDataFrame(data, ITEMS)
+    assert boilerplate.surrounding_rows(df).count() == 0
+    assert residue.residue(df, spark.createDataFrame([], PROMPTS)).count() == 0
+
+
+def test_lines_full_of_tags(spark):
+    links = "".join(f'<a href="/n{i}"><b>Quiet town {i}</b></a> ' for i in range(8))
+    data = [(f"t{i}", f"T{i}", "\n".join([prose(4, 3 * i), prose(3, 3 * i + 1), links + chr(97 + i), "<p>" + prose(5, 3 * i + 2) + "</p>"]), None, None, None) for i in range(2)]
+    assert sorted(r["line_no"] for r in boilerplate.surrounding_rows(spark.createDataFrame(data, ITEMS)).collect()) == [3, 3]
+
+
+def test_smoothing_and_threshold():
+    assert boilerplate.smooth([]) == [] and boilerplate.smooth([1.0]) == [1.0]
+    s = boilerplate.smooth([1.0, 0.0, 1.0, 1.0])
+    assert s[1] < 0.3 < 0.8 < s[3]
+    assert boilerplate.threshold({}) == -1.0 and boilerplate.threshold({199: 5}) == -1.0
+    assert 0.3 < boilerplate.threshold({2: 100, 30: 20, 180: 400, 199: 900}) < 0.8
 
 
 @pytest.mark.parametrize(
-    ("text", "label"),
+    ("text", "windows"),
     [
-        ("{{ title }}", "slot"), ("Hi $first_name$,\n" + prose(5), "slot"), (prose(3) + " <INSERT CITY HERE>", "slot"), ("Dear %%NAME%%, we saved [LINK] for you. " + prose(3), "slot"), ("Title: undefined", "slot"), ("nan", "slot"), ("None", "slot"),
-        ("In the template you write {{ title }} and the tool fills in the rest of the page later.", None), ("The report printed undefined instead of the right words until we repaired it.", None), ("None of this works.", None), (prose(2) + " [TRUNCATED]", None),
-        ("404 Not Found", "error"), ("Home | Archive | Help\n503 Service unavailable\nRequest id: 9c2f5cb87b7\nBack to top", "error"), ("Some Site | Access denied", "error"), ("Please enable JavaScript to continue.", "script"), ("Checking your browser before you enter Anywhere.", "script"),
-        ("Lorem ipsum dolor sit amet consec tetur.", "filler"), ("Lametti remlo faquilor cesexrem secvel secquicon facon.", "filler"), ("TBD TBD TBD", "filler"), ("We got a 503 service unavailable for two days, then the page came back as if nothing had been wrong.", None),
-        (prose(6) + "\nJavaScript is turned off; some features may not work.", None), ("", None), (None, None), ("   \n", None), (prose(30_000), None),
+        ("Hi {{ name }}, how are you?", ["hi \x00, how are you?"]), ("Title: undefined", ["title: \x00"]), ("nan", ["\x00"]), (prose(2) + " [TRUNCATED]", []), ("None of this works.", ["\x00 of this works."]), (prose(3), []), ("", []),
+        ("First. Dear %%NAME%%, we saved [LINK] for you. Last.", ["dear \x00, we saved \x00 for you."]),
     ],
 )
-def test_residue(text, label):
-    assert residue.residue_label(text) == label
-
-
-def test_residue_table(spark):
-    items = spark.createDataFrame([("1", None, "404 Not Found", None, None, None), ("1", None, "404 Not Found", None, None, None), ("2", None, None, None, None, None)], ITEMS)
+def test_slot_windows(text, windows):
+    assert recurrence.slot_windows(text) == windows
+
+
+def test_units():
+    no, marks, tags, words, u, at, chars, spelled = recurrence.read("A | B\n\nPOST:Short text\n---COMMENT---\n© 2031 Lakeside. All", None, "https://www.lakeside.example/x")
+    assert no == [1, 3, 5] and spelled == ["a", "b", "short text", "© # *. all"] and at == [0, 0, 1, 2] and marks[1] & recurrence.MARKED and tags == [0, 0, 0]
+    assert recurrence.read(None, None, None)[0] == [] and recurrence.read(" \n", "{{ x }}", None, True)[-1] == ["\x00"]
+    assert recurrence.prompt_parts("URL: u\nTITLE: a\nCONTENT:\nTITLE: b\nCONTENT:\nbody\nTITLE: no") == ("b", "body\nTITLE: no") and recurrence.prompt_parts("plain") == ("", "plain")
+    assert recurrence.site_name(None) == "" and recurrence.site_name("https://a.b-c.example:80/x") == "b-c"
+
+
+def test_residue(spark):
+    notice = "Diese Seite ruht sich gerade aus"
+    bad = {f"r{i}": notice + f"\nVorgang {1000 + i}" for i in range(4)}  # recurs in texts without anything else
+    bad |= {f"p{i}": page(i, body=notice) for i in range(3)}
+    bad |= {"seed": "404 Not Found", "script": "You need to enable JavaScript to run this app.", "lorem": residue.LOREM, "slot": "{{ title }}", "alone": "Title: undefined"}
+    bad |= {f"d{i}": f"Dear {{{{ name{chr(97 + i)} }}}}, we kept the page for you.\n" + prose(5, 70 + i) for i in range(4)}
+    good = {
+        "quote": prose(3, 31) + f"\nThe screen said: {notice}, and we laughed about it for weeks.", "full": page(6, body=prose(6, 32) + "\n" + notice + "\n" + prose(4, 33)), "tells": "In the template you write {{ title }} and the tool fills in the rest of the page later.",
+        "error": "We got a 404 Not Found for two days, then the page came back as if nothing had been wrong.", "none": "None of this works.", "empty": "", "blank": "  \n", "null": None, "long": prose(20_000, 34),
+    }
+    items = corpus(spark, [(k, f"Title {k}", v, None, None, None) for k, v in {**bad, **good}.items()] + [(None, "x", notice, None, None, None)])
     user = lambda t, b: [("user", f"URL: u\nTITLE: {t}\nCONTENT:\n{b}")]
-    prompts = spark.createDataFrame([("a", None, None, user("{{ x }}", prose(2)), 1), ("b", None, None, user("(no title)", "(title only, no text was kept)"), 1), ("c", None, None, user("T", "{text}"), 1), ("d", None, None, None, 1), ("e", None, None, [("system", "{{ x }}"), ("user", None)], 1)], PROMPTS)
-    assert rows(residue.residue(items, prompts)) == [("groq_batch_3r", "a", "slot"), ("groq_batch_3r", "c", "slot"), ("saved_items", "1", "error")]
+    prompts = spark.createDataFrame(
+        [("a", None, None, user("{{ x }}", prose(2)), 1), ("b", None, None, user("B", notice), 1), ("c", None, None, user("T", "{text}"), 1), ("d", None, None, None, 1), ("e", None, None, [("system", "{{ x }}"), ("user", None)], 1), ("f", None, None, user("F", prose(4)), 1)], PROMPTS
+    )
+    got = rows(residue.residue(items, prompts).select("table_name", "record_id"))
+    assert got == sorted([("groq_batch_3r", x) for x in "abc"] + [("saved_items", k) for k in bad], key=repr)
     assert residue.residue(items.limit(0), prompts.limit(0)).count() == 0
+    # records of residue keep their lines
+    assert {r["saved_item_id"] for r in boilerplate.surrounding_rows(items).select("saved_item_id").distinct().collect()} == {f"c{i}" for i in range(8)} | {"full"}
+
+
+def test_containment():
+    index = residue.ExemplarIndex([("error", "access denied for *"), ("filler", "your text here")], {"the": 0.9, "for": 0.5})
+    assert index.match("access denied") == "error" and index.match("access denied for readers") == "error" and index.match("your text here your text here") == "filler"
+    assert index.match("we were denied access for two whole days because of the cold winter") is None and index.match("") is None
 
 
 # ---- p1 --------------------------------------------------------------------------
 
 
 def test_cut_records(spark):
-    whole = {f"w{i}": prose(6, i) for i in range(40)}
+    whole = {f"w{i}": prose(6, i) + f"\n- {' '.join(prose(1, 70 + i).lower().split()[:3])}\n" + prose(2, 900 + i) for i in range(40)}
+    for i in range(4):
+        whole[f"w{i}"] += "\n\n" + ["thanks in advance", "#winter #garden", "(and no, I have no regrets)", "And so we wait..."][i]
+        whole[f"v{i}"] = whole[f"x{i}"] = ""
+    whole |= {f"v{k}{i}": prose(3, 950 + 9 * i + k) + "\n\n" + ["thanks in advance", "#winter #garden", "(and no, I have no regrets)", "And so we wait...", "Photos: https://pics.example/album/1", "Back to top", "🙂", "Read on: {{ link }}"][k] for k in range(8) for i in range(3)}
     cases = {
         "mid_word": prose(5) + " Several not", "mid_sentence": prose(5) + " Several notebooks carry stories about", "mark": prose(4) + " Several note [TRUNCATED]", "broken": prose(4) + " Several no��", "dots": prose(4) + " Several bicycles carry note…",
-        "entity": prose(4) + " Several bicycles &am", "link": prose(3) + " Several bicycles about https://www.exam", "item": prose(3) + "\n- several notebo",
+        "entity": prose(4) + " Several bicycles &am", "link": prose(3) + " Several bicycles about https://www.exam", "item": prose(3) + "\n- several notebo", "closing_cut": prose(3) + "\n\nthanks in adv",
     }
     sound = {
         "emoji": prose(3) + " 🙂", "closing": prose(3) + "\n\nthanks in advance", "tags": prose(3) + "\n#winter #garden", "aside": prose(3) + " (and no, I have no regrets)", "dots_whole": prose(3) + "\nAnd so we wait...", "photo": prose(3) + "\nPhotos: https://pics.example/album/77",
-        "list": prose(3) + "\n- several notebooks", "error": "404 Not Found", "slot": "Read on: {{ link }}", "empty": "", "null": None, "footer": prose(3) + "\nBack to top",
+        "list": prose(3) + "\n- several winter notebooks", "slot": "Read on: {{ link }}", "empty": "", "null": None, "footer": prose(3) + "\nBack to top",
     }
     data = [(k, None, v, "web", "x", "y") for k, v in {**whole, **cases, **sound}.items()]
     items = spark.createDataFrame(data + data[:3], ITEMS)
-    prompts = spark.createDataFrame([("p1", "https://a/b", None, [("system", prose(2)), ("user", "URL: u\nTITLE: T\nCONTENT:\n" + prose(3) + " Several bicycles carr")], 1), ("p2", None, None, [("user", "URL: u\nTITLE: T\nCONTENT:\n(title only, no text was kept)")], 1), ("p3", None, None, None, 1)], PROMPTS)
+    prompts = spark.createDataFrame([("p1", "https://a/b", None, [("system", prose(2)), ("user", "URL: u\nTITLE: T\nCONTENT:\n" + prose(3) + " Several bicycles carr")], 1), ("p3", None, None, None, 1)], PROMPTS)
     good = json.dumps({"root": {"label": "L"}, "domains": []})
     outs = spark.createDataFrame([("o1", None, None, good, None, None, "x"), ("o2", None, None, good[:-5], None, None, "x"), ("o3", None, None, None, ([(0, ("assistant", "Here is the map:\n" + good[:12]), None)],), None, "x"), ("o4", None, None, "```json\n" + good + "\n```", None, None, None), ("o5", None, None, None, ([],), None, None)], OUT)
     got = set(rows(truncation.cut_records(items, prompts, outs)))
@@ -355,17 +410,15 @@ def test_cut_records(spark):
 
 
 def test_copies_hide_no_cut(spark):
-    whole = {f"w{i}": prose(6, i) for i in range(40)}
+    whole = {f"w{i}": "\n".join(prose(3, 500 + 3 * i + k) for k in range(3)) for i in range(40)}
     one = prose(5) + " Several quiet ledgers carry the notebooks of win"  # "win" begins "winter"
     word = prose(5, 7) + " Several ledgers carry quiet stories about"
     copies = {f"c{i}": one for i in range(6)} | {f"d{i}": word for i in range(6)}
-    many = {f"m{i}": prose(4, 100 + i) + " We met in the gar" for i in range(4)}  # one half word, several texts
     usual = {f"u{i}": prose(3, 200 + i) + "\n\nKept by our winter club" for i in range(4)}
-    known = {"k1": prose(2, 300) + " The club met. A club is quiet.", "k2": prose(2, 301) + " The garden met. A garden is quiet."}
-    items = spark.createDataFrame([(k, None, v, "web", "x", "y") for k, v in {**whole, **copies, **many, **usual, **known}.items()], ITEMS)
+    items = spark.createDataFrame([(k, None, v, "web", "x", "y") for k, v in {**whole, **copies, **usual}.items()], ITEMS)
     prompts = spark.createDataFrame([(k, None, None, [("user", f"URL: u\nTITLE: T\nCONTENT:\n{v}")], 1) for k, v in copies.items()], PROMPTS)
     got = set(rows(truncation.cut_records(items, prompts, spark.createDataFrame([], OUT))))
-    assert got == {("saved_items", k) for k in {**copies, **many}} | {("groq_batch_3r", k) for k in copies}
+    assert got == {("saved_items", k) for k in copies} | {("groq_batch_3r", k) for k in copies}
 
 
 def test_long_text_ends():
@@ -387,8 +440,7 @@ def answer(why, n=3, label="A label"):
     ("text", "defect"),
     [
         ("", "empty_answer"), (None, "empty_answer"), ("null", "empty_answer"), ("```json\n```", "empty_answer"), ("N/A", "empty_answer"), ("​", "empty_answer"), ("{}", "empty_answer"), (answer("", 0).replace("Gardens", ""), "empty_answer"),
-        (answer("It is about the plants.")[:-30], "truncated_answer"), ("Sorry, I can't help with mapping this page.", "refusal"), ("As a language model it goes against the rules I follow to describe this item.", "refusal"),
-        (answer("I apologise, however I'm unable to provide that.", 0, "Content policy"), "refusal"), (TEXT.lower(), "copied_question"), (answer(TEXT, 0), "copied_question"), (answer(GERMAN, 0), "other_language"),
+        (answer("It is about the plants.")[:-30], "truncated_answer"), (TEXT.lower(), "copied_question"), (answer(TEXT, 0), "copied_question"), (answer(GERMAN, 0), "other_language"), ("Sorry, I can't help with mapping this page.", None),
         (answer("It is about the plants and how they grow in the yard."), None), ("Here is the map:\n" + answer("It is about the plants and how they grow."), None), ("```json\n" + answer("It is about the plants and how they grow.") + "\n```", None),
         (answer("I can't believe how well this routine worked, worth keeping."), None), (answer("A thread on why assistants say they cannot help, with the best of the answers."), None), (answer(TEXT.split(".")[0] + "."), None),
     ],
@@ -408,7 +460,7 @@ def test_defect_table(spark):
         ],
         OUT,
     )
-    assert rows(pairs.defects(outs, prompts)) == [("2", "empty_answer"), ("3", "refusal"), ("5", "empty_answer")]
+    assert rows(pairs.defects(outs, prompts)) == [("2", "empty_answer"), ("5", "empty_answer")]
     assert pairs.defects(outs.limit(0), prompts.limit(0)).count() == 0
 
 
@@ -433,7 +485,7 @@ def test_language_of_a_long_text():
 def test_refusals_in_other_words(spark):
     text = "Our checks left this entry out and nothing of it may be shown at the moment, so please choose one more of your saved pages"
     bare = lambda why: json.dumps({"root": {"label": "Entry", "why_saved": why}, "domains": []})
-    user = lambda i: [("user", f"URL: u\nTITLE: T\nCONTENT:\n{prose(4, i)}")]
+    user = lambda i: [("user", f"URL: u\nTITLE: T{i}\nCONTENT:\n{prose(4, i)}")]
     prompts = spark.createDataFrame([(f"{k}{i}", None, None, user(i if k == "r" else 77), 1) for k in "rs" for i in range(5)] + [("o", None, None, user(9), 1)], PROMPTS)
     alone = "A page about ledgers and how they came to be kept in the garden for the winter by nobody who planned it before spring"
     outs = [(f"r{i}", None, None, bare(text + (" again." if i % 2 else ".")), None, None, None) for i in range(5)]
@@ -442,26 +494,10 @@ def test_refusals_in_other_words(spark):
     assert rows(pairs.defects(spark.createDataFrame(outs, OUT), prompts)) == [(f"r{i}", "refusal") for i in range(5)]
 
 
-LOREM = (
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
-    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
-)
-
-
-@pytest.mark.parametrize(
-    ("text", "label"),
-    [
-        (LOREM, "filler"), ("Your text goes here. " * 30, "filler"), ("Access denied. " * 40, "error"), ("TBD " * 120, "filler"), ("404 Not Found\n" + "Home | About | Help | Contact | Archive | " * 12 + "Imprint", "error"),
-        (LOREM[:27] + " is how printers begin the text that they set in place of words which nobody has written. " + prose(6), None), (prose(8) + " Access denied. " + prose(8), None),
-    ],
-)
-def test_long_lines_of_residue(text, label):
-    assert residue.residue_label(text) == label
-
-
-def test_long_surrounding_lines():
-    bar = " | ".join(["Home", "Archive", "Reviews", "Help"] * 9)
-    links = "".join(f'<a href="/n{i}"><b>Gardens of the quiet town in winter {i}</b></a> ' for i in range(8)) + "and that is all."
-    text = "\n".join([bar, prose(8), prose(7, 2), prose(9, 3), links])
-    assert len(bar) > 160 and surrounding_lines(text) == [1, 5]
-    assert surrounding_lines("\n".join([prose(8), prose(7, 2)])) == []
+def test_refusals_put_together(spark):
+    """Beginnings and ends change, so no opening is like another; the middle recurs over unrelated prompts."""
+    middle = "nothing about this entry may be told here"
+    heads, tails = ["Well", "As asked", "Having looked", "To be plain", "Alas"], ["", " for now", ", kindly pick one more page", " by rule", ", as it would break our word"]
+    prompts = spark.createDataFrame([(str(i), None, None, [("user", f"URL: u\nTITLE: T{i}\nCONTENT:\n{prose(4, i)}")], 1) for i in range(6)], PROMPTS)
+    outs = [(str(i), None, None, f"{heads[i]}, {middle}{tails[i]}.", None, None, None) for i in range(5)] + [("5", None, None, "A page about ledgers that somebody kept in a garden for a long time.", None, None, None)]
+    assert rows(pairs.defects(spark.createDataFrame(outs, OUT), prompts)) == [(str(i), "refusal") for i in range(5)]

@@ -3,12 +3,15 @@
 One pass over the joined pairs labels what the pair alone shows: nothing usable
 (empty_answer), an answer that stops inside its map (truncated_answer), large
 verbatim parts of the prompt (copied_question), another language than the saved
-text (other_language). Refusals come from templates: the openings of all
-answers are cut into five-word shingles, MinHash bands bring equal ones
-together, each member is verified against its bucket's exemplar (Jaccard of at
-least 0.8), and all links make connected components. An answer that names
-nothing of its own is a refusal if its template recurs over prompts with
-different saved texts, or has a member that declines in so many words.
+text or its title (other_language). Refusals come from templates, and from nothing
+else: the openings of the answers that name nothing of their own are cut into
+five-word shingles, MinHash bands bring like ones together, each member is verified
+against its bucket's exemplar (Jaccard of at least 0.8), and all links make connected
+components. What a component holds counts once per unrelated prompt (prompts of
+different saved pages): a component over at least ``RECURS`` of them is a template, and
+so is a run of shingles that recurs over as many of them inside components that
+begin or end differently. An answer of which templates are at least ``COVERED`` of the
+words declines. No phrase is listed.
 
 A bucket is never paired out: members meet only its exemplar, and equal
 openings are one row before they are bucketed, so a template used by a third of
@@ -16,13 +19,16 @@ all answers stays one row.
 
 Edge cases: an answer without its prompt is judged alone; null columns count as
 missing; a blank answer with a filled parsed map is sound; rows delivered again
-give one result; no pair has two defects (empty, refusal, truncated, copied,
+give one result; no pair has two defects (empty, truncated, copied, refusal,
 other language, in this order); empty tables give no rows; other columns are
-ignored; answers and prompts are read whole.
+ignored; answers and prompts are read whole (an opening is the first
+``OPENING_WORDS`` words by definition). A refusal worded as no other is only
+found once it recurs.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -31,8 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.residue import prompt_parts, residue_label
-from threadloom.llm.surroundings import surrounding_lines
+from threadloom.llm.recurrence import key, prompt_parts
 from threadloom.llm.truncation import answer_cut, answer_text
 from threadloom.operators.graph import components
 from threadloom.session import cut
@@ -40,27 +45,13 @@ from threadloom.session import cut
 SHINGLE, SIMILAR = 5, 0.8
 PERMUTATIONS, BANDS = 40, 10
 OPENING_WORDS = 24
-#: saved texts over which the opening of answers without own content recurs if it is a refusal
+#: unrelated prompts over which a template recurs
 RECURS = 3
+#: share of an answer's words that templates must hold
+COVERED = 0.5
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 
-# Words with which assistants decline, by part of the sentence.
-_DECLINE = re.compile(
-    r"(?:\bi(?:'m| am)? (?:can(?:no|')t|can not|cannot|won't|will not|must decline|decline|would rather not|am not able|am unable|'m unable|m unable|'m not able|m not able)\b"
-    r"|\bi'm (?:unable|not able)\b|\bi must decline\b|\bi would rather not\b"
-    r"|\b(?:this|that|it) (?:material|content|item|page|request|link)? ?is (?:outside of|something i (?:won't|will not|cannot|can't|must not|may not|do not|don't)|not something i)\b"
-    r"|\bgoes against (?:the |my )?(?:rules|policy|policies|guidelines)\b"
-    r"|\bno answer can be given\b|\bcannot be (?:analysed|analyzed|processed|mapped|described)\b"
-    r"|\bunable to (?:provide|help|assist|analy[sz]e|comply|process)\b"
-    r"|\bcan(?:not|'t) (?:comply|help|assist|provide|process|analy[sz]e)\b"
-    r"|\bnicht (?:helfen|möglich|verarbeiten|beantworten)\b|\bno puedo\b|\bne peux pas\b|\bnão posso\b)",
-    re.I,
-)
-_FIRST = re.compile(r"^(?:\W*(?:sorry|i'm sorry|i am sorry|my apologies|i apologi[sz]e|unfortunately|thanks for asking|after reviewing the request|as an? (?:ai |language )?(?:model|assistant|ai)|i must decline|i would rather not|i'm afraid|regrettably|leider|lo siento|désolée?|desculpe)\b)", re.I)
-# Labels of maps that hold no more than a refusal.
-_LABELS = frozenset("unable to analyse|unable to analyze|content policy|request declined|refusal|declined|cannot analyse|not available".split("|"))
-
 # Frequent function words by language.
 LANGUAGE_WORDS = {
     "en": "the or and that this with for are was not have from they you but has were their been our my of to in is it on one another an because instead without despite after before behind beside inside near next along thanks top if when how what who anyone some here people which while into",
@@ -173,78 +164,60 @@ def copied(answer: str, prompt: str, gram: int = 8) -> float:
     return sum(hit) / len(a)
 
 
-def declines(text: str) -> bool:
-    """Whether a short text declines in the first person."""
-    head = " ".join(text.replace("’", "'").split())[:300]
-    first = re.split(r"(?<=[.!?])\s", head)
-    start = " ".join(first[:2])
-    return bool(_DECLINE.search(start)) and (bool(_FIRST.search(start)) or bool(re.match(r"\W*(?:i|this|it|no answer)\b", start, re.I)))
+def saved_languages(title: str, body: str) -> set[str]:
+    """The languages of a saved text's lines of prose and of its title, as far as they can be told."""
+    prose = "\n".join(x for x in body.split("\n") if len(_WORD.findall(x)) >= 8)
+    return {x for x in (language(prose), language(title, 3)) if x}
 
 
-def saved_text(prompt_user: str) -> tuple[str, str]:
-    """Main body and title of a prompt's saved text."""
-    title, body = prompt_parts(prompt_user)
-    if title == "(no title)":
-        title = ""
-    if residue_label(body, title or None) or re.fullmatch(r"\s*\([^()]*\)\s*", body or ""):
-        return "", title
-    gone = set(surrounding_lines(body, title or None)) if "\n" in body else ()
-    kept = [x for i, x in enumerate(body.split("\n"), 1) if i not in gone and x.strip()] if gone else [body]
-    return "\n".join(kept), title
+def opening_of(plain: str) -> str:
+    """The first words of an answer's prose."""
+    return " ".join(m[0].casefold() for m in itertools.islice(_WORD.finditer(plain), OPENING_WORDS))
 
 
-def judge(text: str | None, parsed: str | None, messages) -> tuple[str | None, str | None]:
-    """(defect, opening) of one pair; the opening is the start of the answer's prose."""
-    s = (text or "").strip().strip("​﻿").strip()
+def judge(text: str | None, parsed: str | None, messages, mode: str | None = None) -> tuple[str | None, str, bool]:
+    """(defect, prose of the answer, whether it names something of its own) of one pair."""
+    s = (text or "").strip().strip("\u200b\ufeff").strip()
     if not s:
         try:
             p = json.loads(parsed) if parsed else None
         except ValueError:
             p = None
         if p is None or map_empty(p):
-            return "empty_answer", None
+            return "empty_answer", "", False
         m, has = p, True
     else:
         m, has = find_map(s)
-    plain = ""
     if has:
         if m is None or map_empty(m):
-            label = (m.get("root") or {}).get("label") if isinstance(m, dict) and isinstance(m.get("root"), dict) else None
-            return ("refusal" if isinstance(label, str) and label.strip().casefold() in _LABELS else "empty_answer"), None
-        prose = map_prose(m)
-        label = m["root"].get("label") if isinstance(m, dict) and isinstance(m.get("root"), dict) else None
-        if isinstance(label, str) and label.strip().casefold() in _LABELS and (not prose or any(declines(x) for x in prose)):
-            return "refusal", " ".join(prose)
-        if prose and declines(prose[0]) and len(prose) <= 2 and _bare(m):
-            return "refusal", prose[0]
-        plain = " ".join(prose)
+            return "empty_answer", "", False
+        plain = "\n".join(map_prose(m))
     else:
         if answer_cut(s):
-            return "truncated_answer", None
+            return "truncated_answer", "", False
         plain = re.sub(r"^```\w*|```$", "", s).strip()
         if plain.strip("\"'`[](){}.-—– \n").casefold() in _BLANKS:
-            return "empty_answer", None
-        if declines(plain) and len(plain) < 600:
-            return "refusal", plain
+            return "empty_answer", "", False
+    own = has and not _bare(m)
     everything = "\n".join((x or {}).get("content") or "" for x in messages or [])
     if everything:
         share = copied(plain if not has else " ".join(strings_of(m)) if len(plain) < 40 else plain, everything)
         words = len(_WORD.findall(plain))
-        if has and share >= 0.8 and words >= 5 and _bare(m):
-            return "copied_question", plain
+        if has and share >= 0.8 and words >= 5 and not own:
+            return "copied_question", plain, own
         if has and share >= 0.55 and words >= 8 or not has and share >= 0.5:
             # one quoted sentence is sound: a copy goes on beyond it
             if not has or words >= 60 or len(map_prose(m)) == 1 and words >= 30:
-                return "copied_question", plain
+                return "copied_question", plain, own
             if share >= 0.55 and _long_copy(map_prose(m), everything):
-                return "copied_question", plain
+                return "copied_question", plain, own
         user = next(((x or {}).get("content") or "" for x in reversed(messages or []) if (x or {}).get("role") != "system"), "")
-        body, title = saved_text(user)
+        title, body = prompt_parts(user)
         la = language(plain)
-        lb = language(body) or (language(title, 3) if not body.strip() else None)
-        if la and lb and la != lb:
-            return "other_language", plain
-    return None, plain
+        saved = saved_languages(title, "" if mode == "title_only" else body)
+        if la and saved and la not in saved:
+            return "other_language", plain, own
+    return None, plain, own
 
 
 def _bare(m) -> bool:
@@ -263,31 +236,27 @@ def _long_copy(prose: list[str], prompt: str) -> bool:
 # ---- Spark -----------------------------------------------------------------
 
 
-def _own(text: str | None) -> bool:
-    """Whether an answer's map names something of its own."""
-    m, has = find_map((text or "").strip())
-    return has and not _bare(m)
-
-
-def _about(messages) -> str | None:
-    """A hash of the saved text in a prompt."""
+def _about(messages) -> int | None:
+    """What a prompt is about: its saved page by title, else by text."""
     user = next(((x or {}).get("content") or "" for x in reversed(messages or []) if (x or {}).get("role") != "system"), "")
     title, body = prompt_parts(user)
-    return xxhash.xxh64_hexdigest(body.strip() or title) if user else None
+    return key(title.strip().casefold() or body.strip()) if user else None
+
+
+_JUDGED = "output_id string, defect string, opening string, words int, about long"
 
 
 def _judge_all(batches):
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
         rows = []
-        for i, text, parsed, messages in zip(*cols):
-            defect, opening = judge(text, parsed, messages)
-            head = None
-            if defect in (None, "refusal", "other_language") and opening:
-                head = " ".join(w.casefold() for w in _WORD.findall(opening[:400])[:OPENING_WORDS])
-            rows.append((i, defect, head or None, _about(messages), "own" if _own(text if (text or "").strip() else parsed) else None))
+        for i, text, parsed, messages, mode in zip(*(c.to_pylist() for c in b.columns)):
+            defect, plain, own = judge(text, parsed, messages, mode)
+            # an answer that names something of its own declines nothing, whatever its opening
+            open_ = defect in (None, "other_language") and plain and not own
+            rows.append((i, defect, (opening_of(plain) or None) if open_ else None, len(_WORD.findall(plain)), _about(messages)))
         cols = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["output_id", "defect", "opening", "about", "own"])
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["output_id", "defect", "opening", "words", "about"])
 
 
 _SEEDS = [xxhash.xxh64_intdigest(str(i)) | 1 for i in range(PERMUTATIONS)]
@@ -342,18 +311,31 @@ def templates(openings: DataFrame, least_prompts: int = 3) -> DataFrame:
     return named.select("opening", "exemplar").distinct().join(n, "exemplar").select("opening", "exemplar", "prompts")
 
 
+def covered(openings: DataFrame) -> DataFrame:
+    """(opening, held): how many words of an opening are held by templates; openings: (opening, about)."""
+    named = templates(openings, 0)
+    size = F.size(F.split("opening", " "))
+    whole = named.where(F.col("prompts") >= RECURS).select("opening", size.alias("held"))
+    # shingles over components: how many unrelated prompts have them
+    w = F.split("opening", " ")
+    cutting = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice(w, i + 1, SHINGLE), " ")).alias("shingle")))
+    spots = openings.select("opening").distinct().select("opening", F.explode(cutting).alias("s")).select("opening", "s.at", "s.shingle")
+    spots = cut(spots)
+    per = openings.distinct().join(spots, "opening").select("shingle", "about").distinct().groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
+    inside = spots.join(per, "shingle").groupBy("opening").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + SHINGLE - 1))))).alias("held"))
+    return whole.unionByName(inside.select("opening", F.least("held", size).alias("held"))).groupBy("opening").agg(F.max("held").alias("held"))
+
+
 def defects(outputs: DataFrame, prompts: DataFrame) -> DataFrame:
     """(output_id, defect): one row for each defective pair."""
     o = outputs.where("id is not null").select("id", answer_text().alias("text"), "parsed")
     o = o.select("id", "text", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.to_json("parsed")).alias("parsed"))
-    p = prompts.where("id is not null").select("id", "messages")
-    judged = cut(o.join(p, "id", "left").mapInArrow(_judge_all, "output_id string, defect string, opening string, about string, own string"))
-    one = judged.groupBy("output_id").agg(*(F.max(c).alias(c) for c in ("defect", "opening", "about", "own")))
-    # answers with a map of their own decline nothing, whatever their template
-    bare = cut(one.where("opening is not null and own is null"))
-    t = cut(templates(bare.select("opening", "about"), 0))
-    declined = bare.where("defect = 'refusal'").select("opening").join(t, "opening").select("exemplar").distinct().withColumn("d", F.lit(True))
-    marked = t.join(declined, "exemplar", "left").where(f"d or prompts >= {RECURS}").select("opening").distinct()
-    refused = bare.join(marked, "opening").select("output_id").distinct().withColumn("t", F.lit(True))
+    mode = F.col("content_mode") if "content_mode" in prompts.columns else F.lit(None).cast("string")
+    p = prompts.where("id is not null").select("id", "messages", mode.alias("mode"))
+    judged = cut(o.join(p, "id", "left").mapInArrow(_judge_all, _JUDGED))
+    one = judged.groupBy("output_id").agg(F.max(F.struct(F.col("opening").isNotNull().alias("open"), "defect", "opening", "words", "about")).alias("x")).select("output_id", "x.*")
+    open_ = cut(one.where("open").select("output_id", "words", "about", "opening"))
+    held = covered(open_.select("opening", "about"))
+    refused = open_.join(held, "opening").where(F.col("held") >= COVERED * F.col("words")).select("output_id", F.lit(True).alias("t"))
     found = one.join(refused, "output_id", "left")
     return found.select("output_id", F.when(F.col("t"), "refusal").otherwise(F.col("defect")).alias("defect")).where("defect is not null")

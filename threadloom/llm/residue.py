@@ -1,362 +1,251 @@
 """Problem 5: template residue, filler, error pages and script demands.
 
-Two detectors. A slot detector finds unfilled placeholders and literal
-stand-ins where a value belongs: alone, after a label, in a salutation or after
-the end of a sentence, but not inside a full sentence that speaks of them. The
-exemplar detector holds labelled residue lines in an inverted index; every
-passage window (a line without the page's surroundings) retrieves the exemplars
-that share a word, and TF-IDF containment in both directions decides; a
-record is excluded if matched windows cover most of its words, or all but one
-stray sentence after them.
+Labelled exemplars stand in an inverted index: a small table given as parameter
+(``SEEDS``: what protocols, frameworks and editors print by default) and what the
+corpus itself shows to be residue (``recurrence``: units that recur in texts
+without anything of their own, at most 5,000 by a share). Every passage window -
+a line or sentence that is no page furniture - retrieves the exemplars that share
+one of its heavy words, and TF-IDF containment in both directions decides, with
+the inverse document frequencies of the corpus. Recurring residue below that share
+is matched by its hash, so the bound drops nothing. A slot window is residue if it
+recurs with its slot masked, or if its slots are most of its weight. Filler prose
+has no word that is common in the corpus and letter pairs that are contained in
+the standard filler paragraph. A record is excluded if matched windows cover
+most of its words, or all but one stray sentence after them.
 
 Edge cases: null, empty and blank text is missing text, not residue; a null
 title is ignored; the order of messages does not matter; rows delivered again
-give one result; an empty table gives none; other columns are ignored. The
-exemplars are fixed values, so nothing of the input is collected or broadcast.
+give one result; an empty table gives none; other columns are ignored; texts
+are read whole. In a corpus too small to show what recurs, the seeds alone judge.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from http import HTTPStatus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.surroundings import surrounding_lines
-
-# Labelled residue exemplars. "#" stands for a number or code, "*" for a name.
-EXEMPLARS = {
-    "error": """
-error #
-not found
-forbidden
-gone
-bad gateway
-gateway time-out
-service unavailable
-internal server error
-too many requests
-access denied
-page not found
-rate limit exceeded
-slow down a little
-something broke on our side
-oops, that did not work
-we are over capacity
-down for maintenance, back soon
-the server took too long to answer
-the upstream server gave no valid answer
-the author deleted this post
-this content has been removed
-you do not have permission to view this page
-we looked everywhere, but that page is gone
-the link may be old or mistyped. try the search or go back to the start page.
-you have been blocked from seeing this page.
-the requested url was rejected. contact your administrator.
-an unexpected error occurred while fetching the article.
-sorry, we could not load this page. try again later.
-connection reset while reading the response
-your session has expired. please sign in again.
-hmm, that thread does not exist or is private.
-this video is not available in your country.
-traceback: rendererror in view article.detail
-request id: #
-ray #
-nginx-like proxy # at #
-cache # at #
-edge node # at #
-reload page
-acceso restringido a usuarios registrados.
-seite nicht gefunden. der link ist vielleicht veraltet.
-la página que buscas ya no existe.
-página não encontrada.
-zugriff verweigert.
-cette page est introuvable.
-""",
-    "script": """
-please enable javascript to continue.
-you need to enable javascript to run this app.
-javascript is disabled in your browser. turn it on and reload.
-this page needs scripts to be switched on.
-noscript: content could not be rendered
-your browser is too old to show this content.
-we have detected that scripts are blocked here. would you like to go to the legacy version?
-loading... if nothing happens, allow scripts for *.
-checking your browser before you enter *.
-one more step: complete the security check.
-verify that you are a human by pressing the box below.
-bitte aktivieren sie javascript, um fortzufahren.
-activa javascript para ver este sitio.
-veuillez activer javascript pour continuer.
-ative o javascript para continuar.
-""",
-    "filler": """
-lorem
-lorem ipsum dolor sit amet
-caption
-subtitle here
-headline goes here
-dummy heading
-your text goes here.
-sample paragraph.
-content coming soon.
-untitled document
-add a short description of the page.
-replace this with your own words.
-this is an example post. edit or delete it, then start writing.
-test test # # #
-asdf asdf asdf
-xxx xxx xxx
-bla bla bla
-tbd
-todo
-""",
-}
-# What generators of filler text put their words together from.
-FILLER_PIECES = "lor lo rem ip sum do sit a met con sec te tur ces qui mi bi fa la ti ex nus pra vel ul".split()
-# Words of the standard filler paragraph.
-FILLER_WORDS = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+from threadloom.llm.recurrence import COMMON, FURNITURE, LEAD, MARKED, RECURS, RESIDUE, SLOT, SLOT_AT, Corpus, _context, _lines_of, spell
+
+# The standard filler paragraph.
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
 )
-# Forms of unfilled template slots.
-SLOT_FORMS = [
-    r"\{\{[^{}\n]{0,40}\}\}",
-    r"\{%[^%\n]{1,40}%\}",
-    r"<%=?[^%\n]{1,40}%>",
-    r"<{2,3}[^<>\n]{1,40}>{2,3}",
-    r"<INSERT [^<>\n]{1,40}>",
-    r"\[\[[^\[\]\n]{1,40}\]\]",
-    r"\[(?!TRUNCATED|CUT|CLIPPED|SHORTENED|SNIP)[A-Z][A-Z _]{1,30}\]",
-    r"%%\w+%%",
-    r"%\(\w+\)s",
-    r"\*\|\w+\|\*",
-    r"__[A-Z][A-Z_]*__",
-    r"\b[A-Z]+(?:_[A-Z]+)*_GOES_HERE\b",
-    r"@Model(?:\.\w+)+",
-    r"#\{[^{}\n]{1,40}\}",
-    r"\$\{[^{}\n]{1,40}\}",
-    r"\$[a-z][a-z_]*\$",
-    r"\{[a-z][a-z_ ]{1,30}\}",
-    r"\[object Object\]",
+# Default notices of frameworks, content systems and protection services.
+SEEDS: list[tuple[str, str]] = [
+    *(("error", s.phrase) for s in HTTPStatus if s >= 400),
+    *(("error", s.description) for s in HTTPStatus if s >= 400 and s.description),
+    ("error", "Page not found"),
+    ("error", "The page you are looking for could not be found."),
+    ("error", "Something went wrong. Please try again later."),
+    ("script", "You need to enable JavaScript to run this app."),
+    ("script", "Please enable JavaScript and cookies to continue."),
+    ("script", "Please enable JavaScript to view the comments."),
+    ("script", "JavaScript is disabled in your browser."),
+    ("script", "Checking your browser before accessing the site."),
+    ("script", "Please complete the security check to access the site."),
+    ("script", "Verify you are human by completing the action below."),
+    ("filler", "Lorem ipsum dolor sit amet"),
+    ("filler", "This is your first post. Edit or delete it, then start writing!"),
+    ("filler", "Insert your text here."),
+    ("filler", "To do"),
 ]
-STANDINS = ["undefined", "null", "NULL", "None", "nan", "NaN", "nil", "N/A", "(null)"]
 
-_SLOT = re.compile("|".join(SLOT_FORMS))
-_ALONE = re.compile(r"(?<![\w.])(?:undefined|null|NULL|None|nan|NaN|nil|N/A|\(null\))(?![\w])")
-_ANY = re.compile(f"(?:{_SLOT.pattern})|{_ALONE.pattern}")
+CONTAINED = 0.75
+COVERED = 0.75
+#: share of a window's weight that its slots hold, if it is not seen to recur
+SLOTS = 0.5
+#: share of the letter pairs of a window that the filler paragraph has
+PAIRS = 0.65
+
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d[\w:.]*|#|\*")
 _SENT = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+")
-_CODE = re.compile(r"\b(?=\w*\d)[0-9a-f]{6,}\b|\b\d[\d:.]*\b")
-_PIECES = re.compile("(?:" + "|".join(sorted(FILLER_PIECES, key=len, reverse=True)) + ")+")
-_HINT = re.compile(r"[{}<>$%\[\]|@_]|undefined|[Nn]ull|NULL|None|nan|NaN|nil|N/A")
 
-#: a window with a slot and more words than this is prose about slots
-SLOT_WORDS = 6
-CONTAINED = 0.75
-COVERED = 0.75
+
+def _pairs(word: str) -> list[str]:
+    return [word[i : i + 2] for i in range(len(word) - 1)]
 
 
-def slot_window(window: str) -> bool:
-    """Whether a slot or stand-in is where a value belongs in this sentence or line."""
-    if not _HINT.search(window):
-        return False
-    t = _SLOT.sub(" \x00 ", window)
-    words = [w for w in re.findall(r"[^\W\d_]+", t)]
-    if "\x00" in t:
-        return len(words) <= SLOT_WORDS
-    if not _ALONE.search(t):
-        return False
-    left = _ALONE.sub(" \x00 ", t)
-    words = re.findall(r"[^\W\d_]+", left)
-    if not words:
-        return True
-    plain = left.strip()
-    if re.fullmatch(r"(?:[#*-]+\s*)?[^\W\d_]+(?: [^\W\d_]+){0,2}\s*:\s*\x00\W*", plain):  # a label
-        return True
-    if re.fullmatch(r"(?:hi|hello|dear|hey|hallo|hola|bonjour|olá|liebe[r]?|querid[oa]|chère?)\s+\x00\W*", plain, re.I):
-        return True
-    return bool(re.search(r"undefined", window)) and len(words) <= SLOT_WORDS
-
-
-def has_slot(text: str) -> bool:
-    """A slot where a value belongs, in any sentence of the text."""
-    if not _HINT.search(text):
-        return False
-    for line in text.split("\n"):
-        if _HINT.search(line) and _ANY.search(line):
-            safe = _SLOT.sub(lambda m: m[0].replace(".", "\x01").replace(" ", "\x02"), line)
-            if any(slot_window(w.replace("\x01", ".").replace("\x02", " ")) for w in _SENT.split(safe)):
-                return True
-    return False
+_FILLER = frozenset(p for w in re.findall(r"[a-z]+", LOREM.casefold()) for p in _pairs(w))
 
 
 class ExemplarIndex:
-    """Inverted index over the exemplars' words."""
-
-    def __init__(self, exemplars: dict[str, str]):
-        self.items: list[tuple[str, frozenset]] = []
-        for label, block in exemplars.items():
-            for line in block.strip().split("\n"):
-                self.items.append((label, frozenset(words_of(line))))
-        df: dict[str, int] = {}
-        for _, ws in self.items:
-            for w in ws:
-                df[w] = df.get(w, 0) + 1
-        n = len(self.items)
-        self.idf = {w: math.log(1 + n / d) for w, d in df.items()}
-        self.idf["#"] = self.idf["*"] = 0.5
-        self.unknown = math.log(1 + n)
+    """Inverted index over labelled exemplars; ``common`` gives the share of texts of the corpus' common words."""
+
+    def __init__(self, exemplars: list[tuple[str, str]], common: dict[str, float]):
+        self.common = common
+        self.most = math.log(1 + 1 / COMMON)
+        self.idf: dict[str, float] = {"#": 0.5, "*": 0.5}
+        self.items: list[tuple[str, frozenset, float]] = []
         self.post: dict[str, list[int]] = {}
-        for i, (_, ws) in enumerate(self.items):
-            for w in ws:
-                if w not in "#*":
-                    self.post.setdefault(w, []).append(i)
+        self._seen: dict[str, str | None] = {}
+        for label, text in exemplars:
+            ws = frozenset(words_of(text))
+            if ws - {"#", "*"}:
+                for w in ws - {"#", "*"}:
+                    self.post.setdefault(w, []).append(len(self.items))
+                self.items.append((label, ws, sum(self.weight(w) for w in ws if w != "*")))
+
+    def weight(self, word: str) -> float:
+        got = self.idf.get(word)
+        if got is None:
+            share = self.common.get(word)
+            got = self.idf[word] = math.log(1 + 1 / share) if share else self.most
+        return got
 
     def match(self, window: str) -> str | None:
         """The label of the exemplar that contains the window and is contained in it."""
+        if window in self._seen:
+            return self._seen[window]
+        got = self._match(window)
+        if len(self._seen) > 200_000:
+            self._seen.clear()
+        self._seen[window] = got
+        return got
+
+    def _match(self, window: str) -> str | None:
         ws = frozenset(words_of(window))
-        near = {i for w in ws for i in self.post.get(w, ())}
-        if not near:
-            return None
-        total = sum(self.idf.get(w, self.unknown) for w in ws)
+        total = sum(map(self.weight, ws))
+        # to be contained, one of the heavy words beyond the free share must be the exemplar's
+        near: set[int] = set()
+        passed = 0.0
+        for w in sorted(ws, key=lambda w: (-self.weight(w), w)):
+            if passed > (1 - CONTAINED) * total + self.most:  # one name may stand for a star
+                break
+            passed += self.weight(w)
+            near.update(self.post.get(w, ()))
         best, label = 0.0, None
         for i in sorted(near):
-            lab, ex = self.items[i]
-            both = sum(self.idf[w] for w in ws & ex)
-            free = self.unknown if "*" in ex else 0.0  # a name in the place of the star
-            c = both / max(1e-9, total - free)
-            r = both / max(1e-9, sum(self.idf[w] for w in ex if w != "*"))
-            s = min(c, r, 1.0)
+            lab, ex, weight = self.items[i]
+            both = sum(map(self.weight, ws & ex))
+            free = self.most if "*" in ex else 0.0
+            s = min(both / max(1e-9, total - free), both / max(1e-9, weight), 1.0)
             if s > best:
                 best, label = s, lab
         return label if best >= CONTAINED else None
 
+    def filler(self, words: list[str]) -> bool:
+        """No word common in the corpus, and the letter pairs of the filler paragraph."""
+        w = [x for x in words if x.isalpha()]
+        if len(w) < 4 or sum(x in self.common for x in w) > 0.2 * len(w):
+            return False
+        pairs = [p for x in w if x not in self.common for p in _pairs(x)]
+        return bool(pairs) and sum(p in _FILLER for p in pairs) >= PAIRS * len(pairs)
 
-def words_of(line: str) -> list[str]:
-    return _WORD.findall(_CODE.sub("#", line.casefold()))
-
-
-_INDEX = ExemplarIndex(EXEMPLARS)
-
-
-def is_filler_prose(words: list[str]) -> bool:
-    """Words of the standard filler, or put together from filler pieces."""
-    long = [w for w in (w.strip(".,;:!?") for w in words) if len(w) >= 4]
-    return len(long) >= 3 and sum(w in FILLER_WORDS or bool(_PIECES.fullmatch(w)) for w in long) >= 0.8 * len(long)
+    def slot(self, window: str) -> bool:
+        """The slots of a window are most of its weight."""
+        ws = words_of(window.replace(SLOT_AT, " "))
+        slots = window.count(SLOT_AT) * self.most
+        return slots >= SLOTS * (slots + sum(map(self.weight, set(ws))))
 
 
-def _all_match(parts) -> str | None:
-    """The label of the first part if every part is residue."""
-    first = None
-    for p in parts:
-        label = _INDEX.match(p)
-        if label is None:
-            return None
-        first = first or label
-    return first
+def words_of(line: str) -> list[str]:
+    return _WORD.findall(line)
 
 
-def residue_label(text: str | None, title: str | None = None, lines: list[int] | None = None) -> str | None:
-    """slot, error, script or filler if the text is residue, else None.
+def judge(index: ExemplarIndex, title, marks, tags, words, at, chars, spelled, flags, known: dict | None = None):
+    """(label, share of text of each line) of one record; flags: {unit number: flag}.
 
-    ``lines`` are the numbers of its surrounding lines, if known.
+    The share is what is left of a line without tags, furniture and links.
     """
-    if not text or not text.strip():
-        return None
-    if has_slot(text):
-        return "slot"
-    raw = text.split("\n")
-    out = set(surrounding_lines(text, title) if lines is None else lines)
-    head = title.strip().casefold() if title else None
+    n = len(marks)
+    hit = lambda bit: [bool(flags.get(k, 0) & bit) for k in range(len(at))]
+    recurs = [r and not m & MARKED for r, m in zip(_lines_of(at, hit(RECURS), n), marks)]
+    furniture, lead, residue = hit(FURNITURE), hit(LEAD), hit(RESIDUE)
+    lines: list[list[int]] = [[] for _ in range(n)]
+    for k, line in enumerate(at):
+        if line >= 0:
+            lines[line].append(k)
+    heads = [len(ks) == 1 and title != "" and spelled[ks[0]] == title for ks in lines]
+    # links: the titles under the heading of a sidebar
+    link = [False] * n
+    for j, (_, run) in enumerate(_context(marks, recurs)):
+        if run and recurs[j] and any(lead[k] for k in lines[j]):
+            longest = 0
+            for i in range(j + 1, j + 1 + run):
+                if heads[i] or i == n - 1 and i > j + 1 and words[i] > longest + 1:
+                    break  # the title of the record, or a sentence cut short
+                link[i] = True
+                longest = max(longest, words[i])
+    text = []
+    for j in range(n):
+        whole = sum(chars[k] for k in lines[j])
+        if marks[j] & MARKED:
+            text.append(1.0)
+            continue
+        own = 0 if link[j] else sum(chars[k] for k in lines[j] if not furniture[k])
+        text.append(own / max(1, whole + TAG * tags[j]))
+    if any(f & SLOT for f in flags.values()) or any(line < 0 and index.slot(spelled[k]) for k, line in enumerate(at)):
+        return "slot", text
     covered = total = sentences = 0
-    first = True
-    opens = False
+    opens = None
     votes: dict[str, int] = {}
-    for n, line in enumerate(raw, 1):
-        s = line.strip()
-        if not s or n in out or s.casefold() == head:
-            continue
-        ws = words_of(s)
-        if not ws:
+    for j in range(n):
+        ks = lines[j]
+        if link[j] or heads[j] or all(furniture[k] and not residue[k] for k in ks) or not words[j]:
             continue
-        label = None
-        if len(set(ws)) <= 30:  # a phrase said over and over is as long as its words
-            label = _INDEX.match(s)
-        if label is None and len(ws) <= 30 and " | " in s:
-            label = next(filter(None, (_INDEX.match(p) for p in s.split(" | "))), None)
-        if label is None and _SENT.search(s):
-            label = _all_match(p for p in _SENT.split(s) if p)
+        s = " ".join(spelled[k] for k in ks)
+        label = index.match(s)
         if label is None:
-            text_words = [w for w in ws if w.isalpha()]
-            if (text_words[:2] == ["lorem", "ipsum"] and len(ws) <= 30) or is_filler_prose(text_words):
+            parts = _SENT.split(s)
+            labels = [index.match(p) for p in parts if p] if len(parts) > 1 else [None]
+            if all(labels):
+                label = labels[0]
+            elif all(residue[k] for k in ks):
+                label = "notice"
+            elif len(ks) > 1:
+                label = next(filter(None, (index.match(spelled[k]) for k in ks)), None)
+            if label is None and index.filler(words_of(s)):
                 label = "filler"
-        total += len(ws)
-        if first:
-            first, opens = False, label is not None
+        total += words[j]
+        if opens is None:
+            opens = label is not None
         if label is None:
-            sentences += 1 if len(ws) <= 30 and len(_SENT.split(s)) == 1 else 2
-        if label:
-            covered += len(ws)
-            votes[label] = votes.get(label, 0) + len(ws)
-    # residue first and one stray sentence after it is residue too
-    if total and (covered >= COVERED * total or (opens and sentences == 1)):
-        return max(sorted(votes), key=votes.get)
-    return None
-
-
-_CONTENT = re.compile(r"^CONTENT:[ \t]*\n?", re.M)
-_TITLE = re.compile(r"^TITLE:[ \t]*(.*)$", re.M)
-
-
-def prompt_parts(content: str) -> tuple[str, str]:
-    """Title and saved text of a user message; the head may come twice."""
-    at = None
-    for m in _CONTENT.finditer(content[:2000]):
-        at = m
-    head, body = (content[: at.start()], content[at.end() :]) if at else ("", content)
-    titles = _TITLE.findall(head)
-    return (titles[-1].strip() if titles else ""), body
-
-
-def prompt_label(messages) -> str | None:
-    """Residue of a prompt: slots in its title, or a saved text that is residue."""
-    for m in messages or []:
-        content = (m or {}).get("content")
-        if not content or (m.get("role") or "") == "system":
-            continue
-        title, body = prompt_parts(content)
-        if title and title != "(no title)" and has_slot(title):
-            return "slot"
-        if label := residue_label(body, title or None):
-            return label
-    return None
+            sentences += len(_SENT.split(s))
+        else:
+            covered += words[j]
+            votes[label] = votes.get(label, 0) + words[j]
+    if total and votes and (covered >= COVERED * total or (opens and sentences == 1)):
+        return max(sorted(votes), key=votes.get), text
+    return None, text
+
+
+#: characters that a tag counts as
+TAG = 20
 
 
-def _items(batches):
-    for b in batches:
-        ids, titles, texts = (b.column(i).to_pylist() for i in range(3))
-        got = [(i, lab) for i, t, x in zip(ids, titles, texts) if i is not None and (lab := residue_label(x, t))]
-        yield _out(got, "saved_items")
+def _judge_all(index: ExemplarIndex):
+    names = ("title", "marks", "tags", "words", "at", "chars", "spelled", "flags")
 
+    def run(batches):
+        for b in batches:
+            labels, texts = [], []
+            for *row, flags in zip(*(b.column(c).to_pylist() for c in names)):
+                label, text = judge(index, *row, {f["k"]: f["flag"] for f in flags or ()})
+                labels.append(label)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("table_name"), b.column("record_id"), b.column("no"), pa.array(texts, pa.list_(pa.float32())), pa.array(labels, pa.string())], names=["table_name", "record_id", "no", "text", "label"]
+            )
 
-def _prompts(batches):
-    for b in batches:
-        got = [(i, lab) for i, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if i is not None and (lab := prompt_label(ms))]
-        yield _out(got, "groq_batch_3r")
+    return run
 
 
-def _out(got, table):
-    return pa.RecordBatch.from_arrays(
-        [pa.array([table] * len(got), pa.string()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())],
-        names=["table_name", "record_id", "label"],
-    )
+def labelled(corpus: Corpus, seeds: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(table_name, record_id, no, text, label): the lines of each text with their share of text, and its label if it is residue."""
+    seeds = [(label, spell(x)) for label, x in (SEEDS if seeds is None else seeds)]
+    near = ExemplarIndex(seeds, corpus.common)
+    found = sorted(corpus.exemplars())
+    index = ExemplarIndex(seeds + [(near.match(x) or "notice", x) for x, _ in found], corpus.common)
+    return corpus.flagged().mapInArrow(_judge_all(index), "table_name string, record_id string, no array<int>, text array<float>, label string")
 
 
 def residue(items: DataFrame, prompts: DataFrame) -> DataFrame:
     """(table_name, record_id, label) of the records to exclude."""
-    schema = "table_name string, record_id string, label string"
-    a = items.select("id", "title", "extracted_text").where("extracted_text is not null").mapInArrow(_items, schema)
-    b = prompts.select("id", "messages").mapInArrow(_prompts, schema)
-    return a.unionByName(b).groupBy("table_name", "record_id").agg(F.min("label").alias("label"))
+    found = labelled(Corpus(items, prompts)).where("label is not null")
+    return found.groupBy("table_name", "record_id").agg(F.min("label").alias("label"))
