@@ -2,17 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.url import strip_blanks
 
 # Interface lines dropped per site (lower case).
-X_LINES = """follow|following|reply|repost|like|bookmark|share|copy link|show more|show this thread|view post engagements|post your reply|translate post|show replies|view community note|this post may contain sensitive content|read more|sign up|log in|ad|promoted""".split("|")
-LINKEDIN_LINES = """like|comment|repost|send|copy link|follow|following|connect|message|translate|see translation|edited|more|show more|show less|view more comments|load more comments|load previous replies|view previous comments|view more replies|view previous replies|most relevant|top|recent|all comments|add a comment|sign in|join now""".split("|")
-REDDIT_LINES = """reply|share|save|hide|report|give award|award|crosspost|follow|sort by|best|new|top|controversial|old|q&a|view discussions in|more posts from|single comment thread|view all comments|continue this thread|load more comments|show replies|more replies""".split("|")
+X_LINES = (
+    "follow",
+    "following",
+    "reply",
+    "repost",
+    "like",
+    "bookmark",
+    "share",
+    "copy link",
+    "show more",
+    "show this thread",
+    "view post engagements",
+    "post your reply",
+    "translate post",
+    "show replies",
+    "view community note",
+    "this post may contain sensitive content",
+    "read more",
+    "sign up",
+    "log in",
+    "ad",
+    "promoted",
+)
+LINKEDIN_LINES = (
+    "like",
+    "comment",
+    "repost",
+    "send",
+    "copy link",
+    "follow",
+    "following",
+    "connect",
+    "message",
+    "translate",
+    "see translation",
+    "edited",
+    "more",
+    "show more",
+    "show less",
+    "view more comments",
+    "load more comments",
+    "load previous replies",
+    "view previous comments",
+    "view more replies",
+    "view previous replies",
+    "most relevant",
+    "top",
+    "recent",
+    "all comments",
+    "add a comment",
+    "sign in",
+    "join now",
+)
+REDDIT_LINES = (
+    "reply",
+    "share",
+    "save",
+    "hide",
+    "report",
+    "give award",
+    "award",
+    "crosspost",
+    "follow",
+    "sort by",
+    "best",
+    "new",
+    "top",
+    "controversial",
+    "old",
+    "q&a",
+    "view discussions in",
+    "more posts from",
+    "single comment thread",
+    "view all comments",
+    "continue this thread",
+    "load more comments",
+    "show replies",
+    "more replies",
+)
 # Markers of advertising, login walls and missing posts.
-AD_MARKERS = """promoted|who to follow|relevant people|trends for you|subscribe to premium|discover more|you might like|show more posts|sign up to get the full experience|new to x?|don’t miss what’s happening|don't miss what's happening""".split("|")
+AD_MARKERS = (
+    "promoted",
+    "who to follow",
+    "relevant people",
+    "trends for you",
+    "subscribe to premium",
+    "discover more",
+    "you might like",
+    "show more posts",
+    "sign up to get the full experience",
+    "new to x?",
+    "don’t miss what’s happening",
+    "don't miss what's happening",
+)
 WALL_URLS = {"x": ["/i/flow/login", "/i/flow/signup", "/login", "/signup"], "linkedin": ["/authwall", "/uas/login", "/checkpoint/", "/signup"]}
 WALL_TEXTS = {
     "x": ["sign in to x", "join x today", "sign up for x", "log in to x", "create account"],
@@ -96,6 +185,18 @@ def engagement(c: Column, words: list[str]) -> Column:
     return F.when(before != "", compact_number(before)).when(after != "", compact_number(after)).otherwise(0.0)
 
 
+def most_engagement(texts: list[Column], words: list[str]) -> Column:
+    """The largest number that any of the texts gives for one of the words."""
+    return F.greatest(*(F.coalesce(engagement(t, words), F.lit(0.0)) for t in texts))
+
+
+def best_of_classes(rows: DataFrame, group: list[str], item: Column, likes: Column, main: Column, order: list[Column]) -> DataFrame:
+    """(group, below_main, at_least_main): the best item with fewer likes than the main post, and with as many or more."""
+    key = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
+    best = lambda c: F.max_by(F.when(c, item), F.when(c, key))
+    return rows.groupBy(*group).agg(best(likes < main).alias("below_main"), best(likes >= main).alias("at_least_main"))
+
+
 def reply_quality(text: Column, likes: Column, replies: Column) -> Column:
     marks = F.regexp_count(text, F.lit("[.!?]"))
     return F.length(text) + F.when(marks > 0, 12).otherwise(0) + 3 * F.least(marks, F.lit(6)) + F.least(likes / 10.0, F.lit(500.0)) + F.least(replies * 3.0, F.lit(300.0))
@@ -188,3 +289,8 @@ def yaml_quote(c: Column) -> Column:
 
 def shorten(c: Column, most: int = 220) -> Column:
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most - 3)), F.lit("..."))).otherwise(c)
+
+
+def like_pattern(part: str) -> str:
+    """A LIKE pattern for text that contains ``part`` as it is."""
+    return "%" + "".join("\\" + c if c in "%_\\" else c for c in part) + "%"

@@ -192,3 +192,14 @@ def status_id(url: Column) -> Column:
 
 def handle(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?i)https?://(?:www\.)?(?:x\.com|twitter\.com)/([^/?#]+)/status(?:es)?/\d+", 1))
+
+
+def post_link(urn: Column) -> Column:
+    """The address of a post from the name it has in a page; "" if there is none."""
+    name = F.regexp_extract(urn, r"(urn:li:(?:activity|ugcPost|share):\d+)", 1)
+    return F.when(name != "", F.concat(F.lit("https://www.linkedin.com/feed/update/"), name, F.lit("/"))).otherwise("")
+
+
+def is_saved_page(url: Column) -> Column:
+    """Whether an address is a user's page of saved posts."""
+    return (host(url) == "reddit.com") & part(url, 3).rlike(r"^/user/[^/]+/saved/?$") | host(url).endswith(".reddit.com") & part(url, 3).rlike(r"^/user/[^/]+/saved/?$")

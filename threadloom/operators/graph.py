@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import tokens
-from threadloom.session import cut
+from threadloom.operators.merge import latest
+from threadloom.session import cut, release
 
 
 def l2(v: Column) -> Column:
@@ -65,7 +66,9 @@ def jaccard(members: DataFrame, least: float = 0.30) -> DataFrame:
     Prefix filtering, exact: items are ordered from rare to frequent, and two
     sets can only be that much alike if they share one of their first
     n - ceil(least * n) + 1 items; only those are joined, so frequent items
-    bring no sets together. Equal sets are one set until the end: a pair is
+    bring no sets together. The shared ones are counted by a partial aggregate, and
+    a pair goes on to the exact comparison only if its count and what may follow
+    the last shared position reach the overlap asked for. Equal sets are one set until the end: a pair is
     given between the least ids of two classes, and each member with its class's
     least id.
     """
@@ -74,38 +77,41 @@ def jaccard(members: DataFrame, least: float = 0.30) -> DataFrame:
     sets = m.join(freq, "item").groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "item"))), lambda x: x["item"]).alias("items"))
     sets = cut(sets.withColumn("k", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), "\x1f"), 256)))
     classes = sets.groupBy("k").agg(F.min("set_id").alias("rep"), F.count("*").alias("n"))
-    reps = sets.join(classes.where("n >= 1").select(F.col("rep").alias("set_id")), "set_id", "left_semi")
+    reps = cut(sets.join(classes.select(F.col("rep").alias("set_id")), "set_id", "left_semi").select("set_id", "items"))
     n = F.size("items")
     head = F.slice("items", F.lit(1), F.greatest(F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1))
-    pre = reps.select("set_id", n.alias("n"), F.explode(head).alias("item"))
+    pre = reps.select("set_id", n.alias("n"), F.posexplode(head).alias("pos", "item"))
     x, y = pre.alias("x"), pre.alias("y")
     near = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.n") * least <= F.col("y.n") + 1e-9) & (F.col("y.n") * least <= F.col("x.n") + 1e-9))
-    near = near.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    full = reps.select("set_id", "items")
-    v = near.join(full.select(F.col("set_id").alias("a"), F.col("items").alias("ia")), "a").join(full.select(F.col("set_id").alias("b"), F.col("items").alias("ib")), "b")
+    near = near.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
+    # what is shared so far and what could still follow must reach the overlap that the threshold asks for
+    most = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    near = near.where(most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+    v = near.join(reps.select(F.col("set_id").alias("a"), F.col("items").alias("ia")), "a").join(reps.select(F.col("set_id").alias("b"), F.col("items").alias("ib")), "b")
     both = F.size(F.array_intersect("ia", "ib"))
     pairs = v.select("a", "b", (both / (F.size("ia") + F.size("ib") - both)).alias("jaccard")).where(F.col("jaccard") >= least - 1e-12)
     copies = sets.join(classes.where("n > 1").select("k", "rep"), "k").where("set_id <> rep").select(F.col("rep").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard"))
     return pairs.unionByName(copies)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected component.
 
     Alternating large-star and small-star steps, which halve paths, so a chain
-    of n nodes needs about log n rounds; every round is written once.
+    of n nodes needs about log n rounds; every round is written once and the
+    one before is deleted. The rounds go on until nothing changes.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = cut(e)
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small)
+        old, e = e, cut(small)
+        release(old)
         # nothing changed if the edges are as many and sum up to the same hash
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -145,3 +151,24 @@ def cross_relations(edges: DataFrame, membership: DataFrame, tiers: DataFrame, m
 def membership(edges: DataFrame) -> DataFrame:
     """id with its sorted distinct sources."""
     return edges.groupBy("id").agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
+
+
+def latest_edges(edges: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One edge per key over all batches: the last one's values and batch win."""
+    return latest(edges, keys, order)
+
+
+def first_names(mentions: DataFrame) -> DataFrame:
+    """(concept_id, name, tier, kind, doc_freq): concepts over all sources; the first mention (source, pos) names each.
+
+    mentions: concept_id, name, tier, kind, source_id, pos.
+    """
+    first = F.min(F.struct("source_id", "pos", "name", "tier", "kind")).alias("x")
+    return mentions.groupBy("concept_id").agg(first, F.count_distinct("source_id").alias("doc_freq")).select("concept_id", "x.name", "x.tier", "x.kind", "doc_freq")
+
+
+def children(nodes: DataFrame, parents: DataFrame, node: str, parent: str) -> DataFrame:
+    """(parent, children): the sorted children of each parent; those whose parent is not known stand under null."""
+    known = parents.select(F.col(parent).alias("_known")).distinct()
+    up = nodes.join(known, F.col(parent) == F.col("_known"), "left").select(F.col("_known").alias(parent), node)
+    return up.groupBy(parent).agg(F.array_sort(F.collect_list(node)).alias("children"))

@@ -101,3 +101,32 @@ def changed(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -
         d = ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
         diff = d if diff is None else diff | d
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).where(diff).select(F.col(f"a.{key}").alias(key))
+
+
+def mirror(target: DataFrame, batch: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A batch into its mirror: the new state and (received, inserted, updated, unchanged, after) counts.
+
+    The batch's rows replace those of their key; of rows of one key in a batch any
+    stands for all (they are copies). One aggregate gives every count, so the
+    mirror is read once for the state and once for the counts.
+    """
+    rest = [c for c in batch.columns if c not in keys]
+    new = batch.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.struct(*rest)).alias("_new"))
+    old = target.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_old"))
+    both = old.join(new, keys, "full")
+    state = both.select(*keys, F.coalesce("_new", "_old").alias("_r")).select(*(F.col(k) if k in keys else F.col("_r")[k].alias(k) for k in batch.columns))
+    has_new, has_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    counts = both.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("received"), F.count_if(has_new & ~has_old).alias("inserted"), F.count_if(has_new & has_old & ~F.col("_new").eqNullSafe(F.col("_old"))).alias("updated"),
+        F.count_if(has_new & F.col("_new").eqNullSafe(F.col("_old"))).alias("unchanged"), F.count("*").alias("after"),
+    )
+    return state, counts
+
+
+def counts_per_batch(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(table_name, batch_id, n): rows per batch of several tables; tables: name -> (rows, batch column)."""
+    out = None
+    for name, (df, batch) in tables.items():
+        g = df.groupBy(F.col(batch).alias("batch_id")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "batch_id", "n")
+        out = g if out is None else out.unionByName(g)
+    return out

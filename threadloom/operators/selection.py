@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import like_pattern
+from threadloom.session import cut
+
 # Statuses before and after crawling, and the rank of finished ones.
 RETRYABLE = ("pending_crawl", "crawl_failed", "extraction_failed")
 POST_CRAWL = ("crawled", "crawled_wayback", "title_only")
@@ -27,24 +30,26 @@ def source_class(c: Column) -> Column:
 def running(df: DataFrame, values: dict[str, str] | str, order: list[Column], alias: str = "running", buckets: int = 64) -> DataFrame:
     """Running sums over a total order without one task for all rows.
 
-    The first order column is cut into ranges by approximate quantiles; sums of
-    whole ranges (at most ``buckets`` rows) are added to the sums inside the
-    range. values: new column by summed column, or one column for ``alias``.
+    The rows are cut into ranges of the whole order (sampled bounds of all its
+    columns, so a first column of few values splits as well) and written once;
+    sums of whole ranges (at most ``buckets`` rows) are added to the sums inside
+    the range. values: new column by summed column, or one column for ``alias``.
     """
     values = {values: alias} if isinstance(values, str) else values
-    lead = order[0].cast("double")
-    edges = df.select(lead.alias("v")).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    b = F.size(F.filter(F.lit(edges), lambda e: e < lead)) if edges else F.lit(0)
-    d = df.withColumn("_range", F.coalesce(b, F.lit(-1)))
+    d = cut(df.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id()))
     sums = d.groupBy("_range").agg(*(F.sum(v).alias(f"_s_{a}") for v, a in values.items()))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
     sums = sums.select("_range", *(F.coalesce(F.sum(f"_s_{a}").over(before), F.lit(0)).alias(f"_b_{a}") for a in values.values()))
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = d.join(F.broadcast(sums), "_range")
     return out.withColumns({a: F.col(f"_b_{a}") + F.sum(v).over(w) for v, a in values.items()}).drop("_range", *(f"_b_{a}" for a in values.values()))
 
 
+def ranked(df: DataFrame, order: list[Column], alias: str = "rank") -> DataFrame:
+    """The number of each row in a total order, from 1, without one task for all rows."""
+    return running(df.withColumn("_one", F.lit(1)), {"_one": alias}, order).drop("_one")
+
+
 def budget_prefix(df: DataFrame, cost: str, order: list[Column], budget: float, first_free: bool = True, most: int | None = None) -> DataFrame:
     """The longest prefix of the order whose cost stays within the budget.
 
@@ -107,3 +112,36 @@ def translate(rows: DataFrame, other: DataFrame, primary: DataFrame, other_id: s
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
+
+
+def contains_url(c: Column, part: str) -> Column:
+    """Whether an address contains a piece of text, without regard to ASCII case; the piece stands for itself."""
+    return F.coalesce(c.ilike(like_pattern(part)), F.lit(False))
+
+
+def by_subreddit(sub: Column, names: list[str], mode: str = "include") -> Column:
+    """Include or exclude the named subreddits; no names pass all, an unknown one passes only if names are excluded."""
+    if not names:
+        return F.lit(True)
+    hit = F.lower(sub).isin(*(n.strip().lower().removeprefix("r/") for n in names))
+    known = F.coalesce(sub, F.lit("")) != ""
+    return F.when(known, ~hit if mode == "exclude" else hit).otherwise(F.lit(mode == "exclude"))
+
+
+def row_limit(text: str | None) -> int | None:
+    """The number of rows asked for; None (all) if blank, not a number or not positive."""
+    try:
+        n = int((text or "").strip())
+    except ValueError:
+        return None
+    return n if n > 0 else None
+
+
+def next_items(pending: DataFrame, order: list[Column], n: int = 1) -> DataFrame:
+    """The first pending rows of a queue; a sort with a limit keeps n rows per task."""
+    return pending.orderBy(*order).limit(n)
+
+
+def dictionary(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, row): a named projection, one row per key."""
+    return rows.groupBy(key).agg(F.max(F.struct(*columns)).alias("row"))

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register the core's queries."""
-    from threadloom.plans import graph_queries, io_queries, nested_queries, text_queries, url_queries, work_queries  # noqa: F401
+    from threadloom.plans import graph_queries, io_queries, mirror_queries, nested_queries, text_queries, url_queries, work_queries  # noqa: F401

@@ -36,12 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's, else one of our own (tests)."""
+    """The shared folder for checkpoints: the session's; a local session without one gets a folder of our own.
+
+    On a cluster a machine's own folder would be lost with it, so there the
+    setting has to be given.
+    """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not own and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not own:
         own = os.path.join(tempfile.gettempdir(), "threadloom-checkpoints")
     sc.setCheckpointDir(own)
@@ -66,6 +72,42 @@ def cut(df: DataFrame) -> DataFrame:
 _made: list[str] = []
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder; a failure to look is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    f = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(f)).decode()
+    finally:
+        f.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that appears under its name only once it is whole."""
+    p, part = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part-{uuid.uuid4().hex}")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    f = fs.create(part, True)
+    try:
+        f.write(bytearray(text.encode()))
+    finally:
+        f.close()
+    fs.delete(p, False)  # a replayed batch: until the rename the batch before is the last one
+    if not fs.rename(part, p):
+        raise OSError(f"cannot publish {path}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

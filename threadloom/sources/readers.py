@@ -147,3 +147,8 @@ def attach(spark: SparkSession, alias: str, tables: dict[str, DataFrame]) -> lis
     for name, df in tables.items():
         df.createOrReplaceTempView(f"{alias}_{name}")
     return [f"{alias}_{n}" for n in tables]
+
+
+def graph_edges(edges: DataFrame, least: float = 0.0) -> DataFrame:
+    """Edges of a graph table of at least a strength; the filter is pushed to the scan."""
+    return edges.where(F.col("strength") >= least)
