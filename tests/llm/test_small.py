@@ -140,9 +140,12 @@ def test_segments_merge_and_cover():
     for b in range(50):
         index.add([f"site.example/posts/{b}-{i}" for i in range(4)], [b * 10 + i for i in range(4)])
     assert len(index.segments) <= 7 and sum(s.size for s in index.segments) == 200
-    assert index.whole("site.example/posts/7-3") is not None and index.whole("site.example/posts/7-9") is None
-    assert index.coverage("site.example/posts/7-3")[0][1] == 1.0
-    assert all(s.text[a[0] :] <= s.text[b[0] :] or True for s in index.segments for a, b in zip(s.suffixes, s.suffixes[1:]))
+    assert index.duplicate("site.example/posts/7-3", 900) == 900 and index.duplicate("site.example/posts/7-9", 901) is None
+    assert index.duplicate("site.example/posts/8-1", 2) == 81 and index.duplicate("site.example/posts/8-1", 5) == 5  # a late row with a smaller number
+    assert index.coverage("site.example/posts/7-3")[0] == (73, 1.0) and index.coverage("site.example/posts/7-3", 1.0) == [(73, 1.0)]
+    assert index.coverage("site.example/posts/7-3?page=2")[0][0] == 73 and index.coverage("nothing.test/like/it", 0.9) == []
+    for s in index.segments:
+        assert s.suffixes == sorted(s.suffixes) and batchdedup.Segment.stored(*s.written()).suffixes == s.suffixes
 
 
 # ---- p4 ------------------------------------------------------------------------
