@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import cogmap, ids, text
@@ -44,9 +44,9 @@ def top_concepts(spark: SparkSession, d: str) -> DataFrame:
     return top.select(ids.concept_id(F.lit("concept"), F.col("concept_id")).alias("concept_id"), F.col("concept_id").alias("name"), "doc_freq")
 
 
-@query("type_index_topn", "SELECT p_type AS kind, p_partkey AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY coalesce(n, 0) DESC, p_name, p_partkey) AS rank FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1) ON l_partkey = p_partkey) WHERE rank <= 20")
+@query("type_index_topn", "SELECT p_type AS kind, p_partkey AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY coalesce(n, 0) DESC, p_name, p_partkey) AS rank FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey) WHERE rank <= 20")
 def type_index(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "lineitem").where("l_quantity > 25").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("n"))
+    n = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("n"))
     p = table(spark, d, "part").join(n, F.col("l_partkey") == F.col("p_partkey"), "left")
     return selection.top_per_group(p, ["p_type"], [F.desc(F.coalesce("n", F.lit(0))), F.col("p_name"), F.col("p_partkey")], 20).select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("id"), "rank")
 
@@ -107,10 +107,10 @@ def default_fill(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", "m.root.label", "m.root.need", F.size("m.domains").alias("domains"), F.size("m.micro_insights").alias("micros"), F.col("m.quality_flags.content_thin").alias("thin"))
 
 
-@query("answer_parse_states", f"SELECT id, CASE WHEN trim(coalesce(t, ''), ' \t\n\r') = '' THEN 'missing_assistant_content' WHEN json_valid(t) THEN 'ok' ELSE 'json_loads_failed' END AS state FROM (SELECT DISTINCT id, CASE WHEN trim(coalesce(assistant_content, ''), ' \t\n\r') <> '' THEN assistant_content ELSE raw.choices[1].message.content END AS t FROM {OUT}) WHERE t NOT LIKE '%{chr(8203)}%' OR t IS NULL")
+@query("answer_parse_states", f"SELECT id, CASE WHEN trim(coalesce(t, ''), ' \t\n\r') = '' THEN 'missing_assistant_content' WHEN json_valid(t) THEN 'ok' ELSE 'json_loads_failed' END AS state FROM (SELECT DISTINCT id, CASE WHEN trim(coalesce(assistant_content, ''), ' \t\n\r') <> '' THEN assistant_content ELSE raw.choices[1].message.content END AS t FROM {OUT})")
 def answer_parse_states(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, OUT).select("id", cogmap.assistant_text(F.col("assistant_content"), F.to_json("raw")).alias("t")).distinct()
-    return o.where(~F.coalesce(F.contains("t", F.lit(chr(8203))), F.lit(False))).select("id", cogmap.parse_state(F.col("t")).alias("state"))
+    return o.select("id", cogmap.parse_state(F.col("t")).alias("state"))
 
 
 @query("embedding_l2", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
@@ -235,11 +235,61 @@ def board_boxes(spark: SparkSession, d: str) -> DataFrame:
     return layout.bounding_boxes(layout.source_boards(map_nodes(spark, d)))
 
 
+def _alike(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, strength, rank): nodes (id, name) by the words of their names, both ways; copies of a name by way of the first."""
+    words = nodes.select(F.col("id").alias("set_id"), F.explode(text.tokens(F.col("name"))).alias("item"))
+    j = graph.jaccard(words, least).select("a", "b", F.round("jaccard", 6).alias("strength"))
+    both = j.unionByName(j.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("strength"), "b")))
+
+
+def _clusters(m: DataFrame) -> DataFrame:
+    """Sources clustered by the nodes they share (Jaccard of at least the overview's threshold)."""
+    sets = m.select(F.col("source_id").alias("set_id"), F.col("node_id").alias("item"))
+    return graph.components(m.select(F.col("source_id").alias("id")).distinct(), graph.jaccard(sets, layout.OVERVIEW["threshold"]).select("a", "b"))
+
+
+def _overview(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(laned relations, islands, placed nodes) of the overview."""
+    m = cut(map_nodes(spark, d))
+    placed = cut(layout.source_boards(m))
+    order = cut(layout.cluster_order(_clusters(m)))
+    nodes = m.groupBy(F.col("node_id").alias("id")).agg(F.min("name").alias("name"), F.min("tier").alias("tier"))
+    edges = _alike(nodes.select("id", "name"), layout.OVERVIEW["draw"]).withColumn("pos", F.col("rank"))
+    on_board = placed.select("source_id", F.col("node_id").alias("id")).distinct()
+    rel = layout.lanes(graph.cross_relations(edges, on_board, nodes.select("id", "tier"), layout.OVERVIEW["draw"]), order)
+    rel = cut(rel)
+    top = rel.agg(F.max("islands_top").alias("t")).first()["t"] or layout.OVERVIEW["pad_y"]
+    return rel, cut(layout.islands(layout.bounding_boxes(placed), order, top)), placed
+
+
 @query("overview_islands")
 def overview_islands(spark: SparkSession, d: str) -> DataFrame:
-    boxes = cut(layout.bounding_boxes(layout.source_boards(map_nodes(spark, d))))
-    order = selection.running(boxes.select("source_id", F.lit(1).alias("one"), F.crc32("source_id").alias("h")), "one", [F.col("h"), F.col("source_id")], alias="pos").select("source_id", "pos")
-    return layout.islands(boxes, order, layout.OVERVIEW["pad_y"])
+    """Boxes of the sources side by side, larger clusters first."""
+    return _overview(spark, d)[1]
+
+
+@query("overview_routes")
+def overview_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The relations between islands as edges by way of ports and lanes."""
+    rel, boxes, placed = _overview(spark, d)
+    moved = placed.join(boxes.select("source_id", "dx", "dy"), "source_id").select("source_id", "node_id", "tier", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    return layout.routed(rel, boxes, moved)
+
+
+_NODES = f"""k AS (SELECT id, parsed FROM {OUT} WHERE parsed IS NOT NULL),
+ l AS (SELECT id, unnest(list_distinct(list_filter(coalesce(list_transform(parsed.domains, lambda x: x.name), []) || coalesce(list_transform(parsed.themes, lambda x: x.name), []) || coalesce(list_transform(parsed.concepts, lambda x: x.name), []) || coalesce(list_transform(parsed.micro_insights, lambda x: x.text), []), lambda x: {sql.strip('x')} <> ''))) AS name FROM k)"""
+
+
+@query("source_clusters", f"""WITH RECURSIVE {_NODES}, m AS (SELECT DISTINCT id AS set_id, name AS item FROM l), {_CLASSES}, e AS (SELECT a, b FROM j WHERE jaccard >= 0.3 - 1e-12 UNION SELECT b, a FROM j WHERE jaccard >= 0.3 - 1e-12),
+ w(id, c) AS (SELECT DISTINCT set_id, set_id FROM m UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.id), p AS (SELECT id, min(c) AS component FROM w GROUP BY 1), z AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM p) SELECT id AS source_id, row_number() OVER (ORDER BY n DESC, component, id) AS pos FROM z""")
+def source_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The order of the islands: clusters of sources by size, then by member."""
+    k = table(spark, d, OUT).where("parsed is not null").select("id", "parsed")
+    levels = [F.transform("parsed.domains", lambda x: x["name"]), F.transform("parsed.themes", lambda x: x["name"]), F.transform("parsed.concepts", lambda x: x["name"]), F.transform("parsed.micro_insights", lambda x: x["text"])]
+    names = F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in levels))
+    m = k.select(F.col("id").alias("source_id"), F.explode(names).alias("node_id")).where(ids.concept_name(F.col("node_id")) != "").distinct()
+    return layout.cluster_order(_clusters(cut(m)))
 
 
 @query("canvas_json")
@@ -263,10 +313,21 @@ def markdown_notes(spark: SparkSession, d: str) -> DataFrame:
     n = _normalised(spark, d).dropDuplicates(["id"])
     src = n.select(F.col("source_id").alias("id"), F.col("canonical_url").alias("url"), "name", F.lit("batch").alias("batch_id")).dropDuplicates(["id"])
     m = responses.mentions(n).select(F.col("source_id").alias("id"), F.col("concept_id").alias("stem"), "name", F.col("concept_type").alias("kind"), "tier", "confidence").dropDuplicates(["id", "stem"])
-    rel = spark.createDataFrame([], "id string, stem string, name string, strength double")
+    e = _source_edges(spark, d)
+    rel = e.join(src.select(F.col("id").alias("b"), "name"), "b").select(F.col("a").alias("id"), F.col("b").alias("stem"), "name", "strength")
     return sinks.source_notes(src, m, rel)
 
 
+def _source_edges(spark: SparkSession, d: str, k: int = 8, least: float = 0.55) -> DataFrame:
+    """(a, b, strength, rank): the most similar sources by their newest vectors of one model."""
+    v = table(spark, d, "source_embeddings")
+    v = v.join(F.broadcast(v.agg(F.max("model").alias("model"))), "model")  # one row
+    v = v.groupBy(F.col("node_id").alias("id")).agg(F.max_by("embedding_json", F.struct("updated_at", "embedding_json")).alias("t")).select("id", F.from_json("t", "array<double>").alias("v"))
+    v = v.where((F.size("v") == 128) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+    v = cut(v)
+    return graph.cosine_edges(v, v, k, least)
+
+
 def _concepts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Concept nodes (first name, kind and tier win) with their frequency, and all mentions."""
     n = _normalised(spark, d).dropDuplicates(["id"])
@@ -280,8 +341,9 @@ def _concepts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def concept_notes(spark: SparkSession, d: str) -> DataFrame:
     c, m = _concepts(spark, d)
     src = m.select(F.col("concept_id").alias("id"), F.col("source_id").alias("stem"), F.col("source_id").alias("title"), F.crc32("source_id").alias("pos")).distinct()
-    none = spark.createDataFrame([], "id string, stem string, name string, strength double")
-    return sinks.concept_notes(c, src, none)
+    e = _alike(c.select("id", "name"), 0.5).where("rank <= 10")
+    near = e.join(c.select(F.col("id").alias("b"), "stem", "name"), "b").select(F.col("a").alias("id"), "stem", "name", "strength")
+    return sinks.concept_notes(c, src, near)
 
 
 @query("map_pages")

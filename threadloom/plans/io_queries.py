@@ -54,11 +54,11 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return ingest.current(spark, f"{path}/state")
 
 
-@query("checkpoint_union", "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events WHERE event_id % 4 < 2 OR event_id % 4 = 3 GROUP BY 1")
+@query("checkpoint_union", "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
 def checkpoint_union(spark: SparkSession, d: str) -> DataFrame:
     """A collector's checkpoint: last value per key over what was kept and what came."""
-    e = table(spark, d, "events").select("user_id", "value", "event_id").where("event_id % 4 < 2 or event_id % 4 = 3")
-    old, new = e.where("event_id % 4 < 2"), e.where("event_id % 4 = 3")
+    e = table(spark, d, "events").select("user_id", "value", "event_id")
+    old, new = e.where("event_id % 4 < 2"), e.where("event_id % 4 >= 2")
     kept = [merge.latest(x, ["user_id"], [F.col("event_id")]) for x in (old, new)]
     return merge.latest(kept[0].unionByName(kept[1]), ["user_id"], [F.col("event_id")])
 
@@ -68,4 +68,4 @@ def source_embedding_edges(spark: SparkSession, d: str) -> DataFrame:
     """Concept texts embedded once each and joined to their most similar ones, batch against all."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Type: "), "p_type", F.lit("\nName: "), "p_name").alias("text"))
     e = embed.embed(p, embed.hashing_embedder(64)).withColumnRenamed("embedding", "v")
-    return graph.cosine_edges(e.where("id % 10 = 0"), e, 8, 0.55)
+    return graph.cosine_edges(e.where("id % 100 = 0"), e, 8, 0.55)

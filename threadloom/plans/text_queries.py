@@ -111,10 +111,21 @@ def meaningful_counts(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).where("url_source is not null").groupBy("url_source").agg(F.count_if(text.is_meaningful(F.col("t"), "x", 25)).alias("x_ok"), F.count_if(crawl_usable(F.col("t"))).alias("usable"))
 
 
-@query("gone_reasons", f"WITH {_ITEMS}, c AS (SELECT id, lower(t) AS t, CASE WHEN id < '4' THEN 404 ELSE 200 END AS status FROM i) SELECT id, CASE WHEN status >= 400 THEN 'http_404' WHEN contains(t, 'content unavailable') THEN 'content_unavailable' WHEN contains(t, 'page not found') THEN 'page_not_found' END AS reason FROM c WHERE status >= 400 OR contains(t, 'page not found')")
+def _gone(site: str) -> str:
+    """The first marker that a text holds, in the order of the list."""
+    cases = " ".join(f"WHEN contains(t, '{m.replace(chr(39), chr(39) * 2)}') THEN '{m.replace(' ', '_').replace(chr(39), chr(39) * 2)}'" for m in text.GONE_MARKERS[site])
+    return f"CASE WHEN status >= 400 THEN 'http_' || status {cases} END"
+
+
+_PLANTED = "('this post was deleted'), ('Page not found'), ('CONTENT UNAVAILABLE now'), ('not visible; page not found'), ('all is well')"
+
+
+@query("gone_reasons", f"WITH {_ITEMS}, p AS (SELECT * FROM (VALUES {_PLANTED}) v(x)), c AS (SELECT id, x, lower(t || ' ' || x) AS t, CASE WHEN id < '4' THEN 404 ELSE 200 END AS status FROM i, p) SELECT id, x, {_gone('linkedin')} AS linkedin, {_gone('x')} AS x_site FROM c")
 def gone_reasons(spark: SparkSession, d: str) -> DataFrame:
-    i = _items(spark, d).withColumn("status", F.when(F.col("id") < "4", 404).otherwise(200))
-    return i.select("id", "status", "t", text.gone_reason("linkedin", F.col("status"), F.col("t")).alias("reason")).where("status >= 400 or contains(lower(t), 'page not found')").select("id", "reason")
+    """Why a post is gone, for every text as it is and with a marker behind it."""
+    x = F.explode(F.array(*(F.lit(v) for v in ("this post was deleted", "Page not found", "CONTENT UNAVAILABLE now", "not visible; page not found", "all is well"))))
+    i = _items(spark, d).select("id", "t", F.when(F.col("id") < "4", 404).otherwise(200).alias("status"), x.alias("x")).withColumn("t", F.concat_ws(" ", "t", "x"))
+    return i.select("id", "x", text.gone_reason("linkedin", F.col("status"), F.col("t")).alias("linkedin"), text.gone_reason("x", F.col("status"), F.col("t")).alias("x_site"))
 
 
 @query("slugs", r"SELECT p_partkey, coalesce(nullif(trim(left(trim(regexp_replace(regexp_replace(array_to_string(list_slice(string_split(trim(regexp_replace(p_name, '\s+', ' ', 'g')), ' '), 1, 6), ' '), '[^\p{L}\p{N}_\s\-]', '', 'g'), '\s+', ' ', 'g')), 44)), ''), 'Untitled') AS short FROM part")

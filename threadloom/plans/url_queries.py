@@ -66,9 +66,9 @@ def url_kind_priority(spark: SparkSession, d: str) -> DataFrame:
     return k.withColumn("priority", url.kind_priority(F.col("kind")))
 
 
-@query("title_from_url", _URLS + f"SELECT id, v, {sql.title('u')} AS title FROM urls WHERE v <> 1 AND u NOT LIKE '%\\%%' ESCAPE '\\'")
+@query("title_from_url", _URLS + f"SELECT id, v, {sql.title('u')} AS title FROM urls ")
 def title_from_url(spark: SparkSession, d: str) -> DataFrame:
-    return _urls(spark, d).where("v <> 1 and not contains(u, '%')").select("id", "v", url.title(F.col("u")).alias("title"))
+    return _urls(spark, d).select("id", "v", url.title(F.col("u")).alias("title"))
 
 
 @query(
@@ -81,11 +81,11 @@ def title_from_url(spark: SparkSession, d: str) -> DataFrame:
  regexp_extract({sql.part('u', 3)}, '(?i)^/r/([^/]+)', 1) AS sub, regexp_extract(u, '/status(?:es)?/(\d+)', 1) AS status_id,
  lower(regexp_extract(u, '(?i)https?://(?:www\.)?(?:x\.com|twitter\.com)/([^/?#]+)/status(?:es)?/\d+', 1)) AS handle,
  len({sql.segments('u')}) >= 6 AND lower(coalesce({sql.segments('u')}[3], '')) = 'comments' AS permalink
- FROM urls WHERE v <> 1""",
+ FROM urls""",
 )
 def url_site_normalisers(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("u")
-    return _urls(spark, d).where("v <> 1").select("id", "v", url.reddit_thread(u).alias("thread"), url.x_status(u).alias("status_url"), url.subreddit(u).alias("sub"), url.status_id(u).alias("status_id"), url.handle(u).alias("handle"), url.is_comment_permalink(u).alias("permalink"))
+    return _urls(spark, d).select("id", "v", url.reddit_thread(u).alias("thread"), url.x_status(u).alias("status_url"), url.subreddit(u).alias("sub"), url.status_id(u).alias("status_id"), url.handle(u).alias("handle"), url.is_comment_permalink(u).alias("permalink"))
 
 
 @query(

@@ -156,13 +156,13 @@ def first_last_seen(spark: SparkSession, d: str) -> DataFrame:
     return merge.first_last_seen(e, ["user_id"], "day", [], [])
 
 
-_OLD_NEW = "old AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), new AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)"
+_OLD_NEW = "old AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE event_id % 3 < 2 GROUP BY 1, 2), new AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 3 >= 1 GROUP BY 1, 2)"
 
 
 def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events")
-    old = e.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
-    return old, e.where("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    old = e.where("event_id % 3 < 2").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    return old, e.where("event_id % 3 >= 1").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
 @query("upsert_latest", f"WITH {_OLD_NEW} SELECT user_id, event_type, coalesce(new.event_id, old.event_id) AS event_id FROM old FULL JOIN new USING (user_id, event_type)")
