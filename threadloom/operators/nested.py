@@ -28,12 +28,14 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 500
+#: guard against texts made to exhaust a worker; the steps of a path of this depth take about 100 MB
+MAX_DEPTH = 5_000
 KEY, ITEM = 0, 1
 
 
@@ -104,6 +106,7 @@ class Column:
 
 def shred(value) -> list[Column]:
     """The columns of one record."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * MAX_DEPTH))  # Python frames; they take no C stack
     root = Node()
     root.learn(value)
     columns: dict[tuple, Column] = {}

@@ -282,7 +282,7 @@ _NODES = f"""k AS (SELECT id, parsed FROM {OUT} WHERE parsed IS NOT NULL),
 
 
 @query("source_clusters", f"""WITH RECURSIVE {_NODES}, m AS (SELECT DISTINCT id AS set_id, name AS item FROM l), {_CLASSES}, e AS (SELECT a, b FROM j WHERE jaccard >= 0.3 - 1e-12 UNION SELECT b, a FROM j WHERE jaccard >= 0.3 - 1e-12),
- w(id, c) AS (SELECT DISTINCT set_id, set_id FROM m UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.id), p AS (SELECT id, min(c) AS component FROM w GROUP BY 1), z AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM p) SELECT id AS source_id, row_number() OVER (ORDER BY n DESC, component, id) AS pos FROM z""")
+ w(id, c) AS (SELECT DISTINCT set_id, set_id FROM m UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.id), q AS (SELECT id, min(c) AS component FROM w GROUP BY 1), z AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM q) SELECT id AS source_id, row_number() OVER (ORDER BY n DESC, component, id) AS pos FROM z""")
 def source_clusters(spark: SparkSession, d: str) -> DataFrame:
     """The order of the islands: clusters of sources by size, then by member."""
     k = table(spark, d, OUT).where("parsed is not null").select("id", "parsed")
