@@ -86,6 +86,12 @@ SLOT_FORMS = [
 ]
 _SLOT = re.compile("|".join(SLOT_FORMS))
 _HINT = re.compile(r"[{}<>$%\[\]|@_]|undefined|[Nn]ull|NULL|None|nan|NaN|nil|N/A")
+# the same, as plain searches, which are faster on a text without any
+_HINTS = (*"{}<>$%[]@_", "undefined", "null", "NULL", "None", "nan", "NaN", "nil", "N/A")
+_BARS = ("|", "·", ">", "»", "•", "  ", "\t")
+_DIGIT = re.compile(r"\d")
+_LETTER = re.compile(r"[^\W\d_]")
+_CLOSED = frozenset(".!?…:;,\"”’»)]")
 SLOT_AT = "\x00"
 
 
@@ -105,7 +111,7 @@ def spell(part: str, site: str = "", last: bool = False) -> str:
             head, _, tail = p.rpartition(" ")
             if len(tail) >= 3 and site.startswith(tail):
                 p = f"{head} *"
-    return _CODE.sub("#", p)
+    return _CODE.sub("#", p) if _DIGIT.search(p) else p
 
 
 def key(unit: str) -> int:
@@ -158,9 +164,16 @@ def tag_counts(text: str, n_lines: int) -> tuple[list[int], list[int]]:
     return [p.text.get(i + 1, 0) for i in range(n_lines)], [p.tags.get(i + 1, 0) for i in range(n_lines)]
 
 
+def hints(text: str) -> bool:
+    """Whether a text may hold a slot."""
+    return any(h in text for h in _HINTS)
+
+
 def slot_windows(text: str) -> list[str]:
     """Sentences and lines with an unfilled slot, the slots masked."""
-    out = []
+    out: list[str] = []
+    if not hints(text):
+        return out
     for line in text.split("\n"):
         if _HINT.search(line):
             masked = _SLOT.sub(SLOT_AT, line)
@@ -175,7 +188,8 @@ def read(text: str | None, title: str | None, url: str | None, titled: bool = Fa
     The windows with slots come last, as units of line -1.
     """
     no, marks, tags, words, at, chars, spelled = [], [], [], [], [], [], []
-    text = CUT_MARK.sub("", text or "")
+    head, nl, last = (text or "").rstrip().rpartition("\n")
+    text = head + nl + CUT_MARK.sub("", last)
     raw = text.split("\n")
     site = site_name(url)
     seen, found = tag_counts(text, len(raw))
@@ -190,13 +204,13 @@ def read(text: str | None, title: str | None, url: str | None, titled: bool = Fa
         if m and not (x := x[m.end() :]):
             continue
         n = len(no)
-        parts = [p for p in _SEP.split(x) if p]
-        w = _LETTERS.findall(x)
-        title_like = not m and len(parts) == 1 and len(w) >= 3 and not _END.search(x) and not _ITEM.match(x)
+        parts = [p for p in _SEP.split(x) if p] if any(b in x for b in _BARS) else [x]
+        open_ = not m and len(parts) == 1 and not (x[-1] in _CLOSED and _END.search(x)) and not _ITEM.match(x)
+        title_like = open_ and len(_LETTERS.findall(x)) >= 3
         no.append(i + 1)
         marks.append((MARKED if m else 0) | (TITLE_LIKE if title_like else 0))
         tags.append(found[i])
-        words.append(len(w))
+        words.append(len(x.split()) if _LETTER.search(x) else 0)
         for j, p in enumerate(parts):
             at.append(n)
             chars.append(len(p) if not found[i] else seen[i] // len(parts))
@@ -211,7 +225,8 @@ def read(text: str | None, title: str | None, url: str | None, titled: bool = Fa
 # ---- features ---------------------------------------------------------------
 
 _LISTS = {"no": pa.int32(), "marks": pa.int32(), "tags": pa.int32(), "words": pa.int32(), "u": pa.int64(), "at": pa.int32(), "chars": pa.int32(), "spelled": pa.string()}
-_FEATURES = "rid long, table_name string, record_id string, title string, th long, witness long, no array<int>, marks array<int>, tags array<int>, words array<int>, u array<long>, at array<int>, chars array<int>, spelled array<string>"
+# a row with a null rid holds a word (as title) and in how many texts of a partition it stands (as witness)
+_FEATURES = "rid long, table_name string, record_id string, title string, witness long, no array<int>, marks array<int>, tags array<int>, words array<int>, u array<long>, at array<int>, chars array<int>, spelled array<string>"
 
 _HEAD = re.compile(r"(?:(?:URL|TITLE):[^\n]*(?:\n\s*|$)|CONTENT:[ \t]*\n?)+")
 _TITLES = re.compile(r"^TITLE:[ \t]*(.*)$", re.M)
@@ -226,27 +241,38 @@ def prompt_parts(content: str) -> tuple[str, str]:
     return ("" if title == "(no title)" else title), body
 
 
-def _emit(rows, first: int):
+def _emit(rows):
     cols = list(zip(*rows)) if rows else [[]] * 13
-    arrays = [pa.array(range(first, first + len(rows)), pa.int64()), *(pa.array(c, t) for c, t in zip(cols[:5], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())))]
+    arrays = [pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))]
     arrays += [pa.array(c, pa.list_(t)) for c, t in zip(cols[5:], _LISTS.values())]
-    return pa.RecordBatch.from_arrays(arrays, names=["rid", "table_name", "record_id", "title", "th", "witness", *_LISTS])
+    return pa.RecordBatch.from_arrays(arrays, names=["rid", "table_name", "record_id", "title", "witness", *_LISTS])
 
 
 def _reader(name: str, texts):
     """texts(row) -> (title, url, text, whether the title counts as text) of each text of a row."""
 
+    def counted(words: Counter):
+        rows = [(None, None, None, w, n, *[None] * 8) for w, n in words.items()]
+        words.clear()
+        return _emit(rows)
+
     def run(batches):
         n = TaskContext.get().partitionId() << 36
+        words: Counter = Counter()
         for b in batches:
             rows = []
             for i, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 for title, url, text, titled in texts(*rest):
                     if text and text.strip() or titled and title:
-                        body, head = (text or "").strip(), (title or "").strip().casefold()
-                        rows.append((name, i, spell(title or "", site_name(url)), key(f"{head}\n{body}"), key(head or body), *read(text, title, url, titled)))
-            yield _emit(rows, n)
-            n += len(rows)
+                        got = read(text, title, url, titled)
+                        words.update(set(_LETTERS.findall(" ".join(got[-1]))))
+                        head = (title or "").strip().casefold()
+                        rows.append((n, name, i, spell(title or "", site_name(url)), key(head or (text or "").strip()), *got))
+                        n += 1
+            yield _emit(rows)
+            if len(words) > 200_000:
+                yield counted(words)
+        yield counted(words)
 
     return run
 
@@ -309,51 +335,50 @@ def _lines_of(units_at, hit, n):
     return [a and b for a, b in zip(out, any_)]
 
 
-_STATS = "what int, u long, spelled string, word string, n long, beside long, before long, bare long"
+_STATS = "u long, n long, beside long, before long, bare long, slot long"
 
 
 def _stats(batches):
-    """Per recurring unit its occurrences and contexts, per word its texts; pre-added within a partition."""
-    words: Counter = Counter()
+    """Per recurring unit its occurrences and their contexts; pre-added within a partition."""
     units: dict[int, list] = {}
 
     def drain():
-        rows = [(0, u, v[0], None, *v[1:]) for u, v in units.items()] + [(1, None, None, w, n, None, None, None) for w, n in words.items()]
+        cols = list(zip(*((u, *v) for u, v in units.items()))) if units else [[]] * 6
         units.clear()
-        words.clear()
-        cols = list(zip(*rows)) if rows else [[]] * 8
-        types = [pa.int32(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["what", "u", "spelled", "word", "n", "beside", "before", "bare"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "n", "beside", "before", "bare", "slot"])
 
     for b in batches:
-        for marks, u, at, chars, spelled, ks in zip(*(b.column(c).to_pylist() for c in ("marks", "u", "at", "chars", "spelled", "ks"))):
-            words.update({w for x, line in zip(spelled, at) if line >= 0 for w in _LETTERS.findall(x)})
-            if not ks:
-                continue
+        for marks, u, at, ks in zip(*(b.column(c).to_pylist() for c in ("marks", "u", "at", "ks"))):
             hit = [False] * len(u)
             for k in ks:
                 hit[k] = True
             n = len(marks)
             recurs = [r and not m & MARKED for r, m in zip(_lines_of(at, hit, n), marks)]
             context = _context(marks, recurs)
-            own = set(range(n)) - {j for j in range(n) if recurs[j]}
+            held = list(recurs)  # lines that recur, and titles that follow them
             for j in range(n):
                 if recurs[j]:
-                    own -= set(range(j + 1, j + 1 + context[j][1]))
+                    for i in range(j + 1, j + 1 + context[j][1]):
+                        held[i] = True
+            bare = all(held)
             done = set()
             for k in ks:
                 if u[k] in done:
                     continue
                 done.add(u[k])
                 line = at[k]
-                v = units.setdefault(u[k], [spelled[k], 0, 0, 0, 0])
-                v[1] += 1
-                if line >= 0 and recurs[line]:
+                v = units.get(u[k])
+                if v is None:
+                    v = units[u[k]] = [0, 0, 0, 0, 0]
+                v[0] += 1
+                if line < 0:
+                    v[4] += 1
+                elif recurs[line]:
                     beside, run = context[line]
-                    v[2] += beside
-                    v[3] += run > 0
-                    v[4] += not own
-        if len(words) + len(units) > 200_000:
+                    v[1] += beside
+                    v[2] += run > 0
+                    v[3] += bare
+        if len(units) > 200_000:
             yield drain()
     yield drain()
 
@@ -362,47 +387,48 @@ class Corpus:
     """The features of all texts and what recurs in them."""
 
     def __init__(self, items: DataFrame, prompts: DataFrame | None = None):
-        f = self.features = features(items, prompts)
-        firsts = f.groupBy("th").agg(F.min("rid").alias("rid")).select("rid")
-        once = f.join(firsts, "rid", "left_semi")
-        once = self.once = cut(once)
+        read_ = features(items, prompts)
+        f = self.features = read_.where("rid is not null")
         # what recurs: units with at least LEAST witnesses
-        df = once.select("witness", F.explode(F.array_distinct("u")).alias("u")).distinct().groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+        df = f.select("witness", F.explode(F.array_distinct("u")).alias("u")).distinct().groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
         recurring = cut(df)
-        self.texts, total = once.agg(F.count("*"), F.coalesce(F.sum(F.size("u")), F.lit(0))).first()
+        self.texts, total = f.agg(F.count("*"), F.coalesce(F.sum(F.size("u")), F.lit(0))).first()
         spots = f.select("rid", F.posexplode("u").alias("k", "u"))
         seen = joined(spots, recurring, total).groupBy("rid").agg(F.collect_list(F.struct("k", "u")).alias("hits"))
         seen = self.seen = cut(seen)
-        stats = once.join(seen, "rid", "left").select("marks", "u", "at", "chars", "spelled", F.col("hits.k").alias("ks")).mapInArrow(_stats, _STATS)
-        stats = cut(stats)
-        units = stats.where("what = 0").groupBy("u").agg(F.first("spelled").alias("spelled"), *(F.sum(c).alias(c) for c in ("n", "beside", "before", "bare")))
-        words = stats.where("what = 1").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(float(LEAST), COMMON * self.texts))
+        stats = f.select("rid", "marks", "u", "at").join(seen.select("rid", F.col("hits.k").alias("ks")), "rid").drop("rid").mapInArrow(_stats, _STATS)
+        units = stats.groupBy("u").agg(*(F.sum(c).alias(c) for c in ("n", "beside", "before", "bare", "slot")))
+        words = read_.where("rid is null").groupBy(F.col("title").alias("word")).agg(F.sum("witness").alias("n")).where(F.col("n") >= max(float(LEAST), COMMON * self.texts))
         #: word -> share of the texts it stands in; at most (distinct words of a text) / COMMON of them
         self.common = {r["word"]: r["n"] / max(1, self.texts) for r in words.collect()}
         has = lambda c, share: F.col(c) >= share * F.col("n")
-        slot = F.instr("spelled", SLOT_AT) > 0
+        slot = F.col("slot") > 0
         lead = ~slot & has("before", BEFORE)
         residue = ~slot & ~lead & has("bare", BARE)
         furniture = ~slot & (has("beside", BESIDE) | lead)
         bit = lambda c, b: F.when(c, F.lit(b)).otherwise(F.lit(0))
         flag = F.lit(RECURS) + bit(furniture, FURNITURE) + bit(lead, LEAD) + bit(residue, RESIDUE) + bit(slot, SLOT)
-        self.units = cut(units.withColumn("flag", flag))
+        self.units = cut(units.select("u", "n", flag.alias("flag")))
+        # the spelling of those that are furniture or residue
+        named = self.units.where(F.col("flag").bitwiseAND(FURNITURE | RESIDUE) > 0)
+        pieces = f.select(F.explode(F.arrays_zip("u", "spelled")).alias("x")).select("x.u", "x.spelled")
+        self.named = cut(joined(pieces, named, total).groupBy("u").agg(F.first("spelled").alias("spelled")).join(named, "u"))
         self.total = total
 
     def exemplars(self, most: int = 5_000) -> list[tuple[str, int]]:
         """(spelling, texts) of recurring residue; those in at least 1/most of its occurrences, so at most ``most``."""
-        r = self.units.where(F.col("flag").bitwiseAND(RESIDUE) > 0)
+        r = self.named.where(F.col("flag").bitwiseAND(RESIDUE) > 0)
         n = r.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         return [(x["spelled"], x["n"]) for x in r.where(F.col("n") * most >= n).select("spelled", "n").collect()]
 
     def flagged(self) -> DataFrame:
-        """The features of all texts with ``flags``: (k, flag) of the units that recur or begin one that is furniture."""
+        """The features of all texts with ``ks`` and ``fs``: numbers and flags of the units that recur or begin one that is furniture."""
         spots = self.seen.select("rid", F.explode("hits").alias("h")).select("rid", F.col("h.k").alias("k"), F.col("h.u").alias("u"))
         flags = joined(spots, self.units.select("u", "n", "flag"), self.total).select("rid", "k", "flag")
         # the last unit of a text that was cut: the beginning of a unit of furniture
-        begins = self.units.where(F.col("flag").bitwiseAND(FURNITURE) > 0).where("length(spelled) > 3")
+        begins = self.named.where(F.col("flag").bitwiseAND(FURNITURE) > 0).where("length(spelled) > 3")
         begins = begins.select(F.explode(F.expr("transform(sequence(3, length(spelled) - 1), i -> xxhash64(substring(spelled, 1, i)))")).alias("u")).distinct()
         lasts = self.features.select("rid", F.expr("size(filter(at, x -> x >= 0))").alias("n"), "u").where("n > 0").select("rid", (F.col("n") - 1).alias("k"), F.get("u", F.col("n") - 1).alias("u"))
         lasts = lasts.join(self.units.select("u"), "u", "left_anti").join(begins, "u").select("rid", "k", F.lit(FURNITURE | BEGUN).alias("flag"))
-        v = flags.unionByName(lasts).groupBy("rid").agg(F.collect_list(F.struct("k", "flag")).alias("flags"))
-        return self.features.join(v, "rid", "left")
+        v = flags.unionByName(lasts).groupBy("rid").agg(F.collect_list(F.struct("k", "flag")).alias("x")).select("rid", F.col("x.k").alias("ks"), F.col("x.flag").alias("fs"))
+        return self.features.drop("u", "witness").join(v, "rid", "left")

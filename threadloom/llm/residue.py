@@ -90,6 +90,7 @@ class ExemplarIndex:
                 for w in ws - {"#", "*"}:
                     self.post.setdefault(w, []).append(len(self.items))
                 self.items.append((label, ws, sum(self.weight(w) for w in ws if w != "*")))
+        self.heaviest = max((x[2] for x in self.items), default=0.0)
 
     def weight(self, word: str) -> float:
         got = self.idf.get(word)
@@ -109,22 +110,26 @@ class ExemplarIndex:
         return got
 
     def _match(self, window: str) -> str | None:
-        ws = frozenset(words_of(window))
-        total = sum(map(self.weight, ws))
+        ws = set(words_of(window))
+        weights = {w: self.idf.get(w) or self.weight(w) for w in ws}
+        total = sum(weights.values())
+        # what an exemplar holds is at most its weight; one name may stand for a star
+        if (total - self.most) * CONTAINED > self.heaviest:
+            return None
         # to be contained, one of the heavy words beyond the free share must be the exemplar's
         near: set[int] = set()
-        passed = 0.0
-        for w in sorted(ws, key=lambda w: (-self.weight(w), w)):
-            if passed > (1 - CONTAINED) * total + self.most:  # one name may stand for a star
+        passed, free = 0.0, (1 - CONTAINED) * total + self.most
+        for weight, w in sorted(((weights[w], w) for w in ws), reverse=True):
+            if passed > free:
                 break
-            passed += self.weight(w)
+            passed += weight
             near.update(self.post.get(w, ()))
         best, label = 0.0, None
         for i in sorted(near):
             lab, ex, weight = self.items[i]
-            both = sum(map(self.weight, ws & ex))
-            free = self.most if "*" in ex else 0.0
-            s = min(both / max(1e-9, total - free), both / max(1e-9, weight), 1.0)
+            both = sum(weights[w] for w in ws & ex)
+            star = self.most if "*" in ex else 0.0
+            s = min(both / max(1e-9, total - star), both / max(1e-9, weight), 1.0)
             if s > best:
                 best, label = s, lab
         return label if best >= CONTAINED else None
@@ -148,7 +153,7 @@ def words_of(line: str) -> list[str]:
     return _WORD.findall(line)
 
 
-def judge(index: ExemplarIndex, title, marks, tags, words, at, chars, spelled, flags, known: dict | None = None):
+def judge(index: ExemplarIndex, title, marks, tags, words, at, chars, spelled, flags):
     """(label, share of text of each line) of one record; flags: {unit number: flag}.
 
     The share is what is left of a line without tags, furniture and links.
@@ -182,53 +187,67 @@ def judge(index: ExemplarIndex, title, marks, tags, words, at, chars, spelled, f
         text.append(own / max(1, whole + TAG * tags[j]))
     if any(f & SLOT for f in flags.values()) or any(line < 0 and index.slot(spelled[k]) for k, line in enumerate(at)):
         return "slot", text
-    covered = total = sentences = 0
-    opens = None
+    return _covered(index, [(words[j], lines[j]) for j in range(n) if words[j] and not (link[j] or heads[j] or all(furniture[k] and not residue[k] for k in lines[j]))], spelled, residue), text
+
+
+def _label(index: ExemplarIndex, ks: list[int], s: str, spelled, residue) -> str | None:
+    """The label of one line if it is residue as a whole."""
+    label = index.match(s)
+    if label is None and all(residue[k] for k in ks):
+        return "notice"
+    if label is None:
+        for p in filter(None, _SENT.split(s)):
+            got = index.match(p)
+            if got is None:
+                label = None
+                break
+            label = label or got
+    if label is None and len(ks) > 1:
+        label = next(filter(None, (index.match(spelled[k]) for k in ks)), None)
+    if label is None and index.filler(words_of(s)):
+        return "filler"
+    return label
+
+
+def _covered(index: ExemplarIndex, windows: list[tuple[int, list[int]]], spelled, residue) -> str | None:
+    """The label of a text whose windows are residue for the most part, or all but one stray sentence after the first.
+
+    The longest window is judged first: once what is left uncovered rules out both, the rest need not be.
+    """
+    total = sum(n for n, _ in windows)
+    got: dict[int, str | None] = {}
+    uncovered = sentences = 0
     votes: dict[str, int] = {}
-    for j in range(n):
-        ks = lines[j]
-        if link[j] or heads[j] or all(furniture[k] and not residue[k] for k in ks) or not words[j]:
-            continue
+    for j in sorted(range(len(windows)), key=lambda j: (-windows[j][0], j)):
+        n, ks = windows[j]
         s = " ".join(spelled[k] for k in ks)
-        label = index.match(s)
-        if label is None:
-            parts = _SENT.split(s)
-            labels = [index.match(p) for p in parts if p] if len(parts) > 1 else [None]
-            if all(labels):
-                label = labels[0]
-            elif all(residue[k] for k in ks):
-                label = "notice"
-            elif len(ks) > 1:
-                label = next(filter(None, (index.match(spelled[k]) for k in ks)), None)
-            if label is None and index.filler(words_of(s)):
-                label = "filler"
-        total += words[j]
-        if opens is None:
-            opens = label is not None
+        label = got[j] = _label(index, ks, s, spelled, residue)
         if label is None:
+            uncovered += n
             sentences += len(_SENT.split(s))
+            if uncovered > (1 - COVERED) * total and (sentences > 1 or j == 0):
+                return None
         else:
-            covered += words[j]
-            votes[label] = votes.get(label, 0) + words[j]
-    if total and votes and (covered >= COVERED * total or (opens and sentences == 1)):
-        return max(sorted(votes), key=votes.get), text
-    return None, text
+            votes[label] = votes.get(label, 0) + n
+    if votes and (total - uncovered >= COVERED * total or (got[0] is not None and sentences == 1)):
+        return max(sorted(votes), key=votes.get)
+    return None
 
 
 #: characters that a tag counts as
 TAG = 20
 
 
-def _judge_all(index: ExemplarIndex):
-    names = ("title", "marks", "tags", "words", "at", "chars", "spelled", "flags")
+def _judge_all(index: ExemplarIndex, finish):
+    names = ("title", "marks", "tags", "words", "at", "chars", "spelled", "ks", "fs")
 
     def run(batches):
         for b in batches:
             labels, texts = [], []
-            for *row, flags in zip(*(b.column(c).to_pylist() for c in names)):
-                label, text = judge(index, *row, {f["k"]: f["flag"] for f in flags or ()})
+            for *row, ks, fs in zip(*(b.column(c).to_pylist() for c in names)):
+                label, text = judge(index, *row, dict(zip(ks, fs)) if ks else {})
                 labels.append(label)
-                texts.append(text)
+                texts.append(finish(text))
             yield pa.RecordBatch.from_arrays(
                 [b.column("table_name"), b.column("record_id"), b.column("no"), pa.array(texts, pa.list_(pa.float32())), pa.array(labels, pa.string())], names=["table_name", "record_id", "no", "text", "label"]
             )
@@ -236,13 +255,13 @@ def _judge_all(index: ExemplarIndex):
     return run
 
 
-def labelled(corpus: Corpus, seeds: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(table_name, record_id, no, text, label): the lines of each text with their share of text, and its label if it is residue."""
+def labelled(corpus: Corpus, seeds: list[tuple[str, str]] | None = None, finish=list) -> DataFrame:
+    """(table_name, record_id, no, text, label): the lines of each text with their share of text (after ``finish``), and its label if it is residue."""
     seeds = [(label, spell(x)) for label, x in (SEEDS if seeds is None else seeds)]
     near = ExemplarIndex(seeds, corpus.common)
     found = sorted(corpus.exemplars())
     index = ExemplarIndex(seeds + [(near.match(x) or "notice", x) for x, _ in found], corpus.common)
-    return corpus.flagged().mapInArrow(_judge_all(index), "table_name string, record_id string, no array<int>, text array<float>, label string")
+    return corpus.flagged().mapInArrow(_judge_all(index, finish), "table_name string, record_id string, no array<int>, text array<float>, label string")
 
 
 def residue(items: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.recurrence import _HINT, _ITEM, _SEP, _SLOT, HOT, LEAST, MARK, SLOT_AT, key, prompt_parts, site_name, spell
+from threadloom.llm.recurrence import _BARS, _ITEM, _SEP, _SLOT, HOT, LEAST, MARK, SLOT_AT, hints, key, prompt_parts, site_name, spell
 from threadloom.session import cut
 
 LIMITS = 5_000
@@ -72,7 +72,7 @@ def line_end(line: str, site: str = "") -> tuple[str, str | None, str | None, bo
     The form is "done", or for open ends a kind (dots, link, sign, word), whether
     finished sentences are before it, whether it is a list item, and its words.
     """
-    if _HINT.search(line):
+    if hints(line):
         line = _SLOT.sub(SLOT_AT, line)
     if m := MARK.match(line):
         line = line[m.end() :]
@@ -81,7 +81,7 @@ def line_end(line: str, site: str = "") -> tuple[str, str | None, str | None, bo
     dots = _ELLIPSIS.search(line)
     if not dots and _DONE.search(line):
         return "done", None, None, False
-    parts = _SEP.split(line)
+    parts = _SEP.split(line) if any(b in line for b in _BARS) else [line]
     fragment = _SENTENCE.split(parts[-1])[-1]
     goes_on = fragment != line
     bare = _ELLIPSIS.sub("", fragment)
