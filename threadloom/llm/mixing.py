@@ -31,7 +31,8 @@ from threadloom.llm.tokens import DEFAULT_RANKS, with_tokens
 from threadloom.session import cut
 
 MAX_SOURCES = 10_000
-BUCKETS = 4_096
+#: buckets per factor e of the key: whatever the weights of a source, a bucket holds at most 1 / (e * PER_E) of its documents (0.04 %)
+PER_E = 1_024
 
 
 def _name(c: str):
@@ -74,8 +75,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
         have = goal.get(r["s"], (0.0, 0))
         goal[r["s"]] = (have[0] + r["t"], max(have[1], r["r"]))
     k = cut(keyed(docs, seed, ranks).where(F.col("source").isin(sorted(goal))))
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")
-    k = k.withColumn("bucket", bucket)
+    k = k.withColumn("bucket", F.floor(F.log("key") * PER_E).cast("int"))
     sums = {r["source"]: r["n"] for r in k.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # at most MAX_SOURCES rows
     plan = [(s, b // sums[s], b % sums[s]) for s, b in sorted(budgets(sums, goal, total).items())]
     plan = spark.createDataFrame(plan, "source string, epochs long, rest long")

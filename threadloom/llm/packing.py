@@ -2,7 +2,8 @@
 
 Harmonic packing. A document of n tokens is of class j if j of them, with the
 separators between, fit into a container and j + 1 do not; a container of class
-j gets exactly j documents of its class. Every worker fills the containers of
+j is filled with j documents of its class, and only then topped up from smaller
+classes (best fit, which the plain method leaves out). Every worker fills the containers of
 its own scan partition, so no document is shuffled. What a container of large
 documents leaves over is topped up with the largest documents of smaller
 classes that fit, and the documents left of incomplete classes share the
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.tokens import DEFAULT_RANKS, count_tokens
+from threadloom.llm.tokens import DEFAULT_RANKS, count_tokens, shipped
 
 MAX_CAPACITIES = 1_000
 #: documents a worker packs at a time
@@ -91,6 +92,7 @@ def packed(docs: DataFrame, capacities: DataFrame, ranks: str = DEFAULT_RANKS) -
     caps = [(r["pack_name"], int(r["c"]), int(r["s"])) for r in caps if r["c"] is not None]
     if any(c < 1 or s < 0 for _, c, s in caps):
         raise ValueError("a capacity must hold a token, and a separator can't be negative")
+    content = shipped(docs, ranks)
 
     def run(batches):
         worker = TaskContext.get().partitionId()
@@ -107,7 +109,7 @@ def packed(docs: DataFrame, capacities: DataFrame, ranks: str = DEFAULT_RANKS) -
                 yield pd.DataFrame(rows, columns=["pack_name", "worker", "container", "slot", "doc_id", "piece", "token_start", "tokens"])
 
         for pdf in batches:
-            held.extend((d, n) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if (n := count_tokens(t, ranks)))
+            held.extend((d, n) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if (n := count_tokens(t, ranks, content.value)))
             if len(held) >= CHUNK:
                 yield from close()
                 held.clear()
