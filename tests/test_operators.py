@@ -348,3 +348,114 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(ingest.current(spark, str(tmp_path / "state"))) == want == [(1, 5, "c"), (2, 2, "b"), (3, 4, "d")]
     ingest.upsert_files(spark, str(tmp_path / "in" / "*"), schema, ["k"], "seq", str(tmp_path / "state"), str(tmp_path / "cp"))
     assert rows(ingest.current(spark, str(tmp_path / "state"))) == want
+
+
+def test_a_batch_that_fails_half_way_leaves_the_state(spark, tmp_path, monkeypatch):
+    from threadloom.streaming import ingest
+
+    schema = "k int, seq int, v string"
+    run = lambda: ingest.upsert_files(spark, str(tmp_path / "in" / "*"), schema, ["k"], "seq", str(tmp_path / "state"), str(tmp_path / "cp"), parts=4)
+    spark.createDataFrame([(i, 1, "a") for i in range(20)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "p0"))
+    assert ingest.current(spark, str(tmp_path / "state")) is None
+    run()
+    before = rows(ingest.current(spark, str(tmp_path / "state")))
+    spark.createDataFrame([(3, 2, "b"), (50, 1, "c")], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "p1"))
+    publish = ingest.publish_text
+
+    def broken(*_):
+        raise OSError("lost while publishing")
+
+    monkeypatch.setattr(ingest, "publish_text", broken)
+    with pytest.raises(Exception, match="lost while publishing"):
+        run()
+    assert rows(ingest.current(spark, str(tmp_path / "state"))) == before
+    monkeypatch.setattr(ingest, "publish_text", publish)
+    run()
+    after = rows(ingest.current(spark, str(tmp_path / "state")))
+    assert after == sorted([(3, 2, "b"), (50, 1, "c")] + [r for r in before if r[0] != 3], key=repr)
+    folders = set(ingest.manifest(spark, str(tmp_path / "state")).values())
+    assert len(folders) == 2  # untouched parts stay where they were
+
+
+def test_a_state_that_cannot_be_read_is_an_error(spark, tmp_path):
+    from threadloom.streaming import ingest
+
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "manifest-00000001.json").write_text(json.dumps({"0": str(tmp_path / "gone")}))
+    with pytest.raises(Exception, match="gone"):
+        ingest.current(spark, str(tmp_path / "state")).count()
+
+
+def test_mirror(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    new = spark.createDataFrame([("b", 2), ("c", 3), ("c", 3), ("a", 9)], "id string, v int")
+    state, counts = merge.mirror(old, new, ["id"])
+    assert rows(state) == [("a", 9), ("b", 2), ("c", 3)]
+    assert counts.first().asDict() == {"received": 4, "inserted": 1, "updated": 1, "unchanged": 1, "after": 3}
+    assert merge.mirror(old.limit(0), new.limit(0), ["id"])[1].first()["received"] == 0
+
+
+def test_running_over_a_heavy_first_column(spark):
+    from threadloom.operators import selection
+
+    df = spark.createDataFrame([(0, i, 2) for i in range(300)], "p int, i int, c int")
+    got = selection.running(df, "c", [F.col("p"), F.col("i")]).orderBy("i").collect()
+    assert [r["running"] for r in got] == [2 * (i + 1) for i in range(300)]
+    assert [r["rank"] for r in selection.ranked(df, [F.desc("i")]).orderBy("i").collect()] == list(range(300, 0, -1))
+    assert selection.ranked(df.limit(0), [F.col("i")]).count() == 0
+
+
+def test_choices(spark):
+    from threadloom.operators import selection
+
+    assert [selection.row_limit(x) for x in (None, "", " 7 ", "0", "-3", "x")] == [None, None, 7, None, None, None]
+    df = spark.createDataFrame([("Nice",), ("other",), ("",), (None,)], "s string")
+    pick = lambda names, mode: [r[0] for r in df.select(selection.by_subreddit(F.col("s"), names, mode)).collect()]
+    assert pick([], "include") == [True] * 4 and pick(["r/nice"], "include") == [True, False, False, False] and pick(["nice"], "exclude") == [False, True, True, True]
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    nodes = spark.range(n).withColumnRenamed("id", "id")
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert graph.components(nodes, edges).select("component").distinct().count() == 1
+
+
+def test_jaccard_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    sets = {i: {r.randint(0, 60) for _ in range(r.randint(1, 25))} for i in range(60)} | {100: {1, 2, 3}, 101: {1, 2, 3}, 102: {1}}
+    m = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s] + [(None, 1), (1, None)], "set_id int, item int")
+    for least in (0.1, 0.3, 0.7):
+        got = {(x["a"], x["b"]) for x in graph.jaccard(m, least).collect()}
+        same: dict = {}
+        for i in sorted(sets):
+            same.setdefault(frozenset(sets[i]), []).append(i)
+        reps = [v[0] for v in same.values()]
+        want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-12}
+        want |= {(v[0], x) for v in same.values() for x in v[1:]}
+        assert got == want
+
+
+def test_checkpoint_folder_is_never_silently_local():
+    from types import SimpleNamespace
+
+    from threadloom import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    conf = SimpleNamespace(get=lambda *_: None)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_a_broken_run_is_marked(spark, tmp_path):
+    path = str(tmp_path / "run")
+    with pytest.raises(KeyboardInterrupt), sinks.run_output(spark, path) as p:
+        sinks.write_lines(spark.createDataFrame([("a",)], "value string"), p)
+        raise KeyboardInterrupt
+    assert not (tmp_path / "run").exists() and spark.read.text(f"{path}_incomplete").count() == 1
+    with sinks.run_output(spark, path) as p:
+        sinks.write_lines(spark.createDataFrame([("b",)], "value string"), p)
+    assert spark.read.text(path).first()[0] == "b"

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions import ids
 from threadloom.operators import embed, graph, merge
+from threadloom.plans.graph_queries import _MENTIONS, _normalised
 from threadloom.plans.registry import query
 from threadloom.session import checkpoint_dir, table
 from threadloom.sources import readers, sinks
@@ -69,3 +71,19 @@ def source_embedding_edges(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Type: "), "p_type", F.lit("\nName: "), "p_name").alias("text"))
     e = embed.embed(p, embed.hashing_embedder(64)).withColumnRenamed("embedding", "v")
     return graph.cosine_edges(e.where("id % 100 = 0"), e, 8, 0.55)
+
+
+@query("html_rows", "SELECT DISTINCT id, '<tr><td>' || replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') || '</td><td>' || replace(replace(replace(replace(coalesce(canonical_url, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') || '</td></tr>' AS html FROM saved_items")
+def html_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Saved items as rows of an HTML table."""
+    return table(spark, d, "saved_items").select("id", sinks.html_row([F.col("title"), F.col("canonical_url")]).alias("html")).distinct()
+
+
+@query("normalised_jsonl", f"WITH {_MENTIONS} SELECT o.id, count(c.concept_id) AS concepts FROM (SELECT DISTINCT id FROM o) o LEFT JOIN c ON c.id = o.id AND c.concept_id IS NOT NULL GROUP BY 1")
+def normalised_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised outputs written as JSONL and read again."""
+    n = _normalised(spark, d).dropDuplicates(["id"])
+    with sinks.run_output(spark, _folder(spark, "normalised")) as path:
+        sinks.write_normalised(n, path)
+    back = spark.read.schema(n.schema).json(path)
+    return back.select("id", F.size(F.filter("concepts", lambda c: ids.concept_id(c["type"], c["name"]).isNotNull())).cast("long").alias("concepts"))

@@ -84,6 +84,15 @@ def file_names(spark: SparkSession, folder: str) -> list[str]:
     return [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or folder; what stood under the new name is replaced."""
+    p, q = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(q, True)
+    if not fs.rename(p, q):
+        raise OSError(f"cannot rename {path}")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

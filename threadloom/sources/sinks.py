@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.cogmap import bullets
 from threadloom.functions.text import yaml_quote
+from threadloom.session import exists, rename
 
 # The mark below which a note is rewritten; note and board texts.
 AUTO_MARK = "\n<!-- AUTO-GENERATED BELOW -->\n"
@@ -30,6 +33,33 @@ def write_twins(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").csv(f"{path}.csv", header=True, quoteAll=True, escape='"')
 
 
+def write_normalised(df: DataFrame, path: str) -> None:
+    """Normalised outputs, one JSON object a line."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+@contextmanager
+def run_output(spark: SparkSession, path: str):
+    """The folder of a run's output; if the run is broken off it is renamed to ``path_incomplete``, so it never passes for a whole one."""
+    try:
+        yield path
+    except BaseException:
+        if exists(spark, path):
+            rename(spark, path, f"{path}_incomplete")
+        raise
+
+
+def html_row(columns: list[Column]) -> Column:
+    """A table row; text is escaped, null is an empty cell."""
+    out = [F.lit("<tr>")]
+    for c in columns:
+        cell = F.coalesce(c.cast("string"), F.lit(""))
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            cell = F.replace(cell, F.lit(a), F.lit(b))
+        out += [F.lit("<td>"), cell, F.lit("</td>")]
+    return F.concat(*out, F.lit("</tr>"))
+
+
 def csv_line(columns: list[Column]) -> Column:
     """A CSV line with doubled quotes; null as an empty quoted cell, booleans bare."""
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
