@@ -189,7 +189,7 @@ def read(text: str | None, title: str | None, url: str | None, titled: bool = Fa
     """
     no, marks, tags, words, at, chars, spelled = [], [], [], [], [], [], []
     head, nl, last = (text or "").rstrip().rpartition("\n")
-    text = head + nl + CUT_MARK.sub("", last)
+    text = head + nl + (CUT_MARK.sub("", last) if last.endswith(("]", ">", ")", "…", "...")) else last)
     raw = text.split("\n")
     site = site_name(url)
     seen, found = tag_counts(text, len(raw))
