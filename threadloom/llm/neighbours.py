@@ -2,21 +2,21 @@
 
 Balanced posting lists. Centroids are fitted on a bounded sample (``SAMPLE``
 rows a model); their number follows the number of vectors, so lists keep their
-size, up to ``MAX_LISTS``. Every vector finds its nearest centroids in an
-in-memory graph of centroids (beam search) and is stored in each list whose
-distance is within a ratio of the least, up to ``COPIES``: boundary vectors are
-in several lists. The ratio alone selects the lists a vector searches; where it
-goes on beyond the beam, as in a dense cluster, all centroids are scanned.
+size, up to one list per row of the sample. Every vector finds its nearest
+centroids in an in-memory graph of centroids (a beam that starts from an entry
+layer of up to ``ENTRIES``) and is stored in each list whose distance is within a
+ratio of the least, up to ``COPIES``: boundary vectors are in several lists. The
+ratio alone selects the lists a vector searches; where it goes on beyond the
+beam, as in a dense cluster, all centroids are scanned.
 
 Neighbouring lists are one region, so a vector travels once to a region and not
 to each of its lists; inside, all that is stored meets all that searches there
 by block products, and the best of all regions are merged. A region of many rows
 is cut into query parts and data blocks of 8 x ``LIST_CAP`` rows and every part
-meets every block, so no task holds an unbounded list. Where the ratio selects
-most lists, the work grows with the square of the vectors. Equal vectors are one
+meets every block, so no task holds an unbounded list. Equal vectors are one
 point with members: a group of copies costs one row per region.
 
-Broadcast: the centroids only, at most MAX_LISTS x 128 floats (2 MB) a model.
+Broadcast: the centroids only, at most SAMPLE x 128 floats (10 MB) a model.
 
 Edge cases: only the newest row of a node and model counts; null, broken,
 non-finite, all-zero vectors or another length take no part; models never
@@ -40,10 +40,11 @@ from threadloom.session import cut
 DIM = 128
 SAMPLE = 20_480
 LIST_ROWS = 220
-MAX_LISTS = 4_096
 LIST_CAP = 6_000
-RATIO = 1.25
-COPIES = 5
+RATIO = 1.1
+COPIES = 10
+#: centroids in the entry layer of their graph, and the width of its beam
+ENTRIES, BEAM = 4_096, 64
 _SCALE = 32_000.0
 
 
@@ -132,9 +133,14 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.
 
 
 class CentroidGraph:
-    """Centroids with links to their nearest and to a few far ones; searched by beams."""
+    """Centroids with links to their nearest and to a few far ones; searched by beams.
 
-    def __init__(self, c: np.ndarray, degree: int = 14, far: int = 2, entries: int = 48, seed: int = 5):
+    The beam starts at the best of an entry layer (one matrix product), so it
+    needs few hops; where that layer holds all centroids there is nothing left to
+    visit.
+    """
+
+    def __init__(self, c: np.ndarray, degree: int = 24, far: int = 8, entries: int = ENTRIES, seed: int = 5):
         rng = np.random.default_rng(seed)
         k = len(c)
         d = min(degree, k - 1)
@@ -148,27 +154,26 @@ class CentroidGraph:
         self.c = c
         self.entries = np.sort(rng.choice(k, min(entries, k), replace=False))
 
-    def search(self, q: np.ndarray, want: int, beam: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, want: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The ``want`` nearest centroids of each row: numbers and cosines, best first."""
         k, n = len(self.c), len(q)
         want = min(want, k)
-        beam = max(beam, want)
-        if k <= 2 * beam:
-            s = q @ self.c.T
-            o = np.argsort(-s, axis=1, kind="stable")[:, :want]
-            return o, np.take_along_axis(s, o, 1)
+        beam = min(k, max(beam, want))
         seen = np.zeros((n, k), bool)
         rows = np.arange(n)
         s = q @ self.c[self.entries].T
-        o = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+        o = np.argpartition(-s, min(beam, s.shape[1]) - 1, axis=1)[:, :beam]
         ids = self.entries[o].astype(np.int32)
         sim = np.take_along_axis(s, o, 1)
+        if len(self.entries) == k:  # all of them are visited
+            o = np.argsort(-sim, axis=1, kind="stable")[:, :want]
+            return np.take_along_axis(ids, o, 1), np.take_along_axis(sim, o, 1)
+        seen[:, self.entries] = True
         if ids.shape[1] < beam:
             pad = beam - ids.shape[1]
             ids = np.pad(ids, ((0, 0), (0, pad)))
             sim = np.pad(sim, ((0, 0), (0, pad)), constant_values=-9)
         done = sim <= -9
-        np.put_along_axis(seen, ids, True, 1)
         live = rows
         while len(live):
             masked = np.where(done[live], -9, sim[live])
@@ -282,9 +287,14 @@ def best_in_block(q_ids, q, d_ids, d, k: int, min_sim: float):
     """The best k rows of ``d`` for each row of ``q``, itself excepted."""
     a, b, s = [], [], []
     step = min(1024, max(16, 8_000_000 // len(d)))
+    order = np.argsort(d_ids, kind="stable")
+    place = np.minimum(np.searchsorted(d_ids, q_ids, sorter=order), len(d) - 1)
+    mine = order[place]
+    here = d_ids[mine] == q_ids
     for i in range(0, len(q), step):
         m = q[i : i + step] @ d.T
-        m[q_ids[i : i + step, None] == d_ids[None, :]] = -9
+        own = np.flatnonzero(here[i : i + step])
+        m[own, mine[i : i + step][own]] = -9
         hit = m >= min_sim
         if m.shape[1] > k and np.count_nonzero(hit) * 50 < m.size:
             r, j = np.nonzero(hit)
@@ -343,7 +353,7 @@ def nearest(df: DataFrame, k: int = 5, min_sim: float = -1.0, dim: int = DIM, co
         if n > SAMPLE:
             s = s.where(F.pmod(F.hash("nid"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * SAMPLE / n)))
         x = unpack(s.select("vec").limit(SAMPLE).toPandas()["vec"], dim)
-        c = fit_centroids(x, max(1, min(MAX_LISTS, math.ceil(n / LIST_ROWS))))
+        c = fit_centroids(x, max(1, math.ceil(n / LIST_ROWS)))
         held = np.zeros(len(c))
         for i in range(0, len(x), 4096):
             held += np.bincount((x[i : i + 4096] @ c.T).argmax(1), minlength=len(c))
