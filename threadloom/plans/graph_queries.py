@@ -255,9 +255,10 @@ def _overview(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     placed = cut(layout.source_boards(m))
     order = cut(layout.cluster_order(_clusters(m)))
     nodes = m.groupBy(F.col("node_id").alias("id")).agg(F.min("name").alias("name"), F.min("tier").alias("tier"))
-    edges = _alike(nodes.select("id", "name"), layout.OVERVIEW["draw"]).withColumn("pos", F.col("rank"))
+    # half of the words in common: a measure of its own, so not the threshold for cosines
+    edges = _alike(nodes.select("id", "name"), 0.5).withColumn("pos", F.col("rank"))
     on_board = placed.select("source_id", F.col("node_id").alias("id")).distinct()
-    rel = layout.lanes(graph.cross_relations(edges, on_board, nodes.select("id", "tier"), layout.OVERVIEW["draw"]), order)
+    rel = layout.lanes(graph.cross_relations(edges, on_board, nodes.select("id", "tier"), 0.5), order)
     rel = cut(rel)
     top = rel.agg(F.max("islands_top").alias("t")).first()["t"] or layout.OVERVIEW["pad_y"]
     return rel, cut(layout.islands(layout.bounding_boxes(placed), order, top)), placed
