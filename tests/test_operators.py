@@ -467,3 +467,34 @@ def test_a_broken_run_is_marked(spark, tmp_path):
     with sinks.run_output(spark, path) as p:
         sinks.write_lines(spark.createDataFrame([("b",)], "value string"), p)
     assert spark.read.text(path).first()[0] == "b"
+
+
+@pytest.mark.parametrize("names", [False, True])
+def test_jaccard_over_blocks(spark, monkeypatch, names):
+    monkeypatch.setattr(graph, "BLOCK_ITEMS", 100)
+    monkeypatch.setattr(graph, "_STEP", 50)
+    r = random.Random(6)
+    sets = {i: frozenset(r.choices(range(40), [1 / (x + 1) for x in range(40)], k=r.randint(1, 8))) for i in range(90)}
+    name = (lambda i: f"s{i:03}") if names else (lambda i: i)
+    m = spark.createDataFrame([(name(i), name(x)) for i, s in sets.items() for x in s], "set_id string, item string" if names else "set_id long, item long")
+    least_of = {}
+    for i, s in sets.items():
+        least_of.setdefault(s, i)
+    want = {(name(a), name(b)): len(s & t) / len(s | t) for s, a in least_of.items() for t, b in least_of.items() if a < b and len(s & t) >= 0.3 * len(s | t)}
+    want |= {(name(least_of[s]), name(i)): 1.0 for i, s in sets.items() if least_of[s] != i}
+    assert {(x["a"], x["b"]): x["jaccard"] for x in graph.jaccard(m, 0.3).collect()} == pytest.approx(want)
+    # as a forest: fewer pairs, the same components
+    few = graph.jaccard(m, 0.3, forest=True).select("a", "b").collect()
+    assert {tuple(x) for x in few} <= want.keys() and len(few) < len(want)
+    nodes = m.select(F.col("set_id").alias("id")).distinct()
+    few_schema = ", ".join(f"{c} {dict(m.dtypes)['set_id']}" for c in "ab")
+    edges = lambda pairs: spark.createDataFrame(sorted(pairs), few_schema)
+    assert rows(graph.components(nodes, edges(tuple(x) for x in few))) == rows(graph.components(nodes, edges(want)))
+
+
+def test_jaccard_shuffles_no_candidates(spark):
+    """An item in every set makes n * n / 2 candidates; they are counted inside a task."""
+    m = spark.createDataFrame([(i, x) for i in range(60) for x in (0, i + 1, i + 2)], "set_id long, item long")
+    pairs = graph.jaccard(m, 0.5)
+    assert rows(pairs.select("a", "b")) == [(i, i + 1) for i in range(59)]
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
