@@ -213,6 +213,41 @@ def test_recall_in_a_dense_cluster(spark, monkeypatch, cap):
     assert len(want) > 2_000 and len(got & want) >= 0.99 * len(want)
 
 
+def test_groups_keep_their_size_with_a_list_per_sampled_row(monkeypatch):
+    """Rows of the sample lie on their centroids then; the load is that of other rows."""
+    from threadloom.llm import neighbours as nb
+
+    monkeypatch.setattr(nb, "LIST_ROWS", 10)
+    monkeypatch.setattr(nb, "LIST_CAP", 50)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(1, 128)) * 0.5 + rng.normal(size=(6000, 128))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c, regions, parts, blocks = nb.fit_regions(x[:500], x[500:1000], len(x), 10, 1.1)
+    assert len(c) == 500
+    _, at, stored = nb.visits(nb.CentroidGraph(c), regions, x, 10, 1.1)
+    assert (np.bincount(at, minlength=len(parts)) / parts).max() <= 1.5 * 8 * 50
+    assert (np.bincount(at[stored], minlength=len(blocks)) / blocks).max() <= 1.5 * 8 * 50
+    # the sample itself would have shown a fraction of it
+    _, _, few, _ = nb.fit_regions(x[:500], x[:500], len(x), 10, 1.1)
+    assert few.sum() * 2 < parts.sum()
+
+
+def test_graph_of_many_centroids_is_small():
+    import tracemalloc
+
+    from threadloom.llm import neighbours as nb
+
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(6000, 128)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    tracemalloc.start()
+    try:
+        nb.CentroidGraph(c)
+        assert tracemalloc.get_traced_memory()[1] < 150e6  # 6000 x 6000 places would be 288 MB
+    finally:
+        tracemalloc.stop()
+
+
 def test_graph_search_finds_the_nearest():
     r = np.random.default_rng(3)
     c = r.normal(size=(600, 32)).astype(np.float32)

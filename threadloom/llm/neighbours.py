@@ -109,6 +109,13 @@ def newest_vectors(df: DataFrame, dim: int = DIM) -> DataFrame:
 # ---- centroids and their graph --------------------------------------------
 
 
+def _products(x: np.ndarray, c: np.ndarray, cells: int = 4_000_000):
+    """(first row, cosines with all centroids) of so many rows at once that a block stays small."""
+    step = max(16, cells // len(c))
+    for i in range(0, len(x), step):
+        yield i, x[i : i + step] @ c.T
+
+
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
     """Spherical k-means; lists that stay empty start again at points far from their centroid."""
     rng = np.random.default_rng(seed)
@@ -117,10 +124,9 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.
     for _ in range(rounds):
         best = np.empty(len(x), np.int64)
         sim = np.empty(len(x), np.float32)
-        for i in range(0, len(x), 4096):
-            s = x[i : i + 4096] @ c.T
-            best[i : i + 4096] = s.argmax(1)
-            sim[i : i + 4096] = s.max(1)
+        for i, s in _products(x, c):
+            best[i : i + len(s)] = s.argmax(1)
+            sim[i : i + len(s)] = s.max(1)
         order = np.argsort(best, kind="stable")
         used, first = np.unique(best[order], return_index=True)
         sums = np.zeros_like(c)
@@ -145,10 +151,10 @@ class CentroidGraph:
         k = len(c)
         d = min(degree, k - 1)
         links = []
-        for i in range(0, k, 1024):
-            s = c[i : i + 1024] @ c.T
+        for i, s in _products(c, c):
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
-            links.append(np.argpartition(-s, d - 1, axis=1)[:, :d] if d else np.zeros((len(s), 0), np.int64))
+            # a copy: a slice would keep the whole block alive
+            links.append(np.argpartition(-s, d - 1, axis=1)[:, :d].astype(np.int32) if d else np.zeros((len(s), 0), np.int32))
         near = np.concatenate(links)
         self.links = np.concatenate([near, rng.integers(0, k, (k, far))], axis=1).astype(np.int32)
         self.c = c
@@ -214,12 +220,11 @@ def lists_of(graph: CentroidGraph, q: np.ndarray, copies: int = COPIES, ratio: f
     ok[wide] = False
     r, j = np.nonzero(ok)
     parts = [(r, ids[r, j], j < copies)]
-    if len(wide):
-        s = q[wide] @ graph.c.T
+    for i, s in _products(q[wide], graph.c):
         first = np.zeros(s.shape, bool)
         np.put_along_axis(first, np.argpartition(-s, copies - 1, axis=1)[:, :copies], True, 1)
         r, j = np.nonzero(near(s))
-        parts.append((wide[r], j, first[r, j]))
+        parts.append((wide[i + r], j, first[r, j]))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -249,6 +254,26 @@ def visits(graph: CentroidGraph, regions: np.ndarray, q: np.ndarray, copies: int
     return keys // n, keys % n, kept
 
 
+def fit_regions(x: np.ndarray, probe: np.ndarray, n: int, copies: int, ratio: float):
+    """(centroids, regions, query parts, data blocks) for ``n`` rows, from a sample and other rows that show the load.
+
+    A row of the sample lies nearer to its centroid than others do (on it, where there
+    are as many lists as sampled rows) and would search too few lists.
+    """
+    c = fit_centroids(x, max(1, math.ceil(n / LIST_ROWS)))
+    held = np.zeros(len(c))
+    for _, s in _products(probe, c):
+        held += np.bincount(s.argmax(1), minlength=len(c))
+    more, cap = n / len(probe), 8 * LIST_CAP
+    regions = regions_of(c, held * more, cap / 1.5)  # room for boundary vectors
+    graph, asked, kept = CentroidGraph(c), np.zeros(regions.max() + 1), np.zeros(regions.max() + 1)
+    for i in range(0, len(probe), 1024):
+        _, at, stored = visits(graph, regions, probe[i : i + 1024], copies, ratio)
+        asked += np.bincount(at, minlength=len(asked))
+        kept += np.bincount(at[stored], minlength=len(kept))
+    return c, regions, *(np.maximum(1, np.ceil(y * more / cap)).astype(np.int32) for y in (asked, kept))
+
+
 # ---- the operator ----------------------------------------------------------
 
 
@@ -349,22 +374,15 @@ def nearest(df: DataFrame, k: int = 5, min_sim: float = -1.0, dim: int = DIM, co
         return spark.createDataFrame([], "model string, node_id string, rank int, neighbour_id string, sim float")
     fitted = {}
     for model, n in sizes.items():
-        s = points.where(F.col("model") == model)
+        s, seen = points.where(F.col("model") == model).select("vec"), 1.0
         if n > SAMPLE:
-            s = s.where(F.pmod(F.hash("nid"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * SAMPLE / n)))
-        x = unpack(s.select("vec").limit(SAMPLE).toPandas()["vec"], dim)
-        c = fit_centroids(x, max(1, math.ceil(n / LIST_ROWS)))
-        held = np.zeros(len(c))
-        for i in range(0, len(x), 4096):
-            held += np.bincount((x[i : i + 4096] @ c.T).argmax(1), minlength=len(c))
-        more, cap = n / len(x), 8 * LIST_CAP
-        regions = regions_of(c, held * more, cap / 1.5)  # room for boundary vectors
-        graph, asked, kept = CentroidGraph(c), np.zeros(regions.max() + 1), np.zeros(regions.max() + 1)
-        for i in range(0, len(x), 1024):
-            _, at, stored = visits(graph, regions, x[i : i + 1024], copies, ratio)
-            asked += np.bincount(at, minlength=len(asked))
-            kept += np.bincount(at[stored], minlength=len(kept))
-        fitted[model] = c, regions, *(np.maximum(1, np.ceil(y * more / cap)).astype(np.int32) for y in (asked, kept))
+            seen = min(1.0, 1.1 * SAMPLE / n)
+            at = F.pmod(F.hash("nid"), F.lit(1 << 20))
+            probe = s.where((at >= int((1 << 20) * seen)) & (at < int((1 << 20) * 2 * seen)))
+            s = s.where(at < int((1 << 20) * seen))
+        x = unpack(s.limit(SAMPLE).toPandas()["vec"], dim)
+        y = unpack(probe.limit(SAMPLE).toPandas()["vec"], dim) if seen < 1 else x
+        fitted[model] = fit_regions(x, y if len(y) * 4 >= len(x) else x, n, copies, ratio)
     placed = points.mapInPandas(_assign(spark.sparkContext.broadcast(fitted), copies, ratio), "model string, list int, qp int, db int, role int, nid long, vec binary")
     pairs = placed.groupBy("model", "list", "qp", "db").applyInPandas(_search(k, min_sim), "a long, b long, sim float")
     best = _best(pairs, k)
