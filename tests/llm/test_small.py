@@ -391,6 +391,15 @@ def test_units():
     assert recurrence.site_name(None) == "" and recurrence.site_name("https://a.b-c.example:80/x") == "b-c"
 
 
+def test_rare_residue_is_an_exemplar(spark):
+    from threadloom.llm import recurrence
+
+    c = recurrence.Corpus.__new__(recurrence.Corpus)
+    flag = recurrence.RECURS | recurrence.RESIDUE
+    c.named = spark.createDataFrame([(1, "page not found", 1_000_000, flag), (2, "diese seite ruht sich gerade aus", 3, flag), (3, "read more", 9, recurrence.RECURS | recurrence.FURNITURE)], "u long, spelled string, n long, flag int")
+    assert sorted(c.exemplars()) == [("diese seite ruht sich gerade aus", 3), ("page not found", 1_000_000)]
+
+
 def test_residue(spark):
     notice = "Diese Seite ruht sich gerade aus"
     bad = {f"r{i}": notice + f"\nVorgang {1000 + i}" for i in range(4)}  # recurs in texts without anything else

@@ -415,11 +415,9 @@ class Corpus:
         self.named = cut(joined(pieces, named, total).groupBy("u").agg(F.first("spelled").alias("spelled")).join(named, "u"))
         self.total = total
 
-    def exemplars(self, most: int = 5_000) -> list[tuple[str, int]]:
-        """(spelling, texts) of recurring residue; those in at least 1/most of its occurrences, so at most ``most``."""
-        r = self.named.where(F.col("flag").bitwiseAND(RESIDUE) > 0)
-        n = r.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return [(x["spelled"], x["n"]) for x in r.where(F.col("n") * most >= n).select("spelled", "n").collect()]
+    def exemplars(self) -> list[tuple[str, int]]:
+        """(spelling, texts) of all recurring residue, however rare: a text may hold a variant of any of it."""
+        return [(x["spelled"], x["n"]) for x in self.named.where(F.col("flag").bitwiseAND(RESIDUE) > 0).select("spelled", "n").collect()]
 
     def flagged(self) -> DataFrame:
         """The features of all texts with ``ks`` and ``fs``: numbers and flags of the units that recur or begin one that is furniture."""

@@ -3,11 +3,10 @@
 Labelled exemplars stand in an inverted index: a small table given as parameter
 (``SEEDS``: what protocols, frameworks and editors print by default) and what the
 corpus itself shows to be residue (``recurrence``: units that recur in texts
-without anything of their own, at most 5,000 by a share). Every passage window -
+without anything of their own; all of them, however rare). Every passage window -
 a line or sentence that is no page furniture - retrieves the exemplars that share
 one of its heavy words, and TF-IDF containment in both directions decides, with
-the inverse document frequencies of the corpus. Recurring residue below that share
-is matched by its hash, so the bound drops nothing. A slot window is residue if it
+the inverse document frequencies of the corpus. A slot window is residue if it
 recurs with its slot masked, or if its slots are most of its weight. Filler prose
 has no word that is common in the corpus and letter pairs that are contained in
 the standard filler paragraph. A record is excluded if matched windows cover
