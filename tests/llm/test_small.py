@@ -148,6 +148,18 @@ def test_segments_merge_and_cover():
         assert s.suffixes == sorted(s.suffixes) and batchdedup.Segment.stored(*s.written()).suffixes == s.suffixes
 
 
+def test_coverage_decides(monkeypatch):
+    asked, plain = [], batchdedup.SegmentIndex.coverage
+    monkeypatch.setattr(batchdedup.SegmentIndex, "coverage", lambda self, key, least=0.0: asked.append(least) or plain(self, key, least))
+    record, pieces = "site.example/aaaaaaaa/bbbbbbbb/cccccccc", "site.example/aaaaaaaa/cccccccc"
+    assert batchdedup.replay([([record], [1]), ([pieces, record, "other.test/x"], [2, 3, 4]), ([record], [5])]) == [3, 5]
+    assert asked == [1.0] * 5
+    index = batchdedup.SegmentIndex()
+    index.add([record], [1])
+    # covered whole by two long matches of one record, yet another page
+    assert index.coverage(pieces, 1.0) == [(1, 1.0)] and index.duplicate(pieces, 2) is None
+
+
 # ---- p4 ------------------------------------------------------------------------
 
 
