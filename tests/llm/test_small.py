@@ -6,6 +6,7 @@ from collections import defaultdict
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from threadloom.llm import batchdedup, boilerplate, mixing, neighbours, packing, pairs, recurrence, residue, spans, tokens, truncation
@@ -244,6 +245,52 @@ def test_groups_keep_their_size_with_a_list_per_sampled_row(monkeypatch):
     assert few.sum() * 2 < parts.sum()
 
 
+def test_rows_that_search_everywhere_travel_little(spark, monkeypatch):
+    """Where nearly every region is searched, narrow regions only send the same rows again and again."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 10)
+    monkeypatch.setattr(neighbours, "LIST_CAP", 40)
+    monkeypatch.setattr(neighbours, "SAMPLE", 400)
+    fits, fit = [], neighbours.fit_regions
+    monkeypatch.setattr(neighbours, "fit_regions", lambda *a, **b: fits.append(fit(*a, **b)) or fits[-1])
+    x = np.random.default_rng(5).normal(size=(1200, 128))
+    df = spark.createDataFrame([(f"n{i:04d}", "m", 128, json.dumps([float(y) for y in a]), datetime(2031, 1, 1)) for i, a in enumerate(x)], "node_id string, model string, dim int, embedding_json string, updated_at timestamp")
+    got = {(r["node_id"], r["neighbour_id"]) for r in neighbours.nearest(df, 5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(f"n{i:04d}", f"n{j:04d}") for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+    assert len(got & want) >= 0.999 * len(want)
+
+    class Sent:
+        value = {"m": fits[0]}
+
+    rows_in = pd.DataFrame({"model": "m", "nid": np.arange(len(u)), "vec": [neighbours.pack(a) for a in u]})
+    sent = pd.concat(neighbours._assign(Sent, neighbours.COPIES, neighbours.RATIO)(iter([rows_in])))
+    assert len(sent) <= 10 * len(u)
+    assert sent.groupby(["list", "qp", "db"]).size().max() <= 1.5 * 8 * 40
+
+
+@pytest.mark.parametrize("roles", [[0, 2], [0, 1], [0, 2, 4, 6], [2]])
+@pytest.mark.parametrize("min_sim", [-1.0, 0.3, 0.7])
+def test_groups_against_brute_force(monkeypatch, roles, min_sim):
+    monkeypatch.setattr(neighbours, "TILE", 48)
+    r = np.random.default_rng(len(roles))
+    x = r.normal(size=(30, 128))[r.integers(0, 30, 300)] + 0.5 * r.normal(size=(300, 128))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids, role = r.permutation(300) * 7, r.choice(roles, 300)
+    if roles == [0, 1]:  # a row that searches and is stored comes twice
+        ids[:40], x[:40], role[:40], role[100:140] = ids[100:140], x[100:140], 0, 1
+    a, b, _ = neighbours.best_in_group(ids, x, role, 5, min_sim)
+    s = x @ x.T
+    ok = (role & 3 != 1)[:, None] & (role & 3 != 0) & (ids[:, None] != ids) & (s >= min_sim)
+    if 4 in roles:
+        ok &= (role >= 4)[:, None] != (role >= 4)
+    s = np.where(ok, s, -9)
+    got = list(zip(a.tolist(), b.tolist()))
+    assert len(got) == len(set(got))
+    assert set(got) == {(ids[i], ids[j]) for i in range(300) for j in np.argsort(-s[i])[:5] if s[i, j] > -9}
+
+
 def test_graph_of_many_centroids_is_small():
     import tracemalloc
 

@@ -11,10 +11,13 @@ beam, as in a dense cluster, all centroids are scanned.
 
 Neighbouring lists are one region, so a vector travels once to a region and not
 to each of its lists; inside, all that is stored meets all that searches there
-by block products, and the best of all regions are merged. A region of many rows
-is cut into query parts and data blocks of 8 x ``LIST_CAP`` rows and every part
-meets every block, so no task holds an unbounded list. Equal vectors are one
-point with members: a group of copies costs one row per region.
+by block products, and the best of all regions are merged. How wide regions are
+follows the load that a probe shows: where vectors search most regions anyway,
+wider ones cost less, up to one region in which everything meets. A region of many
+rows is cut into parts and every two parts are one group, in which a product serves
+both of its vectors; where far more search than are stored, into query parts and
+data blocks of 8 x ``LIST_CAP`` rows. So no task holds an unbounded list. Equal
+vectors are one point with members: a group of copies costs one row per region.
 
 Broadcast: the centroids only, at most SAMPLE x 128 floats (10 MB) a model.
 
@@ -45,6 +48,8 @@ RATIO = 1.1
 COPIES = 10
 #: centroids in the entry layer of their graph, and the width of its beam
 ENTRIES, BEAM = 4_096, 64
+#: rows on each side of a block product; products that cost as much as the way of one row to a group
+TILE, TRAVEL = 1_024, 2_000
 _SCALE = 32_000.0
 
 
@@ -244,41 +249,88 @@ def regions_of(c: np.ndarray, rows: np.ndarray, cap: float) -> np.ndarray:
     return out
 
 
+def _once(r: np.ndarray, at: np.ndarray, stored: np.ndarray, n: int):
+    """(row, region, stored), each row and region once; ``n`` regions."""
+    keys, place = np.unique(r * n + at, return_inverse=True)
+    kept = np.zeros(len(keys), bool)
+    kept[place[stored]] = True
+    return keys // n, keys % n, kept
+
+
 def visits(graph: CentroidGraph, regions: np.ndarray, q: np.ndarray, copies: int, ratio: float):
     """(row, region, stored): every region of which a row searches a list, once."""
+    if not regions.any():  # there is only one
+        return np.arange(len(q)), np.zeros(len(q), np.int64), np.ones(len(q), bool)
     r, lists, stored = lists_of(graph, q, copies, ratio)
-    n = int(regions.max()) + 1
-    keys, at = np.unique(r * n + regions[lists], return_inverse=True)
-    kept = np.zeros(len(keys), bool)
-    kept[at[stored]] = True
-    return keys // n, keys % n, kept
+    return _once(r, regions[lists], stored, int(regions.max()) + 1)
+
+
+def cuts_of(asked: np.ndarray, kept: np.ndarray, cap: float):
+    """(query parts, data blocks, cost in products) of regions with so many rows; as many of both: parts that meet in pairs."""
+    parts, blocks = (np.maximum(1, np.ceil(y / cap)) for y in (asked, kept))
+    even = np.where(asked <= cap, 1, np.ceil(2 * asked / cap))
+    apart = TRAVEL * (asked * blocks + kept * parts) + asked * kept
+    paired = TRAVEL * asked * even + asked * kept - kept * kept / 2
+    parts, blocks = np.where(paired <= apart, even, parts), np.where(paired <= apart, even, blocks)
+    return parts.astype(np.int32), blocks.astype(np.int32), float(np.minimum(apart, paired).sum())
 
 
-def fit_regions(x: np.ndarray, probe: np.ndarray, n: int, copies: int, ratio: float):
+def fit_regions(x: np.ndarray, probe: np.ndarray, n: int, copies: int, ratio: float, widen: bool = False):
     """(centroids, regions, query parts, data blocks) for ``n`` rows, from a sample and other rows that show the load.
 
     A row of the sample lies nearer to its centroid than others do (on it, where there
-    are as many lists as sampled rows) and would search too few lists.
+    are as many lists as sampled rows) and would search too few lists. ``widen``: joins
+    neighbouring regions as long as that costs less.
     """
     c = fit_centroids(x, max(1, math.ceil(n / LIST_ROWS)))
     held = np.zeros(len(c))
     for _, s in _products(probe, c):
         held += np.bincount(s.argmax(1), minlength=len(c))
     more, cap = n / len(probe), 8 * LIST_CAP
-    regions = regions_of(c, held * more, cap / 1.5)  # room for boundary vectors
-    graph, asked, kept = CentroidGraph(c), np.zeros(regions.max() + 1), np.zeros(regions.max() + 1)
+    ways = [regions_of(c, held * more, cap / 1.5)]  # room for boundary vectors
+    while widen and ways[-1].any():  # the same halves, of which fewer are cut: regions of the one before, joined
+        ways.append(regions_of(c, held * more, cap / 1.5 * 2 ** len(ways)))
+    graph, counts = CentroidGraph(c), [np.zeros((2, w.max() + 1)) for w in ways]
     for i in range(0, len(probe), 1024):
-        _, at, stored = visits(graph, regions, probe[i : i + 1024], copies, ratio)
-        asked += np.bincount(at, minlength=len(asked))
-        kept += np.bincount(at[stored], minlength=len(kept))
-    return c, regions, *(np.maximum(1, np.ceil(y * more / cap)).astype(np.int32) for y in (asked, kept))
+        r, at, stored = visits(graph, ways[0], probe[i : i + 1024], copies, ratio)
+        for j, (asked, kept) in enumerate(counts):
+            if j:
+                up = np.zeros(int(ways[j - 1].max()) + 1, np.int64)
+                up[ways[j - 1]] = ways[j]
+                r, at, stored = _once(r, up[at], stored, len(asked))
+            asked += np.bincount(at, minlength=len(asked))
+            kept += np.bincount(at[stored], minlength=len(kept))
+    cuts = [cuts_of(asked * more, kept * more, cap) for asked, kept in counts]
+    best = min(range(len(ways)), key=lambda j: cuts[j][2])
+    return c, ways[best], *cuts[best][:2]
 
 
 # ---- the operator ----------------------------------------------------------
 
 
+def groups_of(at: np.ndarray, stored: np.ndarray, nid: np.ndarray, parts: np.ndarray, blocks: np.ndarray):
+    """(row, query part, data block, role) of rows that visit the regions ``at``.
+
+    Role: 0 searches, 1 is stored, 2 both; and 4 more on the second side of a group of two parts.
+    """
+    nq, nb = parts[at], blocks[at]
+    mine = nid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    part = lambda x, n: (mine[x] % n[x].astype(np.uint64)).astype(np.int32)
+    every = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pair, apart = np.flatnonzero(nq == nb), np.flatnonzero(nq != nb)
+    kept = apart[stored[apart]]
+    x, q, d = np.repeat(pair, nq[pair]), np.repeat(apart, nb[apart]), np.repeat(kept, nq[kept])
+    m, o = part(x, nq), every(nq[pair])
+    out = (
+        (x, np.minimum(m, o), np.maximum(m, o), np.where(stored[x], 2, 0) + np.where(m > o, 4, 0)),
+        (q, part(q, nq), every(nb[apart]), np.zeros(len(q), np.int64)),
+        (d, every(nq[kept]), part(d, nb), np.ones(len(d), np.int64)),
+    )
+    return tuple(np.concatenate(y) for y in zip(*out))
+
+
 def _assign(fitted, copies: int, ratio: float):
-    """Rows of the regions; those of a region in several parts go to every pair of a query part and a data block."""
+    """Rows of the regions' groups: every part meets itself and every other part, or every query part every data block."""
 
     def run(batches):
         built = {}
@@ -286,72 +338,103 @@ def _assign(fitted, copies: int, ratio: float):
             for model, g in pdf.groupby("model", sort=False):
                 c, regions, parts, blocks = fitted.value[model]
                 if model not in built:
-                    built[model] = CentroidGraph(c)
+                    built[model] = CentroidGraph(c) if regions.any() else None
                 for i in range(0, len(g), 1024):
                     part = g.iloc[i : i + 1024]
                     r, at, stored = visits(built[model], regions, unpack(part["vec"]), copies, ratio)
-                    nid, vec, nq, nb = part["nid"].to_numpy()[r], part["vec"].to_numpy()[r], parts[at], blocks[at]
-                    one = np.flatnonzero((nq == 1) & (nb == 1))
-                    more = np.flatnonzero((nq > 1) | (nb > 1))
-                    kept = more[stored[more]]
-                    mine = nid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-                    q, d = np.repeat(more, nb[more]), np.repeat(kept, nq[kept])
-                    every = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    for x, qp, db, role in (
-                        (one, 0, 0, np.where(stored[one], 2, 0)),
-                        (q, (mine[q] % nq[q].astype(np.uint64)).astype(np.int32), every(nb[more]), 0),
-                        (d, every(nq[kept]), (mine[d] % nb[d].astype(np.uint64)).astype(np.int32), 1),
-                    ):
-                        if len(x):
-                            yield pd.DataFrame({"model": model, "list": at[x].astype(np.int32), "qp": qp, "db": db, "role": role, "nid": nid[x], "vec": vec[x]})
+                    nid, vec = part["nid"].to_numpy()[r], part["vec"].to_numpy()[r]
+                    x, qp, db, role = groups_of(at, stored, nid, parts, blocks)
+                    yield pd.DataFrame({"model": model, "list": at[x].astype(np.int32), "qp": qp.astype(np.int32), "db": db.astype(np.int32), "role": role.astype(np.int32), "nid": nid[x], "vec": vec[x]})
 
     return run
 
 
-def best_in_block(q_ids, q, d_ids, d, k: int, min_sim: float):
-    """The best k rows of ``d`` for each row of ``q``, itself excepted."""
-    a, b, s = [], [], []
-    step = min(1024, max(16, 8_000_000 // len(d)))
-    order = np.argsort(d_ids, kind="stable")
-    place = np.minimum(np.searchsorted(d_ids, q_ids, sorter=order), len(d) - 1)
-    mine = order[place]
-    here = d_ids[mine] == q_ids
-    for i in range(0, len(q), step):
-        m = q[i : i + step] @ d.T
-        own = np.flatnonzero(here[i : i + step])
-        m[own, mine[i : i + step][own]] = -9
-        hit = m >= min_sim
-        if m.shape[1] > k and np.count_nonzero(hit) * 50 < m.size:
-            r, j = np.nonzero(hit)
-            v = m[r, j]
-            o = np.lexsort((-v, r))
-            r, j, v = r[o], j[o], v[o]
-            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-            a.append(q_ids[i : i + step][r[keep]])
-            b.append(d_ids[j[keep]])
-            s.append(v[keep])
-            continue
-        if m.shape[1] > k:
-            o = np.argpartition(-m, k - 1, axis=1)[:, :k]
-            v = np.take_along_axis(m, o, 1)
+def _tiles(second: np.ndarray, stored: np.ndarray):
+    """(rows, other rows, both ways) of the block products of a group whose rows are ordered by side, stored first.
+
+    Without a second side the rows meet one another, and only half of the tiles are needed.
+    """
+    na = len(second) - int(second.sum())
+    sa, end = int(stored[:na].sum()), len(second)
+    sb = na + int(stored[na:].sum())
+    if na == end:
+        for j in range(0, sa, TILE):
+            for i in range(j, na, TILE):
+                yield slice(i, min(i + TILE, na)), slice(j, min(j + TILE, na)), i > j
+    else:
+        for j in range(na, end, TILE):
+            for i in range(0, na if j < sb else sa, TILE):
+                yield slice(i, min(i + TILE, na)), slice(j, min(j + TILE, end)), True
+
+
+def _true_cells(hit: np.ndarray) -> np.ndarray:
+    """Places of the few true cells, eight cells at a look."""
+    flat = hit.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    w = np.flatnonzero(flat.view(np.uint64))
+    at = np.flatnonzero(flat.reshape(-1, 8)[w])
+    return w[at >> 3] * 8 + (at & 7)
+
+
+def _row_hits(m: np.ndarray, least: np.ndarray, rows: np.ndarray, cols: np.ndarray, stored: np.ndarray, k: int):
+    """(row, column) of cells at or above their row's ``least``: all of them where few are, else a row's best k of other numbers that are stored."""
+    hit = m >= least[:, None]
+    if m.shape[1] <= k or np.count_nonzero(hit) * 50 < m.size:
+        return np.divmod(_true_cells(hit), m.shape[1])
+    m = np.where(stored & (rows[:, None] != cols), m, np.float32(-9))
+    o = np.argpartition(-m, k - 1, axis=1)[:, :k]
+    r, j = np.nonzero(np.take_along_axis(m, o, 1) >= least[:, None])
+    return r, o[r, j]
+
+
+def best_in_group(ids: np.ndarray, x: np.ndarray, role: np.ndarray, k: int, min_sim: float):
+    """(a, b, similarity): the best k stored rows of each row that searches, itself excepted; equal ones by number."""
+    second = (role >= 4) | (role == 1)
+    o = np.lexsort((role & 3 == 0, second))
+    ids, x, second, role = ids[o], x[o], second[o], role[o] & 3
+    asks, stored = role != 1, role != 0
+    least = np.full(len(ids), min_sim, np.float32)  # rises to the k-th best found
+    found, fresh = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0
+
+    def settle():
+        q, d, v = (np.concatenate(y) for y in zip(*found))
+        o = np.lexsort((ids[d], -v, q))
+        q, d, v = q[o], d[o], v[o]
+        n = np.arange(len(q)) - np.searchsorted(q, q)
+        least[q[n == k - 1]] = v[n == k - 1]
+        found[:] = [(q[n < k], d[n < k], v[n < k])]
+
+    for i, j, both in _tiles(second, stored):
+        m = x[i] @ x[j].T
+        hit = m >= (min(least[i].min(), least[j].min()) if both else least[i].min())
+        if np.count_nonzero(hit) * 50 < m.size:
+            at = _true_cells(hit)
+            r, c = np.divmod(at, m.shape[1])
+            ways = [(r + i.start, c + j.start, m.reshape(-1)[at])]
+            ways += [(ways[0][1], ways[0][0], ways[0][2])] if both else []
         else:
-            o, v = np.broadcast_to(np.arange(m.shape[1]), m.shape), m
-        r, j = np.nonzero(v >= min_sim)
-        a.append(q_ids[i : i + step][r])
-        b.append(d_ids[o[r, j]])
-        s.append(v[r, j])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(s)
+            ways = []
+            for y, rows, cols in ((m, i, j), (m.T, j, i))[: 2 if both else 1]:
+                y = np.ascontiguousarray(y)
+                r, c = _row_hits(y, least[rows], ids[rows], ids[cols], stored[cols], k)
+                ways.append((r + rows.start, c + cols.start, y[r, c]))
+        for q, d, v in ways:
+            ok = asks[q] & stored[d] & (ids[q] != ids[d]) & (v >= least[q])
+            found.append((q[ok], d[ok], v[ok]))
+            fresh += int(ok.sum())
+        if fresh > 500_000:
+            settle()
+            fresh = 0
+    settle()
+    q, d, v = found[0]
+    return ids[q], ids[d], v
 
 
 def _search(k: int, min_sim: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        role = pdf["role"].to_numpy()
-        x, ids = unpack(pdf["vec"]), pdf["nid"].to_numpy()
-        q, d = role != 1, role != 0
-        if not q.any() or not d.any():
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        a, b, s = best_in_block(ids[q], x[q], ids[d], x[d], k, min_sim)
-        return pd.DataFrame({"a": a, "b": b, "sim": s.astype("float32")})
+        a, b, s = best_in_group(pdf["nid"].to_numpy(), unpack(pdf["vec"]), pdf["role"].to_numpy(), k, min_sim)
+        return pd.DataFrame({"a": a, "b": b, "sim": s})
 
     return run
 
@@ -382,8 +465,11 @@ def nearest(df: DataFrame, k: int = 5, min_sim: float = -1.0, dim: int = DIM, co
             s = s.where(at < int((1 << 20) * seen))
         x = unpack(s.limit(SAMPLE).toPandas()["vec"], dim)
         y = unpack(probe.limit(SAMPLE).toPandas()["vec"], dim) if seen < 1 else x
-        fitted[model] = fit_regions(x, y if len(y) * 4 >= len(x) else x, n, copies, ratio)
+        fitted[model] = fit_regions(x, y if len(y) * 4 >= len(x) else x, n, copies, ratio, widen=True)
     placed = points.mapInPandas(_assign(spark.sparkContext.broadcast(fitted), copies, ratio), "model string, list int, qp int, db int, role int, nid long, vec binary")
+    # a task for about each group; where groups are few, more tasks than groups keep two of them from meeting in one
+    n = sum(int(np.where(p == b, p * (p + 1) // 2, p * b).sum()) for _, _, p, b in fitted.values())
+    placed = placed.repartition(max(min(4 * n, 1_000), n), "model", "list", "qp", "db")
     pairs = placed.groupBy("model", "list", "qp", "db").applyInPandas(_search(k, min_sim), "a long, b long, sim float")
     best = _best(pairs, k)
     return _named(best, v, members, k)
