@@ -14,10 +14,11 @@ to each of its lists; inside, all that is stored meets all that searches there
 by block products, and the best of all regions are merged. How wide regions are
 follows the load that a probe shows: where vectors search most regions anyway,
 wider ones cost less, up to one region in which everything meets. A region of many
-rows is cut into parts and every two parts are one group, in which a product serves
-both of its vectors; where far more search than are stored, into query parts and
-data blocks of 8 x ``LIST_CAP`` rows. So no task holds an unbounded list. Equal
-vectors are one point with members: a group of copies costs one row per region.
+rows is cut into parts of up to 8 x ``LIST_CAP`` rows and every two parts are one
+group, in which a product serves both of its vectors; where far more search than are
+stored, into query parts and data blocks of that size. So no task holds an unbounded
+list. Equal vectors are one point with members: a group of copies costs one row per
+region.
 
 Broadcast: the centroids only, at most SAMPLE x 128 floats (10 MB) a model.
 
@@ -268,7 +269,8 @@ def visits(graph: CentroidGraph, regions: np.ndarray, q: np.ndarray, copies: int
 def cuts_of(asked: np.ndarray, kept: np.ndarray, cap: float):
     """(query parts, data blocks, cost in products) of regions with so many rows; as many of both: parts that meet in pairs."""
     parts, blocks = (np.maximum(1, np.ceil(y / cap)) for y in (asked, kept))
-    even = np.where(asked <= cap, 1, np.ceil(2 * asked / cap))
+    even = np.maximum(parts, np.minimum(4, np.ceil(2 * asked / cap)))  # a few more parts keep the tasks short
+    even = np.where(asked <= cap, 1, even)
     apart = TRAVEL * (asked * blocks + kept * parts) + asked * kept
     paired = TRAVEL * asked * even + asked * kept - kept * kept / 2
     parts, blocks = np.where(paired <= apart, even, parts), np.where(paired <= apart, even, blocks)
