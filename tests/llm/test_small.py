@@ -488,6 +488,44 @@ def test_containment():
     assert index.match("we were denied access for two whole days because of the cold winter") is None and index.match("") is None
 
 
+def test_only_what_decides_is_read():
+    """What p3_found and p5_found cost: a window too heavy for any exemplar is read no further, nor are the sentences after its first."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    index = residue.ExemplarIndex([("error", "access denied for *")], {"the": 0.9})
+    assert index.match(" ".join(word(i) for i in range(5000))) is None and len(index.idf) < 50
+    index = residue.ExemplarIndex([("error", "access denied")], {"the": 0.9})
+    seen = []
+    index.match = lambda w: seen.append(w) or residue.ExemplarIndex.match(index, w)
+    s = "the birds came back. " + "then it was quiet. " * 50
+    assert residue._label(index, [0], s, [s], [False]) is None and seen == [s, "the birds came back."]
+    assert residue._label(index, [0], "access denied. access denied!", ["x"], [False]) == "error" and residue._label(index, [0], "access denied. the birds came back.", ["x"], [False]) is None
+
+
+def test_prefilters_lose_nothing():
+    r = random.Random(3)
+    bits = ["a", "é", "ß", "İ", "²", "٣", "१२", "_", "don't", "404", "1,000.5", "deadbeef12", "v2.0", "*", "#", "the", "lorem", "dolor", ".", "…", "!", ")", "”", " ", " ", "\u2028", "\x1c", "-", "中文", "{{ x }}", "<<a>>", "[NAME]", "[[x]]", "$500", "$name$", "nan", "finance", "(null)", "N/A", "__X__", "%(a)s", "*|A|*", "X_GOES_HERE", "@Model.Name", "[object Object]", "{a b}", "%%X%%", "<INSERT X>", "{% if %}", "<%= x %>", "#{a}", "${b}"]
+    index = residue.ExemplarIndex([("error", "access denied"), ("filler", "lorem * the")], {"the": 0.9, "a": 0.6})
+    for i in range(4000):
+        t = "".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.choice([1, 3, 10, 40])))
+        assert recurrence.letter_words(t) == set(recurrence._LETTERS.findall(t))
+        p = " ".join(t.casefold().split())
+        assert recurrence.spell(t) == recurrence._CODE.sub("#", p)
+        assert bool(recurrence.slot_windows(t)) == (recurrence.hints(t) and bool(recurrence._SLOT.search(t))), t
+        assert bool(residue._FIRST_END.search(p)) == (len(residue._SENT.split(p)) > 1)
+        # the definition: a fifth of the words at most is common, and the pairs of the others are the filler's
+        w = [x for x in residue.words_of(p) if x.isalpha()]
+        pairs = [x for y in w if y not in index.common for x in residue._pairs(y)]
+        assert index.filler(p) == (len(w) >= 4 and sum(x in index.common for x in w) <= 0.2 * len(w) and bool(pairs) and sum(x in residue._FILLER for x in pairs) >= residue.PAIRS * len(pairs))
+
+
+def test_plain_columns():
+    import pyarrow as pa
+
+    for kind, data in [(pa.string(), ["a", None, ""]), (pa.list_(pa.int32()), [[1, 2], None, [], [3]]), (pa.list_(pa.int64()), [[1 << 62, -1]]), (pa.list_(pa.string()), [["é", ""], [], None]), (pa.list_(pa.int32()), [[1, None]]), (pa.list_(pa.int32()), []), (pa.int64(), [1, None])]:
+        col = pa.array(data, kind)
+        assert recurrence.plain(col) == data and recurrence.plain(col[1:]) == data[1:]
+
+
 # ---- p1 --------------------------------------------------------------------------
 
 

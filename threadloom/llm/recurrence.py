@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -53,9 +54,9 @@ COMMON = 0.01
 
 _SEP = re.compile(r"\s+[|·>»•]\s+|\s{2,}")
 _CODE = re.compile(r"\b(?=\w*\d)[0-9a-f]{6,}\b|\d+(?:[.,:]\d+)*")
-_END = re.compile(r"""[.!?…:;,]["”’»)\]]*$""")
 _ITEM = re.compile(r"(?:[-*•]|\d+[.)])\s+\S")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_TO_SPACE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _SENT = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+")
 _HOST = re.compile(r"^(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 # The project's own marks.
@@ -85,13 +86,15 @@ SLOT_FORMS = [
     r"(?<![\w.])(?:undefined|null|NULL|None|nan|NaN|nil|N/A|\(null\))(?!\w)",
 ]
 _SLOT = re.compile("|".join(SLOT_FORMS))
-_HINT = re.compile(r"[{}<>$%\[\]|@_]|undefined|[Nn]ull|NULL|None|nan|NaN|nil|N/A")
+# what every slot form holds; each branch begins with a fixed character, so a search skips to the next of them
+_HINT = re.compile(r"\{|<[%<I]|\[[\[A-Zo]|%[%(]|\*\||__|_GOES_HERE|@Model|\$[a-z]|" + "|".join(rf"{w}(?!\w)" for w in ("undefined", "null", "NULL", "None", "nan", "NaN", "nil", "N/A")))
 # the same, as plain searches, which are faster on a text without any
 _HINTS = (*"{}<>$%[]@_", "undefined", "null", "NULL", "None", "nan", "NaN", "nil", "N/A")
 _BARS = ("|", "·", ">", "»", "•", "  ", "\t")
 _DIGIT = re.compile(r"\d")
 _LETTER = re.compile(r"[^\W\d_]")
-_CLOSED = frozenset(".!?…:;,\"”’»)]")
+_STOPS, _QUOTES = frozenset(".!?…:;,"), "\"”’»)]"
+_CLOSED = _STOPS | frozenset(_QUOTES)
 SLOT_AT = "\x00"
 
 
@@ -104,14 +107,35 @@ def site_name(url: str | None) -> str:
 
 def spell(part: str, site: str = "", last: bool = False) -> str:
     """A unit without case, numbers, codes and the name of its site."""
-    p = " ".join(part.casefold().split())
+    return _masked(" ".join(part.casefold().split()), site, last)
+
+
+def _digits(p: str) -> bool:
+    if p.isascii():
+        return "0" in p or "1" in p or "2" in p or "3" in p or "4" in p or "5" in p or "6" in p or "7" in p or "8" in p or "9" in p
+    return _DIGIT.search(p) is not None
+
+
+def _masked(p: str, site: str, last: bool) -> str:
     if site:
         p = p.replace(site, "*")
         if last and " " in p:
             head, _, tail = p.rpartition(" ")
             if len(tail) >= 3 and site.startswith(tail):
                 p = f"{head} *"
-    return _CODE.sub("#", p) if _DIGIT.search(p) else p
+    if not _digits(p):
+        return p
+    # a code lies within one token, so only tokens with a digit are searched
+    out, done = [], 0
+    m = _DIGIT.search(p)
+    while m:
+        a = p.rfind(" ", done, m.start()) + 1 or done
+        b = p.find(" ", m.end())
+        b = len(p) if b < 0 else b
+        out += p[done:a], _CODE.sub("#", p[a:b])
+        done = b
+        m = _DIGIT.search(p, b)
+    return "".join(out) + p[done:]
 
 
 def key(unit: str) -> int:
@@ -164,6 +188,16 @@ def tag_counts(text: str, n_lines: int) -> tuple[list[int], list[int]]:
     return [p.text.get(i + 1, 0) for i in range(n_lines)], [p.tags.get(i + 1, 0) for i in range(n_lines)]
 
 
+def letter_words(text: str) -> set[str]:
+    """The distinct runs of letters of a text."""
+    # what is no letter in ASCII goes in one step; the few tokens with another sign are searched
+    got = set(text.encode("utf-8", "surrogatepass").translate(_TO_SPACE).decode("utf-8", "surrogatepass").split())
+    for x in [x for x in got if not x.isalpha()]:
+        got.remove(x)
+        got.update(_LETTERS.findall(x))
+    return got
+
+
 def hints(text: str) -> bool:
     """Whether a text may hold a slot."""
     return any(h in text for h in _HINTS)
@@ -172,7 +206,7 @@ def hints(text: str) -> bool:
 def slot_windows(text: str) -> list[str]:
     """Sentences and lines with an unfilled slot, the slots masked."""
     out: list[str] = []
-    if not hints(text):
+    if not hints(text) or not _HINT.search(text):
         return out
     for line in text.split("\n"):
         if _HINT.search(line):
@@ -192,7 +226,8 @@ def read(text: str | None, title: str | None, url: str | None, titled: bool = Fa
     text = head + nl + (CUT_MARK.sub("", last) if last.endswith(("]", ">", ")", "…", "...")) else last)
     raw = text.split("\n")
     site = site_name(url)
-    seen, found = tag_counts(text, len(raw))
+    seen, found = tag_counts(text, len(raw)) if "<" in text else ([], [0] * len(raw))
+    bars = [b for b in _BARS if b in text]
     end = len(raw) - 1
     while end > 0 and not raw[end].strip():
         end -= 1
@@ -204,17 +239,18 @@ def read(text: str | None, title: str | None, url: str | None, titled: bool = Fa
         if m and not (x := x[m.end() :]):
             continue
         n = len(no)
-        parts = [p for p in _SEP.split(x) if p] if any(b in x for b in _BARS) else [x]
-        open_ = not m and len(parts) == 1 and not (x[-1] in _CLOSED and _END.search(x)) and not _ITEM.match(x)
-        title_like = open_ and len(_LETTERS.findall(x)) >= 3
+        parts = [p for p in _SEP.split(x) if p] if bars and any(b in x for b in bars) else [x]
+        open_ = not m and len(parts) == 1 and not (x[-1] in _CLOSED and x.rstrip(_QUOTES)[-1:] in _STOPS) and not _ITEM.match(x)
+        title_like = open_ and len(list(islice(_LETTERS.finditer(x), 3))) == 3
         no.append(i + 1)
         marks.append((MARKED if m else 0) | (TITLE_LIKE if title_like else 0))
         tags.append(found[i])
-        words.append(len(x.split()) if _LETTER.search(x) else 0)
+        folded = [" ".join(p.casefold().split()) for p in parts]
+        words.append((folded[0].count(" ") + 1 if len(parts) == 1 else len(x.split())) if _LETTER.search(x) else 0)
         for j, p in enumerate(parts):
             at.append(n)
             chars.append(len(p) if not found[i] else seen[i] // len(parts))
-            spelled.append(spell(p, site, i == end and j == len(parts) - 1))
+            spelled.append(_masked(folded[j], site, i == end and j == len(parts) - 1))
     for w in slot_windows(text) + (slot_windows(title or "") if titled else []):
         at.append(-1)
         chars.append(0)
@@ -241,6 +277,17 @@ def prompt_parts(content: str) -> tuple[str, str]:
     return ("" if title == "(no title)" else title), body
 
 
+def plain(column) -> list:
+    """The same as ``to_pylist`` of a column of strings, or of lists of strings or whole numbers, by slices of all values."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+    if column.values.null_count:
+        return column.to_pylist()
+    at, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
+    out = [values[a:b] for a, b in zip(at, at[1:])]
+    return [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist())] if column.null_count else out
+
+
 def _emit(rows):
     cols = list(zip(*rows)) if rows else [[]] * 13
     arrays = [pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))]
@@ -265,7 +312,7 @@ def _reader(name: str, texts):
                 for title, url, text, titled in texts(*rest):
                     if text and text.strip() or titled and title:
                         got = read(text, title, url, titled)
-                        words.update(set(_LETTERS.findall(" ".join(got[-1]))))
+                        words.update(letter_words(" ".join(got[-1])))
                         head = (title or "").strip().casefold()
                         rows.append((n, name, i, spell(title or "", site_name(url)), key(head or (text or "").strip()), *got))
                         n += 1
@@ -348,7 +395,7 @@ def _stats(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "n", "beside", "before", "bare", "slot"])
 
     for b in batches:
-        for marks, u, at, ks in zip(*(b.column(c).to_pylist() for c in ("marks", "u", "at", "ks"))):
+        for marks, u, at, ks in zip(*(plain(b.column(c)) for c in ("marks", "u", "at", "ks"))):
             hit = [False] * len(u)
             for k in ks:
                 hit[k] = True

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.recurrence import COMMON, FURNITURE, LEAD, MARKED, RECURS, RESIDUE, SLOT, SLOT_AT, Corpus, _context, _lines_of, spell
+from threadloom.llm.recurrence import COMMON, FURNITURE, LEAD, MARKED, RECURS, RESIDUE, SLOT, SLOT_AT, Corpus, _context, _lines_of, plain, spell
 
 # The standard filler paragraph.
 LOREM = (
@@ -64,6 +64,8 @@ PAIRS = 0.65
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d[\w:.]*|#|\*")
 _SENT = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+")
+# finds the same ends, faster: a search skips to the next full stop
+_FIRST_END = re.compile(r"[.!?…][\"”’)\]]*\s")
 
 
 def _pairs(word: str) -> list[str]:
@@ -90,6 +92,8 @@ class ExemplarIndex:
                     self.post.setdefault(w, []).append(len(self.items))
                 self.items.append((label, ws, sum(self.weight(w) for w in ws if w != "*")))
         self.heaviest = max((x[2] for x in self.items), default=0.0)
+        # the weight beyond which no exemplar contains a window, with room for rounding
+        self.beyond = (self.heaviest / CONTAINED + self.most) * (1 + 1e-9)
 
     def weight(self, word: str) -> float:
         got = self.idf.get(word)
@@ -109,16 +113,22 @@ class ExemplarIndex:
         return got
 
     def _match(self, window: str) -> str | None:
-        ws = set(words_of(window))
-        weights = {w: self.idf.get(w) or self.weight(w) for w in ws}
-        total = sum(weights.values())
-        # what an exemplar holds is at most its weight; one name may stand for a star
-        if (total - self.most) * CONTAINED > self.heaviest:
+        weights: dict[str, float] = {}
+        total = 0.0
+        # what an exemplar holds is at most its weight; one name may stand for a star: a heavier window is read no further
+        for token in window.split():
+            for w in (token,) if token.isalpha() else words_of(token):
+                if w not in weights:
+                    weights[w] = weight = self.idf.get(w) or self.weight(w)
+                    total += weight
+            if total > self.beyond:
+                return None
+        if (total - self.most) * CONTAINED > self.heaviest or self.post.keys().isdisjoint(weights):
             return None
         # to be contained, one of the heavy words beyond the free share must be the exemplar's
         near: set[int] = set()
         passed, free = 0.0, (1 - CONTAINED) * total + self.most
-        for weight, w in sorted(((weights[w], w) for w in ws), reverse=True):
+        for weight, w in sorted(((weight, w) for w, weight in weights.items()), reverse=True):
             if passed > free:
                 break
             passed += weight
@@ -126,16 +136,25 @@ class ExemplarIndex:
         best, label = 0.0, None
         for i in sorted(near):
             lab, ex, weight = self.items[i]
-            both = sum(weights[w] for w in ws & ex)
             star = self.most if "*" in ex else 0.0
+            # both hold at most the lighter one's weight (the exemplar's is without its star), with room for rounding
+            if total < CONTAINED * weight - 1e-6 or weight + self.idf["*"] < CONTAINED * (total - star) - 1e-6:
+                continue
+            both = sum(weights[w] for w in weights.keys() & ex)
             s = min(both / max(1e-9, total - star), both / max(1e-9, weight), 1.0)
             if s > best:
                 best, label = s, lab
         return label if best >= CONTAINED else None
 
-    def filler(self, words: list[str]) -> bool:
+    def filler(self, window: str) -> bool:
         """No word common in the corpus, and the letter pairs of the filler paragraph."""
-        w = [x for x in words if x.isalpha()]
+        tokens = window.split()
+        known = list(filter(str.isalpha, tokens))
+        # in the other tokens, a word takes at least one character and one that parts it from the next
+        others = (sum(map(len, tokens)) - sum(map(len, known)) + len(tokens) - len(known)) // 2
+        if sum(map(self.common.__contains__, known)) > 0.2 * (len(known) + others):
+            return False
+        w = [x for x in words_of(window) if x.isalpha()]
         if len(w) < 4 or sum(x in self.common for x in w) > 0.2 * len(w):
             return False
         pairs = [p for x in w if x not in self.common for p in _pairs(x)]
@@ -152,15 +171,23 @@ def words_of(line: str) -> list[str]:
     return _WORD.findall(line)
 
 
+def _hits(n: int, flags: dict[int, int], bit: int) -> list[bool]:
+    """Which of n units have a flag."""
+    out = [False] * n
+    for k, f in flags.items():
+        if f & bit:
+            out[k] = True
+    return out
+
+
 def judge(index: ExemplarIndex, title, marks, tags, words, at, chars, spelled, flags):
     """(label, share of text of each line) of one record; flags: {unit number: flag}.
 
     The share is what is left of a line without tags, furniture and links.
     """
     n = len(marks)
-    hit = lambda bit: [bool(flags.get(k, 0) & bit) for k in range(len(at))]
-    recurs = [r and not m & MARKED for r, m in zip(_lines_of(at, hit(RECURS), n), marks)]
-    furniture, lead, residue = hit(FURNITURE), hit(LEAD), hit(RESIDUE)
+    recurs = [r and not m & MARKED for r, m in zip(_lines_of(at, _hits(len(at), flags, RECURS), n), marks)]
+    furniture, lead, residue = (_hits(len(at), flags, bit) for bit in (FURNITURE, LEAD, RESIDUE))
     lines: list[list[int]] = [[] for _ in range(n)]
     for k, line in enumerate(at):
         if line >= 0:
@@ -194,7 +221,7 @@ def _label(index: ExemplarIndex, ks: list[int], s: str, spelled, residue) -> str
     label = index.match(s)
     if label is None and all(residue[k] for k in ks):
         return "notice"
-    if label is None:
+    if label is None and (end := _FIRST_END.search(s)) and index.match(s[: end.start() + 1]):
         for p in filter(None, _SENT.split(s)):
             got = index.match(p)
             if got is None:
@@ -203,7 +230,7 @@ def _label(index: ExemplarIndex, ks: list[int], s: str, spelled, residue) -> str
             label = label or got
     if label is None and len(ks) > 1:
         label = next(filter(None, (index.match(spelled[k]) for k in ks)), None)
-    if label is None and index.filler(words_of(s)):
+    if label is None and index.filler(s):
         return "filler"
     return label
 
@@ -223,7 +250,8 @@ def _covered(index: ExemplarIndex, windows: list[tuple[int, list[int]]], spelled
         label = got[j] = _label(index, ks, s, spelled, residue)
         if label is None:
             uncovered += n
-            sentences += len(_SENT.split(s))
+            # only whether it is more than one counts
+            sentences += 1 if sentences or not _FIRST_END.search(s) else 2
             if uncovered > (1 - COVERED) * total and (sentences > 1 or j == 0):
                 return None
         else:
@@ -243,7 +271,7 @@ def _judge_all(index: ExemplarIndex, finish):
     def run(batches):
         for b in batches:
             labels, texts = [], []
-            for *row, ks, fs in zip(*(b.column(c).to_pylist() for c in names)):
+            for *row, ks, fs in zip(*(plain(b.column(c)) for c in names)):
                 label, text = judge(index, *row, dict(zip(ks, fs)) if ks else {})
                 labels.append(label)
                 texts.append(finish(text))
