@@ -498,3 +498,12 @@ def test_jaccard_shuffles_no_candidates(spark):
     pairs = graph.jaccard(m, 0.5)
     assert rows(pairs.select("a", "b")) == [(i, i + 1) for i in range(59)]
     assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jaccard_of_copies_is_whole(spark):
+    sets = {1: {1, 2, 3}, 2: {1, 2, 3}, 3: {1, 2, 3, 4}, 4: {1, 2, 3, 4}, 5: {3, 4}, 6: {9}, 7: {9}, 8: {9}, 9: {7, 8}}
+    m = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "set_id long, item long")
+    got = {(x["a"], x["b"]): x["jaccard"] for x in graph.jaccard(m, 0.5, whole=True).collect()}
+    assert got == pytest.approx({(a, b): len(s & t) / len(s | t) for a, s in sets.items() for b, t in sets.items() if a < b and len(s & t) >= 0.5 * len(s | t)})
+    none = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "set_id long, item long")
+    assert rows(graph.jaccard(none, 0.5, whole=True)) == [(1, 2, 0.5)]
