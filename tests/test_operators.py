@@ -507,3 +507,20 @@ def test_jaccard_of_copies_is_whole(spark):
     assert got == pytest.approx({(a, b): len(s & t) / len(s | t) for a, s in sets.items() for b, t in sets.items() if a < b and len(s & t) >= 0.5 * len(s | t)})
     none = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "set_id long, item long")
     assert rows(graph.jaccard(none, 0.5, whole=True)) == [(1, 2, 0.5)]
+
+
+def test_concept_notes_name_every_partner(spark, monkeypatch):
+    """A copy of a name has the partners of the name, and every row of a repeated id counts."""
+    from threadloom.plans import graph_queries
+
+    concept = "array<struct<type:string,name:string,tier:int,confidence:double>>"
+    rows_ = [("1", "s1", ["big data", "data big", "big data tools"]), ("1", "s1", ["graph theory"]), ("2", "s2", ["data big tools", "theory graph proofs"])]
+    n = spark.createDataFrame([(i, s, [("Theme", x, 2, None) for x in names]) for i, s, names in rows_], f"id string, source_id string, concepts {concept}")
+    monkeypatch.setattr(graph_queries, "_normalised", lambda *_: n)
+    body = {b.split("\n# ")[1].split("\n")[0]: b.split("## Similar concepts")[1] for _, b in graph_queries.concept_notes(spark, "").collect()}
+    names = [x for *_, r in rows_ for x in r]
+    words = {x: set(x.split()) for x in names}
+    assert body.keys() == set(names)
+    for x in names:
+        near = {y for y in names if y != x and len(words[x] & words[y]) >= 0.5 * len(words[x] | words[y])}
+        assert {y for y in names if f"|{y}]]" in body[x]} == near
