@@ -524,3 +524,50 @@ def test_concept_notes_name_every_partner(spark, monkeypatch):
     for x in names:
         near = {y for y in names if y != x and len(words[x] & words[y]) >= 0.5 * len(words[x] | words[y])}
         assert {y for y in names if f"|{y}]]" in body[x]} == near
+
+
+def _overview_of(spark, n_sources=14, n_names=24):
+    """(edges both ways with ranks, tiers, placed, order, boxes) of random islands; many ranks tie."""
+    r = random.Random(8)
+    tier = {f"n{i:02}": r.choice([1, 2, 2, 3, 4]) for i in range(n_names)}
+    pairs = [(a, b) for a in tier for b in tier if a < b and r.random() < 0.4]
+    edges = [(x, y, r.choice([0.4, 0.5, 0.8]), r.randint(1, 3)) for a, b in pairs for x, y in ((a, b), (b, a))]
+    strength = {}
+    edges = [(a, b, strength.setdefault(frozenset((a, b)), s), k) for a, b, s, k in edges]
+    sources = [f"s{i}" for i in range(n_sources)]
+    placed = [(s, n, t, r.randint(0, 900), r.randint(0, 900)) for s in sources for n, t in tier.items() if r.random() < 0.5] + [(s, f"root::{s}", 0, 5, 5) for s in sources]
+    frame = spark.createDataFrame
+    placed = frame(placed, "source_id string, node_id string, tier int, x int, y int")
+    order = frame(list(zip(r.sample(sources, n_sources), range(1, n_sources + 1))), "source_id string, pos long")
+    return frame(edges, "a string, b string, strength double, pos int"), frame(list(tier.items()), "id string, tier int"), placed, order, layout.bounding_boxes(placed)
+
+
+@pytest.mark.parametrize("block, step", [(8_000_000, 500_000), (100, 30)])
+def test_overview_makes_relations_in_place(spark, monkeypatch, block, step):
+    """Against relations that are listed, sorted and numbered one by one; only meetings are shuffled."""
+    monkeypatch.setattr(layout, "BLOCK", block)
+    monkeypatch.setattr(layout, "_STEP", step)
+    edges, tiers, placed, order, boxes = _overview_of(spark)
+    on_board = placed.select("source_id", F.col("node_id").alias("id"))
+    laned = layout.lanes(graph.cross_relations(edges, on_board, tiers, 0.5), order)
+    half, lists = layout.meetings(layout.linked(edges, tiers, 0.5), placed, order, boxes)
+    n = layout.relation_counts(half)
+    listed = [r["tier"] for r in laned.select("tier").collect()]
+    assert n == {t: listed.count(t) for t in set(listed)} and half.count() < len(listed)
+    top = layout.lane_starts(n)[2]
+    assert top == laned.first()["islands_top"]
+    islands = layout.islands(boxes, order, top)
+    moved = placed.join(islands.select("source_id", "dy"), "source_id").select("source_id", "node_id", "tier", "x", (F.col("y") + F.col("dy")).alias("y"))
+    want = layout.routed(laned, islands, moved)
+    got = layout.routes(half, lists, order, islands, n)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lanes_beyond_two_to_the_31(spark):
+    box = spark.createDataFrame([("s", 0, 10, 100, 300)], "source_id string, min_x int, min_y int, max_r int, max_b int")
+    order = spark.createDataFrame([("s", 1)], "source_id string, pos long")
+    top = layout.lane_starts({3: 40_000_000})[2]
+    assert top > 2**31
+    got = layout.islands(box, order, top).first()
+    assert (got["top"], got["bottom"], got["dy"]) == (top, top + 290, top - 10)
